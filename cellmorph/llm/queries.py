@@ -3,9 +3,11 @@
 from .media import op8_media
 from .packing import op1_pack
 from .pieces import op9_pieces
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_simhash": op3_simhash,
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
 }
