@@ -1,13 +1,17 @@
 """Registered queries of the training-text operators, and SQL for those that SQL can express."""
 
+from .language import op5_language
 from .media import op8_media
 from .packing import op1_pack
 from .pieces import op9_pieces
 from .simhash import op3_simhash
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_simhash": op3_simhash,
+    "op5_language": op5_language,
+    "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
 }
