@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ANN_NAME = r"^ann-(.+?)__x-(-?\d+)_y-(-?\d+)_w-(\d+)_h-(\d+)__ds-([0-9.]+)\.png$"
+ANN_NAME = r"^ann-(\d+)__x-(\d+)_y-(\d+)_w-(\d+)_h-(\d+)__ds-(\d+)\.png"
 TILE_NAME = r"^tile_(?:(\d+)_)?x(\d+)_y(\d+)(?:_(gray|white)_matter)?(?:\.jpg)?$"
 
 
@@ -22,12 +22,12 @@ def stem(path) -> Column:
 def parse_ann_name(name) -> Column:
     """Struct (ann_id, x, y, w, h, ds) of an annotation's file name; null if it doesn't match."""
     part = lambda i: F.regexp_extract(name, ANN_NAME, i)
-    fields = F.struct(part(1).alias("ann_id"), *(part(i + 2).cast("int").alias(c) for i, c in enumerate("xywh")), part(6).cast("double").alias("ds"))
+    fields = F.struct(part(1).cast("bigint").alias("ann_id"), *(part(i + 2).cast("int").alias(c) for i, c in enumerate("xywh")), part(6).cast("int").alias("ds"))
     return F.when(F.col(name).rlike(ANN_NAME) if isinstance(name, str) else name.rlike(ANN_NAME), fields)
 
 
 def ann_name(ann_id, x, y, w, h, ds) -> Column:
-    return F.format_string("ann-%s__x-%d_y-%d_w-%d_h-%d__ds-%s.png", ann_id, x, y, w, h, ds)
+    return F.format_string("ann-%d__x-%d_y-%d_w-%d_h-%d__ds-%d.png", ann_id, x, y, w, h, ds)
 
 
 def parse_flat_name(name, classes: Sequence[str]) -> Column:
