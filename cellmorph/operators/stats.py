@@ -240,7 +240,7 @@ def _with_p(df: DataFrame, p, stat: str) -> DataFrame:
             pdf["p_value"] = [None if pd.isna(r[stat]) else float(p(r)) for r in pdf.to_dict("records")]
             yield pdf
 
-    return df.mapInPandas(add, df.schema.add("p_value", "double"))
+    return df.mapInPandas(add, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "p_value double"]))
 
 
 def spearman_test(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

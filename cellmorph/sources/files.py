@@ -58,7 +58,7 @@ def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def yolo_lines(boxes: DataFrame, image: str = "image_name") -> DataFrame:
     """(image, text): one label text per image, lines in a fixed order."""
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("cls").cast("int"), "cx", "cy", "w", "h")
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("cls").cast("int"), *(F.bround(c, 6) for c in ("cx", "cy", "w", "h")))
     return boxes.groupBy(image).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
 
 
