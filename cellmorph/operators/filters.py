@@ -12,7 +12,10 @@ def drop_border(df: DataFrame, tile: int = 512) -> DataFrame:
 
 
 def drop_outliers(df: DataFrame, col: str, low: float = 0.002, high: float = 0.998) -> DataFrame:
-    """Rows between two exact quantiles (inclusive, interpolated). The bounds are one row, so they are broadcast."""
+    """Rows between two exact quantiles (inclusive, interpolated). The bounds are one row, so they are broadcast.
+
+    The exact quantile counts distinct values, partially in every task: an area is a whole number of a tile's
+    pixels, so there are at most 262,144 of them, however many rows."""
     bounds = df.agg(F.percentile(col, F.lit(low)).alias("_low"), F.percentile(col, F.lit(high)).alias("_high"))
     return df.crossJoin(F.broadcast(bounds)).where(F.col(col).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
