@@ -37,7 +37,9 @@ NOISE = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag's rest: a value quoted after a = may hold anything (with a < in it, up to 2000 characters).
+_REST = r"""(?:[^<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+')?)*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*+)({_REST})>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _FRAME = re.compile(r"<(?:article|main)[\s>]", re.I)
