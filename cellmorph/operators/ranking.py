@@ -24,7 +24,7 @@ def avg_rank(col: str, part: Sequence[str] = ()) -> Column:
 
 
 def fdr_bh(df: DataFrame, p: str, part: Sequence[str] = (), out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values over the non-null p of each part; null where p is."""
+    """Benjamini-Hochberg q-values over the non-null p of each part (a row per test); null where p is."""
     given = df.where(F.col(p).isNotNull())
     whole = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     rank = F.row_number().over(whole.orderBy(p))
@@ -35,6 +35,7 @@ def fdr_bh(df: DataFrame, p: str, part: Sequence[str] = (), out: str = "q_value"
 
 
 def with_rank(df: DataFrame, order: Sequence, part: Sequence[str] = ()) -> DataFrame:
+    """Ranks from 1 within each part. Without parts one task ranks all rows: for lists of selected rows, a few thousand."""
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     return df.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("bigint"))
 
