@@ -25,7 +25,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellmorph-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(t._stored_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,7 +55,6 @@ def min_labels(edges: DataFrame) -> DataFrame:
     one, then every vertex sends its smaller neighbours there. Only minima are gathered per vertex (with
     partial aggregation), so a vertex with very many edges is no large group, and each round is stored.
     """
-    spark = edges.sparkSession
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     size = _size(edges)
     while size[0]:
@@ -56,7 +65,8 @@ def min_labels(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = stored(small.where("a <> b").distinct(), "edges")
+        last, edges = edges, stored(small.where("a <> b").distinct(), "edges")
+        discard(last, large)
         now = _size(edges)
         if now == size:
             break

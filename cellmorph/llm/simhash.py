@@ -18,18 +18,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from .common import min_labels, stored, texts
+from .common import discard, min_labels, stored, texts
 
 SEED = 42
 #: Buckets of up to this many fingerprints are joined pair by pair, larger ones by two-wildcard keys.
 SMALL_BUCKET = 64
 #: near_groups: fingerprint of SEGMENTS x SEGMENT_BITS bits over the distinct words.
-SEGMENTS, SEGMENT_BITS = 6, 24
-#: Fingerprints of documents at similarity 0.8 differ in about 10 of 144 bits, of strangers in about 60.
-CANDIDATE_BITS = 30
+SEGMENTS, SEGMENT_BITS = 6, 28
+#: Fingerprints of documents at similarity 0.8 differ in about 13 of 168 bits (1 in 100 pairs in over 21), of strangers in about 75.
+CANDIDATE_BITS = 24
 SHINGLE, SIMILARITY = 5, 0.8
+#: Keys (24 bytes a row) that are sent to every executor at most.
+BROADCAST_ROWS = 1_000_000
+#: Rounds of comparisons with further members of a bucket, while they find links.
+ROUNDS = 2
 
 
 def words(text: str) -> list[bytes]:
@@ -139,27 +142,27 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def _profile(batches):
-    """Adds to each row: a digest of its words, the wide fingerprint's segments, the number of distinct shingles."""
+    """Of each text: a digest of its words, the wide fingerprint's segments, the number of distinct shingles."""
     for batch in batches:
         keys, prints, counts = [], [], []
         for text in batch.column("text").to_pylist():
-            tokens = words(text or "")
+            tokens = words(text)
             keys.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-            raw = b"".join([xxhash.xxh3_128_digest(w) + xxhash.xxh32_digest(w) for w in set(tokens)])
-            bits = majority(np.frombuffer(raw, np.uint8).reshape(-1, 20)) if raw else np.zeros(160, bool)
+            raw = b"".join([xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w) for w in set(tokens)])
+            bits = majority(np.frombuffer(raw, np.uint8).reshape(-1, 24)) if raw else np.zeros(192, bool)
             bits = bits[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
             prints.append((bits @ (1 << np.arange(SEGMENT_BITS))).tolist())
             counts.append(len(set(shingles(tokens, SHINGLE))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(counts, pa.int32()), batch.column("text")],
-            ["row", "doc_id", "digest", "segments", "n", "text"],
+            [batch.column("doc_id"), batch.column("copy"), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(counts, pa.int32())], ["doc_id", "copy", "digest", "segments", "n"]
         )
 
 
 def _shingle_sets(batches):
+    """32 bits of each shingle's hash: two texts of 500 shingles share one by chance once in 17,000 pairs."""
     for batch in batches:
-        sets = [sorted({xxhash.xxh64_intdigest(s) - (1 << 63) for s in shingles(words(t), SHINGLE)}) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.list_(pa.int64()))], ["uid", "hashes"])
+        sets = [sorted({xxhash.xxh32_intdigest(s) - (1 << 31) for s in shingles(words(t), SHINGLE)}) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.list_(pa.int32()))], ["uid", "hashes"])
 
 
 def _close(a: str, b: str):
@@ -168,49 +171,84 @@ def _close(a: str, b: str):
     return (F.least(f"{a}.n", f"{b}.n") >= SIMILARITY * F.greatest(f"{a}.n", f"{b}.n")) & (bits <= CANDIDATE_BITS)
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have the similarity; only their documents' texts are read."""
+def identified(docs: DataFrame) -> DataFrame:
+    """(row struct, doc_id, copy, text): copy tells texts of one doc_id apart, so rows equal in both are repeats."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+
+
+def _similar(pairs: DataFrame, facts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose shingle sets have the similarity; only the texts of pairs that their
+    profiles leave open are read."""
+    p, q = (facts.select(F.col("uid").alias(c), F.struct("segments", "n").alias(n)) for c, n in (("a", "p"), ("b", "q")))
+    pairs = stored(pairs.join(p, "a").join(q, "b").where(_close("p", "q")).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    sets = stored(profiles.select("uid", "text").join(ids, "uid").mapInArrow(_shingle_sets, "uid long, hashes array<long>"), "shingles")
+    chosen = classes.join(ids, "uid").select("uid", "doc_id", "copy")
+    sets = stored(_texts_of(chosen, docs).mapInArrow(_shingle_sets, "uid long, hashes array<int>"), "shingles")
     joined = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return joined.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = stored(joined.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    discard(pairs, sets)
+    return links
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(row struct, uid, group): every row of docs with its near-duplicate group (the uid of one member).
+def _few(keys: DataFrame) -> DataFrame:
+    """keys (stored) to be sent to every executor if there are BROADCAST_ROWS at most; else they are joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-    Rows with the same words are one class from the start. Of the others, each index bucket first links all
-    to its smallest member; then members of a bucket that are still in different components are compared
-    with each other, so that no link is lost, and copies of one text never meet pair by pair.
-    """
-    table = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kind = StructType().add(table.schema["row"]).add("doc_id", LongType()).add("digest", BinaryType()).add("segments", ArrayType(IntegerType())).add("n", IntegerType()).add("text", StringType())
-    profiles = stored(table.mapInArrow(_profile, kind).withColumn("uid", F.monotonically_increasing_id()), "profiles")
-    classes = stored(profiles.groupBy("digest").agg(F.min(F.struct("uid", "segments", "n")).alias("c")).select("digest", "c.*"), "classes")
+
+def _texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, text) of chosen (uid, doc_id, copy); repeats of a row give the same text, so the first one does."""
+    keys = _few(stored(chosen.select("uid", F.col("doc_id").alias("d"), F.col("copy").alias("c")), "chosen"))
+    return identified(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).select("uid", "text").dropDuplicates(["uid"])
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, uid, group) for every row of docs: group is the uid of one class of its near duplicates.
+
+    Rows with the same words are one class from the start. Classes meet in the index buckets: all of a bucket
+    are compared with its smallest member, and while that finds links, with another member (by a hash, the
+    same one in all its buckets) if that is still in another component. So the work follows the number of
+    index rows, a bucket of any size included; the tests measure recall against all pairs."""
+    profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, digest binary, segments array<int>, n int"), "profiles")
+    first = F.min(F.struct("doc_id", "copy", "segments", "n"))
+    classes = stored(profiles.groupBy("digest").agg(first.alias("c")).select("digest", "c.*").withColumn("uid", F.monotonically_increasing_id()), "classes")
+    facts = classes.select("uid", "segments", "n")
     keys = [F.lit((s * SEGMENT_BITS + i) << 32).bitwiseOR(F.col("segments")[s].cast("long").bitwiseAND(F.lit(~(1 << i)))) for s in range(SEGMENTS) for i in range(SEGMENT_BITS)]
     index = classes.where("n > 0").select("uid", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
-    members = stored(index.join(sizes, "key"), "buckets")
-    facts = classes.select("uid", "segments", "n")
-    first = members.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")).distinct()
-    first = first.join(facts.select(F.col("uid").alias("a"), F.struct("segments", "n").alias("p")), "a").join(facts.select(F.col("uid").alias("b"), F.struct("segments", "n").alias("q")), "b")
-    edges = stored(_verified(stored(first.where(_close("p", "q")).select("a", "b"), "candidates"), profiles), "links")
-    labels = stored(min_labels(edges), "labels")
-    rest = members.where("size > 2").select("key", "uid").join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").join(facts, "uid")
-    rest = rest.select("key", "uid", F.coalesce("label", "uid").alias("label"), F.struct("segments", "n").alias("p"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = stored(rest.join(mixed, "key", "left_semi"), "mixed")
-    left, right = rest.select("key", F.col("uid").alias("a"), F.col("label").alias("la"), "p"), rest.select("key", F.col("uid").alias("b"), F.col("label").alias("lb"), F.col("p").alias("q"))
-    second = left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb")) & _close("p", "q")).select("a", "b").distinct()
-    more = stored(_verified(stored(second, "candidates"), profiles), "links")
-    labels = stored(min_labels(edges.union(more)), "labels")
-    of_class = classes.select("digest", "uid").join(labels, F.col("uid") == F.col("id"), "left").select("digest", F.coalesce("label", "uid").alias("group"))
-    return profiles.select("row", "doc_id", "uid", "digest").join(of_class, "digest").select("row", "doc_id", "uid", "group")
+    members = stored(index.join(sizes, "key").select("key", "uid", "least", "size"), "buckets")
+    links = _similar(members.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")).distinct(), facts, classes, docs)
+    labels = stored(min_labels(links), "labels")
+    for k in range(ROUNDS):
+        rest = members.where("size > 2").select("key", "uid").join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
+        order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "label")
+        other = rest.groupBy("key").agg(F.min(order).alias("r"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", F.col("r.uid").alias("b"), F.col("r.label").alias("lb"))
+        pairs = rest.join(other, "key").where("label <> lb").select(F.col("uid").alias("a"), "b").distinct()
+        more = _similar(pairs, facts, classes, docs)
+        if more.isEmpty():
+            break
+        links, old = stored(links.union(more), "links"), labels
+        labels = stored(min_labels(links), "labels")
+        discard(old)
+    of_class = stored(classes.select("digest", "uid").join(labels, F.col("uid") == F.col("id"), "left").select("digest", "uid", F.coalesce("label", "uid").alias("group")), "classes")
+    out = stored(profiles.select("doc_id", "copy", "digest").join(of_class, "digest").select("doc_id", "copy", "uid", "group"), "groups")
+    discard(members, classes, labels, links, profiles, of_class)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each near-duplicate group: that with the smallest doc_id (nulls last)."""
-    groups = stored(near_groups(docs), "groups")
-    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("k")).select(F.col("k.uid").alias("uid"))
-    return groups.join(kept, "uid", "left_semi").select("row.*")
+    """The rows of docs, one of each near-duplicate group: that with the smallest doc_id (nulls last).
+
+    The rows themselves are filtered where they are; only if rows repeat do those kept go through a shuffle."""
+    groups = near_groups(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
+    kept = groups.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.copy").alias("copy"))
+    rows = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("m")).alias("r")
+    kept = kept.withColumn("kept", F.lit(1)).alias("k")
+    marked = stored(rows.join(kept, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.copy") == F.col("k.copy")), "left").select(F.col("r.doc_id").alias("d"), F.col("r.copy").alias("c"), "m", "kept"), "kept")
+    repeats = marked.where("m > 1 and kept = 1").limit(1).count()
+    dropped = _few(stored(marked.where("kept is null").select("d", "c"), "dropped"))
+    rows = identified(docs).join(dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left_anti")
+    discard(groups, marked)
+    return (rows.dropDuplicates(["doc_id", "copy"]) if repeats else rows).select("row.*")
