@@ -9,6 +9,7 @@ every text is; a null doc_id is scored, not held out, and not learned from; an e
 """
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -24,7 +25,7 @@ DOCS_PER_LANGUAGE = 4000
 KNOWN = 20_000
 LONGEST = 4
 #: Words whose n-gram scores a process keeps; a full store is emptied.
-CACHE = 100_000
+CACHE, STEP = 200_000, 20_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,69 +84,77 @@ def fit(found: list) -> dict:
         (grams if size else words)[token] = len(vectors)
         score = np.log((v + 1) / totals[size])
         vectors.append(score - score.mean())
-    return {"languages": languages, "words": words, "grams": grams, "vectors": np.array(vectors, np.float32)}
+    return {"id": uuid.uuid4().hex, "languages": languages, "words": words, "grams": grams, "vectors": np.array(vectors, np.float32)}
 
 
 class Scorer:
     """Predicts with a model; keeps the vectors of unseen words it has met."""
 
     def __init__(self, model: dict):
-        self.languages, self.grams = model["languages"], model["grams"]
+        self.languages, self.grams, self.words = model["languages"], model["grams"], model["words"]
         self.base = len(model["vectors"])
         self.vectors = np.concatenate([model["vectors"], np.zeros((CACHE, len(self.languages)), np.float32)])
-        self.words, self.seen = model["words"], {}
-
-    def unseen(self, word: str) -> int:
-        """The row of a word that backs off: the mean over its places of the longest known n-gram's vector."""
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        w, get, rows = f"^{word}$", self.grams.get, []
-        for i in range(len(w)):
-            for size in range(min(LONGEST, len(w) - i), 0, -1):
-                if (g := get(w[i : i + size])) is not None:
-                    rows.append(g)
-                    break
-        row = self.seen[word] = self.base + len(self.seen)
-        self.vectors[row] = self.vectors[rows].mean(0) if rows else 0
-        return row
+        self.rows = dict(self.words)  # of known words and of unseen ones met so far
+
+    def learn(self, words: set[str]) -> None:
+        """Gives rows to unseen words: the mean over a word's places of the longest known n-gram's vector."""
+        if len(self.rows) - len(self.words) + len(words) > CACHE:
+            self.rows = dict(self.words)
+        get, flat, starts = self.grams.get, [], []
+        for word in words:
+            w = f"^{word}$"
+            starts.append(len(flat))
+            for i in range(len(w)):
+                for j in range(min(i + LONGEST, len(w)), i, -1):
+                    if (g := get(w[i:j])) is not None:
+                        flat.append(g)
+                        break
+            if len(flat) == starts[-1]:
+                flat.append(0)  # a vector of zeros: nothing of the word is known
+        first = self.base + len(self.rows) - len(self.words)
+        sizes = np.diff([*starts, len(flat)])
+        self.vectors[first : first + len(starts)] = np.add.reduceat(self.vectors[flat], starts, axis=0) / sizes[:, None]
+        self.rows.update(zip(words, range(first, first + len(starts)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall(text.lower())) if text else None
         if not counts or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        known, seen, rows = self.words.get, self.seen.get, []
         total = np.zeros(len(self.languages))
-        for w in counts:
-            r = known(w) or seen(w)
-            if r is None:
-                if len(self.seen) >= CACHE and rows:  # rows found so far are used before the store is emptied
-                    total += np.array(list(counts.values())[: len(rows)]) @ self.vectors[rows]
-                    return self._rest(counts, len(rows), total)
-                r = self.unseen(w)
-            rows.append(r)
-        total += np.fromiter(counts.values(), float, len(rows)) @ self.vectors[rows]
-        return self._best(total, counts)
-
-    def _rest(self, counts: Counter, done: int, total: np.ndarray) -> tuple[str, float]:
-        for w, n in list(counts.items())[done:]:
-            total += n * self.vectors[self.words.get(w) or self.seen.get(w) or self.unseen(w)]
-        return self._best(total, counts)
-
-    def _best(self, total: np.ndarray, counts: Counter) -> tuple[str, float]:
-        total = total / np.sqrt(sum(counts.values()))
+        words, numbers = list(counts), np.fromiter(counts.values(), float, len(counts))
+        for i in range(0, len(words), STEP):  # a step's unseen words fit the store
+            part = words[i : i + STEP]
+            if unseen := set(part).difference(self.rows):
+                self.learn(unseen)
+                if not unseen.union(part) <= self.rows.keys():  # the store was emptied of older words of this step
+                    self.learn(set(part).difference(self.rows))
+            total += numbers[i : i + STEP] @ self.vectors[list(map(self.rows.__getitem__, part))]
+        total /= np.sqrt(numbers.sum())
         odds = np.exp(total - total.max())
         best = int(total.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+_scorers: dict = {}
+
+
+def scorer(model) -> Scorer:
+    """The process's scorer of a broadcast model: tasks that follow each other share what it has met."""
+    key = model.value["id"]
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model.value)
+    return _scorers[key]
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; nothing but the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        scorer = Scorer(shared.value)
+        own = scorer(shared)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            found = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return texts(docs).mapInArrow(task, "doc_id long, lang_pred string, score double")
@@ -156,9 +165,9 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        scorer = Scorer(shared.value)
+        own = scorer(shared)
         for batch in batches:
-            keep = [scorer.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
+            keep = [own.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
