@@ -181,7 +181,9 @@ def _similar(pairs: DataFrame, facts: DataFrame, classes: DataFrame, docs: DataF
     """Those of the pairs (a, b) of classes whose shingle sets have the similarity; only the texts of pairs that their
     profiles leave open are read."""
     p, q = (facts.select(F.col("uid").alias(c), F.struct("segments", "n").alias(n)) for c, n in (("a", "p"), ("b", "q")))
-    pairs = stored(pairs.join(p, "a").join(q, "b").where(_close("p", "q")).select("a", "b"), "candidates")
+    # A class meets at most one other per index key: its array is short. Pairs are laid out only where they are judged.
+    own = pairs.groupBy("a").agg(F.collect_set("b").alias("bs")).join(p, "a").select("a", "p", F.explode("bs").alias("b"))
+    pairs = stored(own.join(q, "b").where(_close("p", "q")).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     chosen = classes.join(ids, "uid").select("uid", "doc_id", "copy")
     sets = stored(_texts_of(chosen, docs).mapInArrow(_shingle_sets, "uid long, hashes array<int>"), "shingles")
@@ -218,13 +220,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     index = classes.where("n > 0").select("uid", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
     members = stored(index.join(sizes, "key").select("key", "uid", "least", "size"), "buckets")
-    links = _similar(members.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")).distinct(), facts, classes, docs)
+    links = _similar(members.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")), facts, classes, docs)
     labels = stored(min_labels(links), "labels")
     for k in range(ROUNDS):
         rest = members.where("size > 2").select("key", "uid").join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
         order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "label")
         other = rest.groupBy("key").agg(F.min(order).alias("r"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", F.col("r.uid").alias("b"), F.col("r.label").alias("lb"))
-        pairs = rest.join(other, "key").where("label <> lb").select(F.col("uid").alias("a"), "b").distinct()
+        pairs = rest.join(other, "key").where("label <> lb").select(F.col("uid").alias("a"), "b")
         more = _similar(pairs, facts, classes, docs)
         if more.isEmpty():
             break
