@@ -215,10 +215,10 @@ query("u3_key_intersect", lambda t: rk.key_intersect(t.fx_cells, t.fx_expert, ["
 query("u4_distinct_keys", lambda t: rk.distinct_keys(t.fx_cells, ["scan_name", "image_name"]), "SELECT DISTINCT scan_name, image_name FROM fx_cells")
 
 # --- names and scores
-PATH = F.concat(F.lit("/data/images/"), F.col("o_orderstatus"), F.lit("/images/"), F.col("file_name"))
+PATH = lambda: F.concat(F.lit("/data/images/"), F.col("o_orderstatus"), F.lit("/images/"), F.col("file_name"))
 names = lambda t: t.fx_ann_names.join(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 NAMES_SQL = "n AS (SELECT o_orderkey, file_name, o_orderpriority, concat('/data/images/', o_orderstatus, '/images/', file_name) AS path FROM fx_ann_names JOIN orders USING (o_orderkey))"
-query("x1_stem", lambda t: names(t).select("o_orderkey", tx.stem(PATH).alias("stem")), "SELECT o_orderkey, regexp_replace(file_name, '\\.[^.]*$', '') AS stem FROM fx_ann_names")
+query("x1_stem", lambda t: names(t).select("o_orderkey", tx.stem(PATH()).alias("stem")), "SELECT o_orderkey, regexp_replace(file_name, '\\.[^.]*$', '') AS stem FROM fx_ann_names")
 ann = lambda t: t.fx_ann_names.select("o_orderkey", tx.parse_flat_name("file_name", ["MG_whole", "MG_cell_body", "whole"]).alias("f")).select("o_orderkey", "f.*")
 ANN_SQL = "f AS (SELECT o_orderkey, regexp_extract(file_name, '^(.+?)_MG_whole_(ann-.*)$', 1) AS scan, regexp_extract(file_name, '^(.+?)_MG_whole_(ann-.*)$', 2) AS ann_name FROM fx_ann_names WHERE file_name LIKE '%\\_MG\\_whole\\_ann-%' ESCAPE '\\')"
 query("x2_parse_ann_name", lambda t: ann(t).where("ann_name is not null").select("o_orderkey", tx.parse_ann_name("ann_name").alias("p")).select("o_orderkey", "p.*"), f"WITH {ANN_SQL} SELECT o_orderkey, cast(regexp_extract(ann_name, 'ann-(\\d+)', 1) AS bigint) AS ann_id, cast(regexp_extract(ann_name, '__x-(\\d+)', 1) AS integer) AS x, cast(regexp_extract(ann_name, '_y-(\\d+)', 1) AS integer) AS y, cast(regexp_extract(ann_name, '_w-(\\d+)', 1) AS integer) AS w, cast(regexp_extract(ann_name, '_h-(\\d+)', 1) AS integer) AS h, cast(regexp_extract(ann_name, '__ds-(\\d+)', 1) AS integer) AS ds FROM f")
@@ -229,7 +229,7 @@ query("x6_extract_donor", lambda t: t.fx_ann_names.select("o_orderkey", tx.extra
 query("x7_max_number", lambda t: t.fx_scans.select("scan_name", tx.max_number("thal_stage").alias("stage")), "SELECT scan_name, list_max(list_transform(regexp_extract_all(thal_stage, '\\d+(?:\\.\\d+)?'), lambda x: cast(x AS double))) AS stage FROM fx_scans")
 query("x8_safe_stem", lambda t: names(t).select("o_orderkey", tx.safe_stem(F.concat("file_name", F.lit(".rf.abc")), 60).alias("stem")), "SELECT o_orderkey, CASE WHEN length(file_name) > 60 THEN md5(file_name) ELSE file_name END AS stem FROM fx_ann_names")
 query("x9_safe_token", lambda t: t.orders.select("o_orderkey", tx.safe_token(F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" /a.b ")))).alias("token")), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN regexp_replace(regexp_replace(trim(concat('  ', o_orderpriority, ' /a.b ')), '\\s+', '_', 'g'), '[^A-Za-z0-9_-]', '_', 'g') ELSE 'Unclassified' END AS token FROM orders")
-query("x10_label_path", lambda t: names(t).select("o_orderkey", tx.label_path(PATH).alias("path")), f"WITH {NAMES_SQL} SELECT o_orderkey, regexp_replace(replace(replace(path, '/data/images/', '/data/labels/'), 'zz', 'zz'), '\\.[^./]*$', '.txt') AS path FROM n")
+query("x10_label_path", lambda t: names(t).select("o_orderkey", tx.label_path(PATH()).alias("path")), f"WITH {NAMES_SQL} SELECT o_orderkey, regexp_replace(replace(replace(path, '/data/images/', '/data/labels/'), 'zz', 'zz'), '\\.[^./]*$', '.txt') AS path FROM n")
 query("x11_parse_tile", lambda t: t.fx_cells.select("cell_id", tx.parse_tile(F.concat("image_name", F.lit("_gray_matter.jpg"))).alias("p")).select("cell_id", "p.*"), "SELECT cell_id, cast(regexp_extract(image_name, 'x(\\d+)', 1) AS integer) AS x, cast(regexp_extract(image_name, 'y(\\d+)', 1) AS integer) AS y, 'gray' AS tissue FROM fx_cells")
 query("x11_scan_name", lambda t: t.orders.select("o_orderkey", tx.scan_name(F.concat(F.lit("/s/"), "o_orderpriority", F.lit(" b.svs"))).alias("scan_name")), "SELECT o_orderkey, replace(concat(o_orderpriority, ' b'), ' ', '_') AS scan_name FROM orders")
 _ABC = "a AS (SELECT *, list_max(list_transform(regexp_extract_all(thal_stage, '\\d+(?:\\.\\d+)?'), lambda x: cast(x AS double))) t FROM fx_scans), b AS (SELECT *, CASE WHEN t IS NULL THEN NULL WHEN t <= 0 THEN 'A0' WHEN t <= 2 THEN 'A1' WHEN t <= 3 THEN 'A2' ELSE 'A3' END a_score, CASE WHEN braak_stage IS NULL THEN NULL WHEN braak_stage <= 0 THEN 'B0' WHEN braak_stage <= 2 THEN 'B1' WHEN braak_stage <= 4 THEN 'B2' ELSE 'B3' END b_score, concat('C', cerad_score) c_score FROM a), c AS (SELECT *, CASE WHEN a_score IS NULL OR b_score IS NULL OR c_score IS NULL THEN NULL WHEN a_score = 'A0' THEN CASE WHEN c_score = 'C0' THEN 'Not' END WHEN b_score IN ('B0', 'B1') THEN 'Low' WHEN a_score = 'A1' AND c_score IN ('C0', 'C1') THEN 'Low' WHEN a_score = 'A3' AND b_score = 'B3' AND c_score IN ('C2', 'C3') THEN 'High' ELSE 'Intermediate' END AS intensity FROM b)"
