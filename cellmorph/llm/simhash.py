@@ -6,7 +6,8 @@ differ by one bit (or none) then share an index key, and an equality join brings
 
 Two operators share this: `hamming_components` links 64-bit fingerprints at two or fewer differing bits and
 is exact; `near_groups` finds documents whose sets of five-word shingles have a Jaccard similarity of at
-least 0.8, with a wider fingerprint for candidates and the exact similarity to verify.
+least 0.8. Its candidates share one of the rarest shingles of both (a prefix filter, which loses no pair), and
+the similarity of their whole sets verifies them.
 
 Defined results: a null text is an empty one; documents without words have fingerprint zero and link like
 any other; repeated rows are copies; a null doc_id is a document that can't name a component; an empty
@@ -18,19 +19,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, min_labels, stored, texts
 
 SEED = 42
 #: Buckets of up to this many fingerprints are joined pair by pair, larger ones by two-wildcard keys.
 SMALL_BUCKET = 64
-#: near_groups: fingerprint of SEGMENTS x SEGMENT_BITS bits over the distinct words.
-SEGMENTS, SEGMENT_BITS = 6, 28
-#: Fingerprints of documents at similarity 0.8 differ in about 13 of 168 bits (1 in 100 pairs in over 21), of strangers in about 75.
-CANDIDATE_BITS = 24
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys (24 bytes a row) that are sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
+#: near_groups: shingles that repeat in a sample of about so many documents are indexed last, so many at most. Any order
+#: of shingles finds the same pairs; this one keeps buckets small.
+SAMPLE_DOCS, FREQUENT = 4000, 100_000
 #: Rounds of comparisons with further members of a bucket, while they find links.
 ROUNDS = 2
 
@@ -141,21 +142,66 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _uid(tokens: list[bytes]) -> int:
+    """64 bits of a text's words as a signed long: any two of 30 million texts share one by chance once in 40,000 runs."""
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63)
+
+
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    """The set of a text's shingles, as ascending 64-bit hashes."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(tokens, SHINGLE)), np.uint64))
+
+
 def _profile(batches):
-    """Of each text: a digest of its words, the wide fingerprint's segments, the number of distinct shingles."""
+    """The uid of each text's words."""
+    for batch in batches:
+        uids = [_uid(words(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(uids, pa.int64())], ["doc_id", "copy", "uid"])
+
+
+def _all_shingles(batches):
     for batch in batches:
-        keys, prints, counts = [], [], []
         for text in batch.column("text").to_pylist():
-            tokens = words(text)
-            keys.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-            raw = b"".join([xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w) for w in set(tokens)])
-            bits = majority(np.frombuffer(raw, np.uint8).reshape(-1, 24)) if raw else np.zeros(192, bool)
-            bits = bits[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
-            prints.append((bits @ (1 << np.arange(SEGMENT_BITS))).tolist())
-            counts.append(len(set(shingles(tokens, SHINGLE))))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("copy"), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(counts, pa.int32())], ["doc_id", "copy", "digest", "segments", "n"]
-        )
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words(text)).view(np.int64))], ["key"])
+
+
+def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles that repeat in a sample, and their counts."""
+    part = identified(docs).where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(max(1, rows // SAMPLE_DOCS))) == 0).select("text")
+    counts = part.mapInArrow(_all_shingles, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count")).limit(FREQUENT).toArrow()
+    keys, n = counts.column("key").to_numpy().view(np.uint64), counts.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def least_common(n: int) -> int:
+    """The fewest shingles that a set of n shares with one it is similar to."""
+    return int(np.ceil(SIMILARITY * n - 1e-9))
+
+
+def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
+    """A task that gives the index rows (key, uid, n, at) of each text: of its n shingles in a global order (frequent ones
+    last), so many that what is left can't hold all that two similar sets share. Similar sets have one of these in common."""
+    keys, counts = frequent
+
+    def task(batches):
+        for batch in batches:
+            found, uids, sizes = [], [], []
+            for text in batch.column("text").to_pylist():
+                tokens = words(text)
+                own = _hashes(tokens)
+                if len(own) and len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+                found.append(own[: len(own) - least_common(len(own)) + 1 if len(own) else 0].view(np.int64))
+                uids.append(_uid(tokens))
+                sizes.append(len(own))
+            rows = [len(x) for x in found]
+            at = np.concatenate([np.arange(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+            key = np.concatenate(found) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(uids, np.int64), rows)), pa.array(np.repeat(np.array(sizes, np.int32), rows)), pa.array(at)], ["key", "uid", "n", "at"])
+
+    return task
 
 
 def _shingle_sets(batches):
@@ -165,10 +211,11 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.list_(pa.int32()))], ["uid", "hashes"])
 
 
-def _close(a: str, b: str):
-    """Whether two profiles can belong to similar documents: sizes within the similarity, few differing bits."""
-    bits = sum((F.bit_count(F.col(f"{a}.segments")[i].bitwiseXOR(F.col(f"{b}.segments")[i])) for i in range(SEGMENTS)), F.lit(0))
-    return (F.least(f"{a}.n", f"{b}.n") >= SIMILARITY * F.greatest(f"{a}.n", f"{b}.n")) & (bits <= CANDIDATE_BITS)
+def _can(n, at, m, to):
+    """Whether sets of n and m shingles that share those at places `at` and `to` of the global order can be similar: by
+    their sizes, and by how many each has before and after these places."""
+    common = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (common * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -177,21 +224,18 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
 
 
-def _similar(pairs: DataFrame, facts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose shingle sets have the similarity; only the texts of pairs that their
-    profiles leave open are read."""
-    p, q = (facts.select(F.col("uid").alias(c), F.struct("segments", "n").alias(n)) for c, n in (("a", "p"), ("b", "q")))
-    # A class meets at most one other per index key: its array is short. Pairs are laid out only where they are judged.
-    own = pairs.groupBy("a").agg(F.collect_set("b").alias("bs")).join(p, "a").select("a", "p", F.explode("bs").alias("b"))
-    pairs = stored(own.join(q, "b").where(_close("p", "q")).select("a", "b"), "candidates")
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates): those of the pairs (a, b) of classes whose shingle sets have the similarity, and the distinct
+    pairs that were compared; only their texts are read."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     chosen = classes.join(ids, "uid").select("uid", "doc_id", "copy")
     sets = stored(_texts_of(chosen, docs).mapInArrow(_shingle_sets, "uid long, hashes array<int>"), "shingles")
     joined = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = stored(joined.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    discard(pairs, sets)
-    return links
+    discard(sets)
+    return links, pairs
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -210,35 +254,44 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Rows with the same words are one class from the start. Classes meet in the index buckets: all of a bucket
     are compared with its smallest member, and while that finds links, with another member (by a hash, the
-    same one in all its buckets) if that is still in another component. So the work follows the number of
-    index rows, a bucket of any size included; the tests measure recall against all pairs."""
-    profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, digest binary, segments array<int>, n int"), "profiles")
-    first = F.min(F.struct("doc_id", "copy", "segments", "n"))
-    classes = stored(profiles.groupBy("digest").agg(first.alias("c")).select("digest", "c.*").withColumn("uid", F.monotonically_increasing_id()), "classes")
-    facts = classes.select("uid", "segments", "n")
-    keys = [F.lit((s * SEGMENT_BITS + i) << 32).bitwiseOR(F.col("segments")[s].cast("long").bitwiseAND(F.lit(~(1 << i)))) for s in range(SEGMENTS) for i in range(SEGMENT_BITS)]
-    index = classes.where("n > 0").select("uid", F.explode(F.array(*keys)).alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
-    members = stored(index.join(sizes, "key").select("key", "uid", "least", "size"), "buckets")
-    links = _similar(members.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")), facts, classes, docs)
+    same one in all its buckets) if that is still in another component."""
+    profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, uid long"), "profiles")
+    classes = stored(profiles.groupBy("uid").agg(F.min(F.struct("doc_id", "copy")).alias("c")).select("uid", "c.*"), "classes")
+    index = identified(docs).select("text").mapInArrow(_prefixes(_frequent(docs, profiles.count())), "key long, uid long, n int, at int")
+    # One shuffle for all rows of the index; most keys have one class and end here.
+    bucket = Window.partitionBy("key")
+    least = F.min(F.struct("uid", "n", "at")).over(bucket)
+    members = stored(index.select("*", least.alias("least"), F.max("uid").over(bucket).alias("most")).where("least.uid <> most").drop("most").distinct(), "buckets")
+    first = members.where((F.col("uid") != F.col("least.uid")) & _can(F.col("n"), F.col("at"), F.col("least.n"), F.col("least.at")))
+    links, tested = _similar(first.select(F.col("uid").alias("a"), F.col("least.uid").alias("b")), classes, docs)
     labels = stored(min_labels(links), "labels")
+    members = members.drop("least")
     for k in range(ROUNDS):
-        rest = members.where("size > 2").select("key", "uid").join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
-        order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "label")
-        other = rest.groupBy("key").agg(F.min(order).alias("r"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", F.col("r.uid").alias("b"), F.col("r.label").alias("lb"))
-        pairs = rest.join(other, "key").where("label <> lb").select(F.col("uid").alias("a"), "b")
-        more = _similar(pairs, facts, classes, docs)
+        rest = _labelled(members, labels)
+        order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "n", "at", "label")
+        other = rest.groupBy("key").agg(F.min(order).alias("r"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "r")
+        pairs = rest.join(other, "key").where((F.col("label") != F.col("r.label")) & _can(F.col("n"), F.col("at"), F.col("r.n"), F.col("r.at")))
+        more, compared = _similar(_untested(pairs.select(F.col("uid").alias("a"), F.col("r.uid").alias("b")), tested), classes, docs)
+        tested = tested.union(compared)
         if more.isEmpty():
             break
         links, old = stored(links.union(more), "links"), labels
         labels = stored(min_labels(links), "labels")
         discard(old)
-    of_class = stored(classes.select("digest", "uid").join(labels, F.col("uid") == F.col("id"), "left").select("digest", "uid", F.coalesce("label", "uid").alias("group")), "classes")
-    out = stored(profiles.select("doc_id", "copy", "digest").join(of_class, "digest").select("doc_id", "copy", "uid", "group"), "groups")
-    discard(members, classes, labels, links, profiles, of_class)
+    of_class = stored(classes.select("uid").join(labels, F.col("uid") == F.col("id"), "left").select("uid", F.coalesce("label", "uid").alias("group")), "classes")
+    out = stored(profiles.join(of_class, "uid").select("doc_id", "copy", "uid", "group"), "groups")
+    discard(classes, labels, links, profiles, of_class)
     return out
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: that with the smallest doc_id (nulls last).
 
