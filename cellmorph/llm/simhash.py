@@ -32,7 +32,7 @@ BROADCAST_ROWS = 1_000_000
 #: near_groups: shingles that repeat in a sample of about so many documents are indexed last, so many at most. Any order
 #: of shingles finds the same pairs; this one keeps buckets small.
 SAMPLE_DOCS, FREQUENT = 4000, 100_000
-#: Rounds of comparisons with further members of a bucket, while they find links.
+#: Rounds of comparisons with further members of a bucket, while they find links; they leave fewer pairs to the last pass.
 ROUNDS = 2
 
 
@@ -254,18 +254,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Rows with the same words are one class from the start. Classes meet in the index buckets: all of a bucket
     are compared with its smallest member, and while that finds links, with another member (by a hash, the
-    same one in all its buckets) if that is still in another component."""
+    same one in all its buckets) if that is still in another component. Then every pair of a bucket that is still
+    in different components is compared, so no link between groups is lost."""
     profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, uid long"), "profiles")
     classes = stored(profiles.groupBy("uid").agg(F.min(F.struct("doc_id", "copy")).alias("c")).select("uid", "c.*"), "classes")
     index = identified(docs).select("text").mapInArrow(_prefixes(_frequent(docs, profiles.count())), "key long, uid long, n int, at int")
     # One shuffle for all rows of the index; most keys have one class and end here.
     bucket = Window.partitionBy("key")
     least = F.min(F.struct("uid", "n", "at")).over(bucket)
-    members = stored(index.select("*", least.alias("least"), F.max("uid").over(bucket).alias("most")).where("least.uid <> most").drop("most").distinct(), "buckets")
-    first = members.where((F.col("uid") != F.col("least.uid")) & _can(F.col("n"), F.col("at"), F.col("least.n"), F.col("least.at")))
+    buckets = stored(index.select("*", least.alias("least"), F.max("uid").over(bucket).alias("most")).where("least.uid <> most").drop("most").distinct(), "buckets")
+    first = buckets.where((F.col("uid") != F.col("least.uid")) & _can(F.col("n"), F.col("at"), F.col("least.n"), F.col("least.at")))
     links, tested = _similar(first.select(F.col("uid").alias("a"), F.col("least.uid").alias("b")), classes, docs)
     labels = stored(min_labels(links), "labels")
-    members = members.drop("least")
+    members = buckets.drop("least")
     for k in range(ROUNDS):
         rest = _labelled(members, labels)
         order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "n", "at", "label")
@@ -278,6 +279,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
         links, old = stored(links.union(more), "links"), labels
         labels = stored(min_labels(links), "labels")
         discard(old)
+    # What is left: all pairs of a bucket that are still in different components and were not compared.
+    rest = _labelled(members, labels)
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest = stored(rest.join(mixed, "key"), "mixed")
+    p, q = (rest.select("key", F.col("uid").alias(u), F.struct("n", "at", "label").alias(c)) for u, c in (("a", "p"), ("b", "q")))
+    apart = (F.col("a") < F.col("b")) & (F.col("p.label") != F.col("q.label")) & _can(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at"))
+    more, _ = _similar(_untested(p.join(q, "key").where(apart).select("a", "b"), tested), classes, docs)
+    if not more.isEmpty():
+        labels = stored(min_labels(links.union(more)), "labels")
+    discard(buckets, rest)
     of_class = stored(classes.select("uid").join(labels, F.col("uid") == F.col("id"), "left").select("uid", F.coalesce("label", "uid").alias("group")), "classes")
     out = stored(profiles.join(of_class, "uid").select("doc_id", "copy", "uid", "group"), "groups")
     discard(classes, labels, links, profiles, of_class)

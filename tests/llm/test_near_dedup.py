@@ -48,3 +48,20 @@ def test_near_groups_loses_no_kind_of_edit(spark, frequent, monkeypatch):
     links = linked(texts)
     assert len(links) == 15 * (len(EDITS) + 1)
     assert same(groups(spark, texts), partition(len(texts), links))
+
+
+def test_near_groups_compares_all_of_a_bucket(spark, monkeypatch):
+    """Forty groups of two that share a passage: in its buckets the pairs are similar only to each other."""
+    monkeypatch.setattr(simhash, "FREQUENT", 0)
+    # The passage's shingles come first in every text's order, so that groups meet there and nowhere else.
+    real, passage = simhash._hashes, " ".join(f"p{i}" for i in range(40))
+    shared = set(real(simhash.words(passage)).tolist())
+    monkeypatch.setattr(simhash, "_hashes", lambda tokens: simhash.np.sort(simhash.np.array([x & 0xFFFF if x in shared else x | 1 << 63 for x in real(tokens).tolist()], simhash.np.uint64)))
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(100))
+        texts += [f"{passage} {base}", f"{passage} {base} end of it"]
+    links = linked(texts)
+    assert len(links) == 40
+    assert same(groups(spark, texts), partition(len(texts), links))
