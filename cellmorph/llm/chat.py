@@ -2,9 +2,9 @@
 
 Messages are rows (conv_id, turn, role, text). An assistant's text may be a JSON object with `tool_calls`
 (id, name, arguments, after: ids whose results it needs); a message of role `tool` names its `tool_call_id`.
-Calls and results meet in a hash join by conversation and identifier. Their order is topological: turns in
-their order, which puts every result after its call; within a turn by level, one more than the highest of the
-calls it waits for there, found by relaxing all edges at once. Arguments are checked against their tool's schema. Every message
+Calls and results meet in a hash join by conversation and identifier. Their order is topological: a call's
+level is one more than the highest level of the calls it waits for, in whatever turn these are and their results
+come; a result has its call's level. Chains are halved in every round (pointer doubling). Arguments are checked against their tool's schema. Every message
 becomes one JSON object with sorted keys and no spaces, so equal messages have equal texts.
 
 A row stays a row: conversations are not gathered, so one of any length is no large group.
@@ -19,7 +19,7 @@ are marked with the reason; an empty table gives no rows; other columns are igno
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 _CALL = "array<struct<id string, name string, arguments string, after array<string>>>"
 #: Production schemas: (tool, argument, JSON type, required).
@@ -70,27 +70,40 @@ def _first(df: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): a call's place among those of its turn: 0, or one above the highest it waits for there.
+    """(conv_id, call_id, level): 0 for calls that wait for none, else one above the highest waited for, of any turn.
 
-    Calls of earlier turns are done by then, and identifiers that are no call are not waited for. -1 marks calls
-    in a cycle, behind one, or waiting for a later turn. Every round resolves the calls whose needs are all
-    resolved, so there are as many rounds as the longest chain within one message has calls."""
+    Identifiers that are no call are not waited for. -1 marks calls in a cycle, behind one, or waiting for a call of a
+    later turn or behind such a one. An edge has a weight, the levels it spans. Every round resolves the calls whose needs
+    are all resolved; an edge to a call that waits for one call only then goes on to that one, so the rounds follow
+    the logarithm of a chain's length. Where calls wait for several that wait for several, they follow the length."""
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("need"))
     known = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    # A null turn is no later than itself.
-    edges = stored(edges.join(known, ["conv_id", "need"]).where("coalesce(need_turn >= turn, need_turn <=> turn)").withColumn("later", F.coalesce(F.col("need_turn") > F.col("turn"), F.lit(False))), "needs")
-    waiting = edges.select("conv_id", "call_id").distinct()
+    later = F.coalesce(F.col("need_turn") > F.col("turn"), F.lit(False))
+    # A call that waits for a later turn waits for itself: it is never resolved.
+    edges = edges.join(known, ["conv_id", "need"]).select("conv_id", "call_id", F.when(later, F.col("call_id")).otherwise(F.col("need")).alias("need"), F.lit(1).alias("span"))
+    # Of a waiting call: `best`, the level its resolved needs ask for, and its open needs.
+    left = stored(edges.distinct().withColumn("best", F.lit(0)), "needs")
+    waiting = left.select("conv_id", "call_id").distinct()
     solved = stored(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "level")
-    parts, left = [solved], edges.select("conv_id", "call_id", "need", "later", F.lit(None).cast("int").alias("best"))
+    parts = [solved]
     while left.limit(1).count():
         done = solved.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("of"))
-        per = left.join(done, ["conv_id", "need"], "left").select("conv_id", "call_id", "need", "later", F.coalesce("of", "best").alias("best"))
-        state = per.groupBy("conv_id", "call_id").agg((F.count("*") == F.count(F.when(~F.col("later"), F.col("best")))).alias("ready"), F.max("best").alias("top"))
-        solved = stored(state.where("ready").select("conv_id", "call_id", (F.col("top") + 1).alias("level")), "level")
+        met = left.join(done, ["conv_id", "need"], "left")
+        met = stored(met.select("conv_id", "call_id", F.when(F.col("of").isNull(), F.col("need")).alias("need"), "span", F.greatest("best", F.col("of") + F.col("span")).alias("best")), "met")
+        whole = met.groupBy("conv_id", "call_id").agg(F.max("best").alias("best"), F.count("need").alias("open"), F.max("need").alias("next"), F.max(F.when(F.col("need").isNotNull(), F.col("span"))).alias("more"))
+        whole = stored(whole, "waiting")
+        solved = stored(whole.where("open = 0").select("conv_id", "call_id", F.col("best").alias("level")), "level")
         if not solved.limit(1).count():
-            return _union([*parts, left.select("conv_id", "call_id").distinct().select("conv_id", "call_id", F.lit(-1).alias("level"))])
+            parts.append(whole.select("conv_id", "call_id", F.lit(-1).alias("level")))
+            break
         parts.append(solved)
-        left = stored(per.join(solved, ["conv_id", "call_id"], "left_anti"), "needs")
+        one = whole.where("open = 1").select("conv_id", F.col("call_id").alias("need"), "next", "more", F.col("best").alias("low"))
+        on = met.where("need is not null").join(one, ["conv_id", "need"], "left")
+        on = on.select("conv_id", "call_id", F.coalesce("next", "need").alias("need"), (F.col("span") + F.coalesce("more", F.lit(0))).alias("span"), F.greatest("best", F.when(F.col("next").isNotNull(), F.col("span") + F.col("low"))).alias("best"))
+        # What is asked by a resolved need counts for all open ones; of edges that now end at one call the longest does.
+        on = on.join(whole.select("conv_id", "call_id", F.col("best").alias("own")), ["conv_id", "call_id"])
+        last, left = left, stored(on.groupBy("conv_id", "call_id", "need").agg(F.max("span").alias("span"), F.max(F.greatest("best", "own")).alias("best")), "needs")
+        discard(last, met, whole)
     return _union(parts)
 
 
@@ -145,7 +158,7 @@ def quoted(value):
 def format_chat(table: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, level, turn, kind, call_id, status, message): one row per message, call and result.
 
-    In the order (conv_id, turn, level, kind) every call precedes its result and follows what it waits for;
+    In the order (conv_id, level, turn, kind) every call precedes its result and follows what it waits for;
     messages have a null level.
     """
     calls, results = stored(checked(_first(calls), schemas), "calls"), stored(_first(results), "results")
