@@ -42,7 +42,6 @@ _REST = r"""(?:[^<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*+)({_REST})>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_FRAME = re.compile(r"<(?:article|main)[\s>]", re.I)
 _PART = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -63,20 +62,19 @@ def _noise(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in content) of each block of a page."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, in content, in an article or main element) of each block of a page."""
+    out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     linked, in_link = 0, False
     noise: list[str] = []  # open elements from the outermost that is no content
     inside = 0  # open article or main elements
-    framed = _FRAME.search(page) is not None
 
     def flush():
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append((line, linked, not noise and (inside > 0 or not framed)))
+            out.append((line, linked, not noise, inside > 0))
         text.clear()
         linked = 0
 
@@ -152,11 +150,13 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, joined by an empty line. Marked articles are kept whole; SHARE and LINKED judge the rest."""
-    page = page or ""
-    marked = _FRAME.search(page) is not None
-    found = lines(page)
-    weights = [len(t) if kept and (marked or linked <= LINKED * len(t)) else 0 for t, linked, kept in found]
+    """The article's blocks, joined by an empty line. Articles that hold most of a page's weight are kept whole, and
+    only they; SHARE and LINKED judge all other pages."""
+    found = lines(page or "")
+    weights = [len(t) if kept and linked <= LINKED * len(t) else 0 for t, linked, kept, _ in found]
+    framed = [len(t) if kept and inside else 0 for t, _, kept, inside in found]
+    marked = sum(framed) > sum(w for w, (*_, inside) in zip(weights, found, strict=True) if not inside)
+    weights = framed if marked else weights
     spans = [(sum(weights[a:b]), a, b) for a, b in stretches(weights)]
     least = 0 if marked else SHARE * max((w for w, _, _ in spans), default=0)
     return "\n\n".join(found[i][0] for w, a, b in spans if w >= least for i in range(a, b) if weights[i])
