@@ -6,12 +6,14 @@ differ by one bit (or none) then share an index key, and an equality join brings
 
 Two operators share this: `hamming_components` links 64-bit fingerprints at two or fewer differing bits and
 is exact; `near_groups` finds documents whose sets of five-word shingles have a Jaccard similarity of at
-least 0.8. Its candidates share one of the rarest shingles of both (a prefix filter, which loses no pair), and
-the similarity of their whole sets verifies them.
+least 0.8. Its first candidates are those of the same index over fingerprints of five-word shingles. Two sets
+of that similarity often differ in more than two bits, so a second pass takes pairs that share one of the
+rarest shingles of both (a prefix filter, which loses no pair). The similarity of whole sets verifies both.
 
 Defined results: a null text is an empty one; documents without words have fingerprint zero and link like
 any other; repeated rows are copies; a null doc_id is a document that can't name a component; an empty
-table gives no rows; other columns never reach the index (and stay in the rows `near_groups` keeps).
+table gives no rows; texts are read whole, whatever their length; other columns never reach the index,
+whatever their names (and stay in the rows `keep_one` keeps).
 """
 
 import numpy as np
@@ -32,8 +34,8 @@ BROADCAST_ROWS = 1_000_000
 #: near_groups: shingles that repeat in a sample of about so many documents are indexed last, so many at most. Any order
 #: of shingles finds the same pairs; this one keeps buckets small.
 SAMPLE_DOCS, FREQUENT = 4000, 100_000
-#: Rounds of comparisons with further members of a bucket, while they find links; they leave fewer pairs to the last pass.
-ROUNDS = 2
+#: Classes that a task remembers, so that copies that follow each other are indexed once; a full store is emptied.
+SEEN = 1_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -56,10 +58,14 @@ def majority(hashes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     return total * 2 > len(hashes)
 
 
+def _print_of(found: list[bytes]) -> int:
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], "<u8")
+    return int(np.packbits(majority(hashes.view(np.uint8).reshape(-1, 8)), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+
+
 def fingerprint(text: str, k: int = 3) -> int:
     """The 64-bit SimHash of all shingles, repeats included, as a signed long."""
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(words(text), k)], "<u8")
-    return int(np.packbits(majority(hashes.view(np.uint8).reshape(-1, 8)), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+    return _print_of(shingles(words(text), k))
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -105,6 +111,7 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     bits left out in all; the members of such a key differ by two bits at most, so the smallest stands for
     all and no pairs are made.
     """
+    distinct = stored(distinct, "distinct")
     keys = [_tagged(i, _without(_high(), i)) for i in range(32)] + [_tagged(32, _low())]
     index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -123,16 +130,20 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     hot = hot.select("key", "fp", "mask", F.col("half").bitwiseAND(F.bitwise_not("mask")).alias("rest"), exact.alias("high"))
     stars = hot.groupBy("key", "mask", "rest", "high").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     linked = hot.join(stars, ["key", "mask", "rest", "high"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.union(linked).distinct()
+    links = stored(pairs.union(linked).distinct(), "links")
+    discard(distinct, members)
+    return links
 
 
 def hamming_components(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of <= 2 bits."""
     prints = stored(fingerprints(docs, k), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = min_labels(hamming_links(stored(distinct.select("fp"), "distinct")))
+    links = hamming_links(distinct.select("fp"))
+    labels = min_labels(links)
     of_print = distinct.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_print = stored(of_print, "labels")
+    discard(links)
     least = of_print.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(of_print.join(least, "label").select("fp", "component_id"), "fp")
 
@@ -153,10 +164,14 @@ def _hashes(tokens: list[bytes]) -> np.ndarray:
 
 
 def _profile(batches):
-    """The uid of each text's words."""
+    """The uid of each text's words and the fingerprint of its shingles."""
     for batch in batches:
-        uids = [_uid(words(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(uids, pa.int64())], ["doc_id", "copy", "uid"])
+        uids, prints = [], []
+        for text in batch.column("text").to_pylist():
+            tokens = words(text)
+            uids.append(_uid(tokens))
+            prints.append(_print_of(shingles(tokens, SHINGLE)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(uids, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "copy", "uid", "fp"])
 
 
 def _all_shingles(batches):
@@ -185,16 +200,22 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     keys, counts = frequent
 
     def task(batches):
+        seen: set[int] = set()
         for batch in batches:
             found, uids, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = words(text)
+                if (uid := _uid(tokens)) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(uid)
                 own = _hashes(tokens)
                 if len(own) and len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
                 found.append(own[: len(own) - least_common(len(own)) + 1 if len(own) else 0].view(np.int64))
-                uids.append(_uid(tokens))
+                uids.append(uid)
                 sizes.append(len(own))
             rows = [len(x) for x in found]
             at = np.concatenate([np.arange(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
@@ -212,9 +233,10 @@ def _shingle_sets(batches):
 
 
 def _can(n, at, m, to):
-    """Whether sets of n and m shingles that share those at places `at` and `to` of the global order can be similar: by
-    their sizes, and by how many each has before and after these places."""
-    common = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
+    """Whether sets of n and m shingles can be similar whose first common one, in the global order, has the places `at` and
+    `to`: by their sizes, and by how many each has after these places. A similar pair passes in the bucket of its first
+    common shingle, so testing this in every bucket loses none."""
+    common = 1 + F.least(n - at - 1, m - to - 1)
     return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (common * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6)
 
 
@@ -252,49 +274,52 @@ def _texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, uid, group) for every row of docs: group is the uid of one class of its near duplicates.
 
-    Rows with the same words are one class from the start. Classes meet in the index buckets: all of a bucket
-    are compared with its smallest member, and while that finds links, with another member (by a hash, the
-    same one in all its buckets) if that is still in another component. Then every pair of a bucket that is still
-    in different components is compared, so no link between groups is lost."""
-    profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, uid long"), "profiles")
-    classes = stored(profiles.groupBy("uid").agg(F.min(F.struct("doc_id", "copy")).alias("c")).select("uid", "c.*"), "classes")
+    Rows with the same words are one class from the start. Classes with fingerprints two bits apart are compared first.
+    Then classes meet in the buckets of the shingle index: all of a bucket are compared with its middle, the member with
+    the fewest rarer shingles, and last every pair of a bucket that is still in different components and passes the
+    index's bounds, so no link between groups is lost. In a group of near copies the middle is what they are copies of,
+    which links them all at once, and the bounds exclude those too far from it; few pairs are left."""
+    profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, uid long, fp long"), "profiles")
+    classes = stored(profiles.groupBy("uid").agg(F.min(F.struct("doc_id", "copy", "fp")).alias("c")).select("uid", "c.*"), "classes")
+    links, tested = _similar(_signature_pairs(classes), classes, docs)
     index = identified(docs).select("text").mapInArrow(_prefixes(_frequent(docs, profiles.count())), "key long, uid long, n int, at int")
     # One shuffle for all rows of the index; most keys have one class and end here.
     bucket = Window.partitionBy("key")
-    least = F.min(F.struct("uid", "n", "at")).over(bucket)
-    buckets = stored(index.select("*", least.alias("least"), F.max("uid").over(bucket).alias("most")).where("least.uid <> most").drop("most").distinct(), "buckets")
-    first = buckets.where((F.col("uid") != F.col("least.uid")) & _can(F.col("n"), F.col("at"), F.col("least.n"), F.col("least.at")))
-    links, tested = _similar(first.select(F.col("uid").alias("a"), F.col("least.uid").alias("b")), classes, docs)
+    middle = F.min(F.struct("at", "uid", "n")).over(bucket)
+    buckets = index.select("*", middle.alias("middle"), F.min("uid").over(bucket).alias("low"), F.max("uid").over(bucket).alias("high")).where("low <> high")
+    buckets = stored(buckets.drop("low", "high").distinct(), "buckets")
+    first = buckets.where((F.col("uid") != F.col("middle.uid")) & _can(F.col("n"), F.col("at"), F.col("middle.n"), F.col("middle.at")))
+    more, compared = _similar(_untested(first.select(F.col("uid").alias("a"), F.col("middle.uid").alias("b")), tested), classes, docs)
+    links, tested = stored(links.union(more), "links"), tested.union(compared)
     labels = stored(min_labels(links), "labels")
-    members = buckets.drop("least")
-    for k in range(ROUNDS):
-        rest = _labelled(members, labels)
-        order = F.struct(F.xxhash64("uid", F.lit(k)).alias("h"), "uid", "n", "at", "label")
-        other = rest.groupBy("key").agg(F.min(order).alias("r"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "r")
-        pairs = rest.join(other, "key").where((F.col("label") != F.col("r.label")) & _can(F.col("n"), F.col("at"), F.col("r.n"), F.col("r.at")))
-        more, compared = _similar(_untested(pairs.select(F.col("uid").alias("a"), F.col("r.uid").alias("b")), tested), classes, docs)
-        tested = tested.union(compared)
-        if more.isEmpty():
-            break
-        links, old = stored(links.union(more), "links"), labels
-        labels = stored(min_labels(links), "labels")
-        discard(old)
-    # What is left: all pairs of a bucket that are still in different components and were not compared.
-    rest = _labelled(members, labels)
+    # What is left: all pairs of a bucket that are in different components and were not compared.
+    rest = _labelled(buckets.drop("middle"), labels)
     mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rest = stored(rest.join(mixed, "key"), "mixed")
     p, q = (rest.select("key", F.col("uid").alias(u), F.struct("n", "at", "label").alias(c)) for u, c in (("a", "p"), ("b", "q")))
     apart = (F.col("a") < F.col("b")) & (F.col("p.label") != F.col("q.label")) & _can(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at"))
-    more, _ = _similar(_untested(p.join(q, "key").where(apart).select("a", "b"), tested), classes, docs)
+    more, compared = _similar(_untested(p.join(q, "key").where(apart).select("a", "b"), tested), classes, docs)
     if not more.isEmpty():
-        labels = stored(min_labels(links.union(more)), "labels")
-    discard(buckets, rest)
+        links, old = stored(links.union(more), "links"), labels
+        labels = stored(min_labels(links), "labels")
+        discard(old)
+    discard(buckets, rest, compared)
     of_class = stored(classes.select("uid").join(labels, F.col("uid") == F.col("id"), "left").select("uid", F.coalesce("label", "uid").alias("group")), "classes")
     out = stored(profiles.join(of_class, "uid").select("doc_id", "copy", "uid", "group"), "groups")
     discard(classes, labels, links, profiles, of_class)
     return out
 
 
+def _signature_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (uid, fp) by the deletion-variant index: those of one fingerprint meet its smallest, and the
+    smallest of two fingerprints at two or fewer bits meet each other."""
+    heads = stored(classes.groupBy("fp").agg(F.min("uid").alias("head")), "heads")
+    near = hamming_links(heads.select("fp"))
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = classes.join(heads, "fp").where("uid <> head").select("uid", "head")
+    return same.union(near).toDF("a", "b")
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
 
