@@ -1,18 +1,22 @@
 """Personal data by fixed rules and a skip-chain conditional random field.
 
-The rules find the base spans. The field then labels the other candidates of a document (numeric runs,
-words with an @): each node has log-linear potentials over its shape and its neighbouring words; chain
+The rules find the base spans. The field then labels the other candidates of a document: runs of 7 to 25 digits
+parted by at most two of space, point, hyphen and parentheses, and words of up to 64 characters, an @ and up to 255
+more. Each node has log-linear potentials over its shape and its neighbouring words; chain
 edges link candidates that follow each other closely, skip edges link each candidate to the next one
 anywhere in the document whose normal form repeats or resembles it. Base spans are observed; sum-product
 messages pass over the loopy graph, so that a candidate takes the label that its repetitions have.
 Candidates whose marginal reaches MARGINAL are added if they have a skip edge (what a span is by itself is
 the rules' business), under kinds that their characters allow; base spans stay.
 
-The potentials are trained piecewise on the base spans of a bounded sample, at most SAMPLE documents (by a
-hash of doc_id) with candidates: multinomial logistic unaries, smoothed log odds of label pairs for edges.
+The potentials are trained on a bounded sample, at most SAMPLE documents (by a hash of doc_id) with candidates:
+multinomial logistic unaries, smoothed log odds of label pairs for edges. Base spans are labelled; the labels of all
+other candidates are hidden, so they are estimated in turns with the potentials (expectation maximisation).
 
 Defined results: a null text is an empty one, with no spans; a null or repeated doc_id is kept as its own
-row; an empty table gives no rows. Offsets are code points, ends exclusive.
+row; an empty table gives no rows; a text of any length is searched as a whole; of kinds with equal marginals the
+first listed counts; other columns are ignored (`redact` keeps them), whatever their names. Offsets are code points,
+ends exclusive.
 """
 
 import hashlib
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, MARGINAL, ROUNDS = 4000, 0.9, 8
+SAMPLE, MARGINAL, ROUNDS = 4000, 0.9, 30
 FEATURES, STEPS, RATE, DECAY = 512, 200, 0.5, 1e-3
+#: Turns of estimating hidden labels; how sure they are nothing before the first; what an edge's pairs count in advance.
+TURNS, NOTHING, SAME, ANY = 3, 0.9, 10.0, 1.0
 #: Candidates that lie at most so many characters apart are chained.
 NEAR = 40
 
@@ -136,37 +142,68 @@ def graph(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return edges
 
 
+def observed(text: str) -> tuple[list, list, list, list]:
+    """(features, labels or -1, scores of impossible labels, edges) of a text's nodes."""
+    base = base_spans(text)
+    found = nodes(text, base)
+    possible = [[0.0] + [0.0 if k >= 0 or _plausible(text[a:b], kind) else -30.0 for kind in range(len(KINDS))] for a, b, k in found]
+    return [node_features(text, a, b) for a, b, _ in found], [k for _, _, k in found], possible, graph(text, found)
+
+
+def joined(parts: list[tuple[list, list, list, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The graphs of many texts as one, in arrays."""
+    x, y, possible, edges = [], [], [], []
+    for px, py, pp, pe in parts:
+        edges += [(len(x) + i, len(x) + j, kind) for i, j, kind in pe]
+        x += px
+        y += py
+        possible += pp
+    return np.array(x, np.int64).reshape(len(x), 6 if not x else -1), np.array(y, np.int64), np.array(possible, float).reshape(len(x), len(KINDS) + 1), np.array(edges, np.int64).reshape(-1, 3)
+
+
+def _unaries(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Logistic weights (FEATURES, labels) that fit the label shares q."""
+    w, size = np.zeros((FEATURES, q.shape[1])), np.full((FEATURES, q.shape[1]), 1e-8)
+    for _ in range(STEPS):
+        z = w[x].sum(1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = np.zeros_like(w)
+        np.add.at(g, x, ((p - q) / len(x))[:, None, :])
+        g += DECAY * w / len(x)
+        size += g * g
+        w -= RATE * g / np.sqrt(size)
+    return w
+
+
 def train(samples: list[str]) -> dict:
-    """Piecewise potentials from texts: base spans are their kinds, other candidates are none (label 0)."""
+    """Potentials from texts."""
+    return learn([observed(t) for t in samples])
+
+
+def learn(parts: list[tuple[list, list, list, list]]) -> dict:
+    """Potentials from the nodes and edges of texts (see `observed`)."""
     n = len(KINDS) + 1
-    x, y, pairs = [], [], np.ones((2, n, n))
-    for text in samples:
-        found = nodes(text, base_spans(text))
-        labels = [max(0, k) for _, _, k in found]
-        x += [node_features(text, a, b) for a, b, _ in found]
-        y += labels
-        for i, j, kind in graph(text, found):
-            pairs[kind, labels[i], labels[j]] += 1
-            pairs[kind, labels[j], labels[i]] += 1
-    w = np.zeros((FEATURES, n))
-    if x:
-        x, y = np.array(x), np.array(y)
-        one = np.eye(n)[y]
-        size = np.full((FEATURES, n), 1e-8)
-        for _ in range(STEPS):
-            z = w[x].sum(1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = np.zeros_like(w)
-            np.add.at(g, x, ((p - one) / len(x))[:, None, :])
-            g += DECAY * w / len(x)
-            size += g * g
-            w -= RATE * g / np.sqrt(size)
-    odds = []
-    for m in pairs:
-        joint = m / m.sum()
-        odds.append(np.log(joint / np.outer(joint.sum(1), joint.sum(0))))
-    return {"unary": w, "pair": np.clip(np.array(odds), -6, 6)}
+    x, y, possible, edges = joined(parts)
+    hidden = y < 0
+    q = np.eye(n)[np.maximum(y, 0)]
+    free = np.exp(possible) * (np.arange(n) > 0)
+    some = hidden & (free.sum(1) > 0.5)
+    q[some] = NOTHING * q[some] + (1 - NOTHING) * free[some] / free[some].sum(1, keepdims=True)
+    model: dict = {"unary": np.zeros((FEATURES, n)), "pair": np.zeros((2, n, n))}
+    for _ in range(TURNS if hidden.any() else 1):
+        # What is known of edges in advance: repeated spans are of one kind (1), neighbours of any (0).
+        pairs = np.full((2, n, n), ANY)
+        pairs[1] += SAME * np.eye(n)
+        for kind in (0, 1):
+            a, b = q[edges[edges[:, 2] == kind, 0]], q[edges[edges[:, 2] == kind, 1]]
+            pairs[kind] += a.T @ b + b.T @ a
+        joint = pairs / pairs.sum((1, 2), keepdims=True)
+        odds = np.log(joint / (joint.sum(2)[:, :, None] * joint.sum(1)[:, None, :]))
+        model = {"unary": _unaries(x, q) if len(x) else model["unary"], "pair": np.clip(odds, -6, 6)}
+        if hidden.any():
+            q = marginals(model, model["unary"][x].sum(1) + possible, edges, y)
+    return model
 
 
 def marginals(model: dict, unary: np.ndarray, edges: np.ndarray, observed: np.ndarray) -> np.ndarray:
@@ -182,9 +219,11 @@ def marginals(model: dict, unary: np.ndarray, edges: np.ndarray, observed: np.nd
             given = (belief[a] - message[back])[:, :, None] + pair
             top = given.max(1, keepdims=True)
             new = np.log(np.exp(given - top).sum(1)) + top[:, 0]
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+            last, message = message, 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
             belief = unary.copy()
             np.add.at(belief, b, message)
+            if np.abs(message - last).max() < 1e-6:
+                break
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -197,26 +236,20 @@ def _plausible(span: str, kind: int) -> bool:
 
 def find(model: dict, batch: list[str]) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
     """Per text: base spans of each kind, and all spans of each kind with those the field adds."""
-    out, x, edges, observed, where, possible = [], [], [], [], [], []
+    out, parts, where = [], [], []
     for d, text in enumerate(batch):
         base = base_spans(text)
         out.append((base, [list(s) for s in base]))
         found = nodes(text, base)
-        if all(k >= 0 for _, _, k in found):
-            continue
-        first = len(x)
-        for a, b, k in found:
-            x.append(node_features(text, a, b))
-            possible.append([0.0] + [0.0 if k >= 0 or _plausible(text[a:b], kind) else -30.0 for kind in range(len(KINDS))])
-            observed.append(k)
-            where.append((d, a, b))
-        edges += [(first + i, first + j, kind) for i, j, kind in graph(text, found)]
-    if x:
-        links = np.array(edges).reshape(-1, 3)
-        p = marginals(model, model["unary"][np.array(x)].sum(1) + np.array(possible), links, np.array(observed))
+        if any(k < 0 for _, _, k in found):
+            parts.append(observed(text))
+            where += [(d, a, b) for a, b, _ in found]
+    if parts:
+        x, y, possible, edges = joined(parts)
+        p = marginals(model, model["unary"][x].sum(1) + possible, edges, y)
         skipped = np.zeros(len(x), bool)
-        skipped[links[links[:, 2] == 1, :2]] = True
-        for i in np.flatnonzero((p[:, 1:].max(1) >= MARGINAL) & (np.array(observed) < 0) & skipped):
+        skipped[edges[edges[:, 2] == 1, :2]] = True
+        for i in np.flatnonzero((p[:, 1:].max(1) >= MARGINAL) & (y < 0) & skipped):
             d, a, b = where[i]
             out[d][1][int(p[i, 1:].argmax())].append((a, b))
     return [(base, [sorted(s) for s in spans]) for base, spans in out]
@@ -241,14 +274,26 @@ def redacted(text: str, spans: list[list[tuple[int, int]]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _graphs(batches):
+    """Each text's nodes and edges: what training needs of it."""
+    for batch in batches:
+        found = [observed(t) for t in batch.column("text").to_pylist()]
+        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(_GRAPH)]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "x", "y", "possible", "edges"])
+
+
+_GRAPH = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.int32()))]
+
+
 def fit(docs: DataFrame) -> dict:
-    """The model from about SAMPLE documents with candidates at most, by a hash of doc_id."""
+    """The model from SAMPLE documents with candidates at most, by a hash of doc_id. Their graphs are gathered, no texts."""
     rows = texts(docs).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"@|[0-9].{0,2}[0-9].{0,2}[0-9].{0,2}[0-9].{0,2}[0-9].{0,2}[0-9].{0,2}[0-9]"))
     n = docs.count()
     share = min(1.0, 5 * SAMPLE / max(1, n))  # of the few candidates' documents, first by hash, then by number
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).where(F.length("text") <= 50_000)
-    found = chosen.select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "text").orderBy("h", "doc_id", "text").limit(SAMPLE).collect()
-    return train([r["text"] for r in found])
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = chosen.select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "text").orderBy("h", "text").limit(SAMPLE)
+    found = chosen.mapInArrow(_graphs, "h long, x array<array<int>>, y array<int>, possible array<array<double>>, edges array<array<int>>").collect()
+    return learn([(r["x"], r["y"], r["possible"], r["edges"]) for r in sorted(found)])
 
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
