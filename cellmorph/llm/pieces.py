@@ -4,10 +4,12 @@ A text is cut where no merge can reach across (before a space mark, around a lin
 Aho-Corasick automaton finds the longest vocabulary entry at each place; a walk takes it, steps back to
 the next shorter prefix whenever the entry is incompatible with the one before it, and marks places that
 lead nowhere in a bit field. Two entries are compatible if merging their joint characters again gives just
-these two. The walk's only full path is the one the merge order would give.
+these two. The walk's only full path is the one the merge order would give. A chunk's ids are decoded once, and both
+are kept while the chunk repeats.
 
 Defined results: a null or empty text is the end id alone; unknown characters are byte ids; a null or
-repeated doc_id is kept as its own row; an empty table gives no rows.
+repeated doc_id is kept as its own row; an empty table gives no rows; a text of any length is encoded as a whole; of
+merges with equal scores the leftmost is first; other columns are ignored, whatever their names.
 """
 
 import hashlib
@@ -51,7 +53,7 @@ class Codec:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.hidden = {i for i in range(n) if model.is_control(i)}
-        self.unknown = model.unk_id()
+        self.unknown, self.mark = model.unk_id(), model.piece_to_id(SPACE)
         self.known = {p for p in self.plain if len(p) == 1}
         self.length = {i: len(p) for p, i in self.plain.items()}
         self.pairs: dict = {}
@@ -132,7 +134,7 @@ class Codec:
         return out
 
     def chunk(self, text: str) -> tuple[str, int, str]:
-        """(decimal ids joined by spaces, their number, decoded text) of a chunk; decoded is None with bytes in it."""
+        """(decimal ids joined by spaces, their number, the text they decode to) of a chunk."""
         if all(map(self.known.__contains__, text)):
             ids = self.walk(text)
         else:
@@ -147,7 +149,7 @@ class Codec:
                 ids += [self.bytes[b] for b in c.encode()]
             if run:
                 ids += self.walk("".join(run))
-        return " ".join(map(str, ids)), len(ids), text.replace(SPACE, " ")
+        return " ".join(map(str, ids)), len(ids), self.decode([self.mark, *ids])
 
     def encode_parts(self, text: str) -> list[tuple[str, int, str]]:
         if not text:
@@ -178,7 +180,7 @@ class Codec:
             if raw:
                 out.append(_utf8(raw))
                 raw, first = bytearray(), False
-            if i in self.hidden:
+            if i in self.hidden:  # as the end id
                 continue
             piece = " ⁇ " if i == self.unknown else self.pieces[i]
             if first and i != self.unknown:
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, with_ids: bool = True, path: str | None = None) -> D
             for text in batch.column("text").to_pylist():
                 parts = c.encode_parts(text)
                 ids = " ".join([*(x[0] for x in parts), str(END_ID)])
-                decoded = "".join([x[2] for x in parts])[1:]
+                decoded = "".join([x[2] for x in parts])[1:]  # the first space mark goes, as in decode()
                 n.append(sum([x[1] for x in parts]) + 1)
                 ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())

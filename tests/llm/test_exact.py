@@ -1,6 +1,7 @@
 """Operators against brute force, the public libraries and exact round trips."""
 
 import collections
+import hashlib
 import itertools
 import json
 import random
@@ -54,14 +55,43 @@ def test_packing_round_trip(spark, texts):
     assert {len(r["ids"]) for r in whole.where("n_tokens = 256").collect()} == {256}
 
 
-@settings(max_examples=200, deadline=None)
-@given(hs.text(max_size=40))
-def test_encoder_equals_the_json_file(text):
+@pytest.fixture(scope="module")
+def byte_bpe():
     from tokenizers import Tokenizer
 
-    t = test_encoder_equals_the_json_file.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=500, deadline=None)
+@given(hs.one_of(hs.text(max_size=40), hs.lists(hs.sampled_from([*"ab1 .,'\n\t\r\x0b\x1c\x85\xa0\u2003\u3000é中🙂", "  ", "the", "'s", " <|endoftext|>", "<|endof"]), max_size=20).map("".join)))
+def test_stretches_give_the_ids_of_the_whole(byte_bpe, text):
     for s in (text, f"{text}<|endoftext|>{text}"):
-        assert packing.encoder()(s).tolist() == t.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encoder()([s])[0], "<u2").tolist() == byte_bpe.encode(s, add_special_tokens=False).ids
+
+
+def test_encoder_store_may_overflow(byte_bpe, texts, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 60)
+    encode, some = packing.Encoder("byte_bpe_50k"), list(texts.values())
+    for i in range(0, len(some), 20):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(some[i : i + 20])] == [byte_bpe.encode(t, add_special_tokens=False).ids for t in some[i : i + 20]]
+
+
+def test_pack_query_fills_windows(spark, byte_bpe, texts):
+    rows = QUERIES["op1_pack"](spark, SF).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    for d, text in texts.items():
+        ids, at = np.array([*byte_bpe.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(by_doc[d], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for s, seq in by_seq.items():
+        seq = sorted(seq, key=lambda r: r["offset"])
+        assert [r["offset"] for r in seq] == list(itertools.accumulate((r["length"] for r in seq), initial=0))[:-1]
+        assert sum(r["length"] for r in seq) == 2048 or s == max(by_seq)
 
 
 def components(ids, links):
@@ -255,6 +285,21 @@ def test_pieces_of_any_text(library, text):
     assert "".join(x[2] for x in c.encode_parts(text))[1:] == library.decode(ids)
 
 
+def test_pieces_query_equals_the_library(spark, library, texts):
+    rows = QUERIES["op9_pieces"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = [*library.encode(texts[r["doc_id"]]), 2]
+        decoded = library.decode(ids)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_pieces_are_decoded_from_ids(monkeypatch):
+    c = pieces.Codec(public_tokenizers.path(pieces.MODEL))
+    monkeypatch.setattr(c, "walk", lambda text: [c.plain["x"]] * len(text))
+    assert c.encode_parts("ab")[0][2] == "xxx"  # other ids, other text
+
+
 def test_top_k_sql(spark):
     assert same(QUERIES["op6_top_k"](spark, SF), connect(SF), ORACLE_SQL["op6_top_k"]) == ""
 
