@@ -2,10 +2,12 @@
 word by the longest known character n-gram at each of its places, from four characters down to one.
 
 The counts come from a bounded sample: at most DOCS_PER_LANGUAGE documents of each language (chosen by a
-hash of doc_id), of whose counts the KNOWN most frequent words and n-grams of each language are kept.
+hash of doc_id). Their words and n-grams are known if they occur SEEN times in all; one that occurs less is unseen.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any learned language
-every text is; a null doc_id is scored, not held out, and not learned from; an empty table gives no rows.
+every text is; a null doc_id is scored, not held out, and not learned from; an empty table gives no rows; a text of
+any length is scored as a whole; of languages with equal scores the first by name is predicted; other columns are
+ignored (`accepted` keeps them), whatever their names.
 """
 
 import re
@@ -15,14 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, texts
 
 FOLDS = 5
 DOCS_PER_LANGUAGE = 4000
-KNOWN = 20_000
+SEEN = 2
 LONGEST = 4
 #: Words whose n-gram scores a process keeps; a full store is emptied.
 CACHE, STEP = 200_000, 20_000
@@ -64,27 +66,30 @@ def train(docs: DataFrame) -> dict:
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = sample(rows, "lang", DOCS_PER_LANGUAGE).select("lang", "text").mapInArrow(_count, "lang string, size int, token string, n long")
     counts = counts.groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token")
-    found = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= KNOWN).drop("r").collect()
-    return fit(found)
+    counts = counts.groupBy("size", "token").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("of")).where(F.col("all") >= SEEN)
+    found = counts.select(F.explode("of").alias("of"), "size", "token").select("of.lang", "size", "token", "of.n").toArrow()
+    return fit(zip(*(found.column(c).to_pylist() for c in ("lang", "size", "token", "n")), strict=True))
 
 
-def fit(found: list) -> dict:
+def fit(found) -> dict:
     """Log frequencies, add-one smoothed, of (lang, size, token, n) rows; size 0 is a word."""
-    languages = sorted({r[0] for r in found})
-    table: dict = defaultdict(lambda: np.zeros(len(languages)))
-    for lang, size, token, n in found:
-        table[size, token][languages.index(lang)] += n
-    totals = {size: np.ones(len(languages)) for size in range(LONGEST + 1)}
-    for (size, _), v in table.items():
-        totals[size] += v + 1
-    words, grams = {}, {}
-    vectors = [np.zeros(len(languages))]
-    for (size, token), v in sorted(table.items()):
-        (grams if size else words)[token] = len(vectors)
-        score = np.log((v + 1) / totals[size])
-        vectors.append(score - score.mean())
-    return {"id": uuid.uuid4().hex, "languages": languages, "words": words, "grams": grams, "vectors": np.array(vectors, np.float32)}
+    place: dict = {}  # of (size, token) in the table
+    of_lang: dict = {}
+    cells = [(place.setdefault((size, token), len(place)), of_lang.setdefault(lang, len(of_lang)), n) for lang, size, token, n in found]
+    languages = sorted(of_lang)
+    to = np.array([languages.index(x) for x in of_lang], np.int64)
+    table = np.zeros((len(place), len(languages)))
+    if cells:
+        rows, columns, n = np.array(cells, np.int64).T
+        np.add.at(table, (rows, to[columns]), n)
+    sizes = np.fromiter((size for size, _ in place), np.int64, len(place))
+    totals = np.ones((LONGEST + 1, len(languages)))
+    np.add.at(totals, sizes, table + 1)
+    scores = np.log((table + 1) / totals[sizes])
+    vectors = np.concatenate([np.zeros((1, len(languages))), scores - scores.mean(1, keepdims=True)]) if cells else np.zeros((1, 0))
+    words = {token: k + 1 for (size, token), k in place.items() if not size}
+    grams = {token: k + 1 for (size, token), k in place.items() if size}
+    return {"id": uuid.uuid4().hex, "languages": languages, "words": words, "grams": grams, "vectors": vectors.astype(np.float32)}
 
 
 class Scorer:
