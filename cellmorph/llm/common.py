@@ -38,6 +38,18 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """The process's object of a key, made once. Only that asked for last stays: tasks of one operator share it, and the
+    next operator's tasks, which run in the same processes, don't add theirs to it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id (long) and text (string, null as empty): other columns of docs never reach the tasks."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, texts
+from .common import crc_mod, kept, texts
 
 FOLDS = 5
 DOCS_PER_LANGUAGE = 4000
@@ -140,16 +140,9 @@ class Scorer:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-_scorers: dict = {}
-
-
 def scorer(model) -> Scorer:
     """The process's scorer of a broadcast model: tasks that follow each other share what it has met."""
-    key = model.value["id"]
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model.value)
-    return _scorers[key]
+    return kept(("language", model.value["id"]), lambda: Scorer(model.value))
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import kept, stored, texts
 
 WINDOW = 2048
 END_ID = 1
@@ -37,9 +37,6 @@ _STRETCH = re.compile(r"\s*\S+(?:(?! )\s+\S*)*|\s+")
 #: The vocabulary's special token parts the stretches of a block.
 _BETWEEN = "<|endoftext|>"
 
-_encoders: dict = {}
-
-
 class Encoder:
     """Ids (16-bit, little-endian) of texts by the public vocabulary's .json file; encodes each repeated stretch once."""
 
@@ -92,9 +89,7 @@ class Encoder:
 
 def encoder(name: str = "byte_bpe_50k") -> Encoder:
     """The process's encoder of a vocabulary."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return kept(("packing", name), lambda: Encoder(name))
 
 
 def _tokenise(batches):

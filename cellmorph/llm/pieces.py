@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import kept, texts
 
 MODEL = "piece_bpe_32k.model"
 END_ID = 2
@@ -28,14 +28,9 @@ SPACE = "▁"
 #: Entries of each per-process cache; a full cache is emptied, which changes speed alone.
 CACHE = 400_000
 
-_codecs: dict = {}
-
-
 def codec(path: str | None = None) -> "Codec":
     path = path or public_tokenizers.path(MODEL)
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return kept(("pieces", path), lambda: Codec(path))
 
 
 class Codec:
