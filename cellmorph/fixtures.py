@@ -8,12 +8,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _CELL_ID = "(l.l_linenumber + 10 * l.l_partkey + 100000000 * l.l_suppkey) * 100 + cast(l.l_quantity AS bigint)"
 _SCAN = "concat('scan_', lpad(cast(o.o_custkey % 48 AS string), 2, '0'))"
-_GRID = """
-FROM part p
-CROSS JOIN (SELECT DISTINCT p_partkey AS v FROM part WHERE p_partkey < 64) y
-CROSS JOIN (SELECT DISTINCT p_partkey AS v FROM part WHERE p_partkey < 64) x
-WHERE p.p_partkey < 50"""
-_DISC = "(x.v - 32) * (x.v - 32) + (y.v - 32) * (y.v - 32) <= (3 + p.p_size % 6) * (3 + p.p_size % 6)"
+# Of every part but each eleventh: the places of a 17x17 square around (32, 32), and lines of 55 through it.
+_DISC = "SELECT p.p_partkey AS cell_id, 24 + y.v AS y, 24 + x.v AS x FROM part p, range(17) AS y(v), range(17) AS x(v) WHERE p.p_partkey % 11 > 0 AND (x.v - 8) * (x.v - 8) + (y.v - 8) * (y.v - 8) <= (3 + p.p_size % 6) * (3 + p.p_size % 6)"
+_LINE = "FROM part p, range(55) AS s(v) WHERE p.p_partkey % 11 > 0 AND abs(s.v - 27) > 3 + p.p_size % 6 AND abs(s.v - 27) <="
 
 VIEWS = {
     # one row per cell (role: cell results)
@@ -45,11 +42,11 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_partkey %
 UNION ALL
 SELECT {_SCAN} AS scan_name, {_CELL_ID} AS cell_id, 'second_opinion' AS cluster_annotation, l.l_orderkey + 1000000 AS label_order
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_partkey % 100 = 0""",
-    # whole-cell masks (disc plus arms on a 64x64 grid), and soma masks (the disc only)
+    # whole-cell masks (disc plus arms on a 64x64 grid) of the parts, and soma masks (the disc only)
     "fx_pixels": f"""
-SELECT p.p_partkey AS cell_id, y.v AS y, x.v AS x {_GRID}
-  AND ({_DISC} OR (x.v = 32 AND abs(y.v - 32) <= 8 + p.p_size % 20) OR (p.p_partkey % 2 = 0 AND y.v = 32 AND abs(x.v - 32) <= 6 + p.p_size % 18))""",
-    "fx_soma": f"SELECT p.p_partkey AS cell_id, y.v AS y, x.v AS x {_GRID} AND {_DISC}",
+{_DISC} UNION ALL SELECT p.p_partkey AS cell_id, 5 + s.v AS y, cast(32 AS bigint) AS x {_LINE} 8 + p.p_size % 20
+UNION ALL SELECT p.p_partkey AS cell_id, cast(32 AS bigint) AS y, 5 + s.v AS x {_LINE} 6 + p.p_size % 18 AND p.p_partkey % 2 = 0""",
+    "fx_soma": _DISC,
     # label text, some malformed
     "fx_yolo_lines": """
 SELECT concat('img_', cast(l_orderkey % 500 AS string)) AS image_name,

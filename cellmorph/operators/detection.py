@@ -1,14 +1,20 @@
-"""Detection evaluation."""
+"""Detection evaluation (D1-D4), by class where the boxes have one."""
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of confidence that are counted first, so that no task holds a whole precision-recall curve.
+RANGES = 1000
+#: The overlaps that a mean average precision is the mean over.
+OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
 
 def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: float = 0.0) -> DataFrame:
-    """(image, pred_id, true_id, conf, iou) of boxes of one image that overlap more than `least`."""
+    """(image, pred_id, true_id, conf, iou) of boxes of one image that overlap more than `least`.
+
+    With a class among the columns `image`, only boxes of one class meet."""
     p = pred.select(*image, "pred_id", "conf", *(F.col(c).alias(f"p_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
     t = truth.select(*image, "true_id", *(F.col(c).alias(f"t_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
     both = p.join(t, list(image))
@@ -19,43 +25,70 @@ def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: floa
     return both.withColumn("iou", F.when(union > 0, inter / union).otherwise(0.0)).where(F.col("iou") > least).select(*image, "pred_id", "true_id", "conf", "iou")
 
 
-def match_boxes(pred: DataFrame, truth: DataFrame, image: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+def match_boxes(pred: DataFrame, truth: DataFrame, image: Sequence[str], thresholds: Sequence[float] = OVERLAPS) -> DataFrame:
     """(image, pred_id, conf, threshold, tp): boxes by falling confidence take the free true box of best overlap.
 
-    An image's overlaps are matched in one grouped task; predictions without any are false."""
+    An image's overlaps (bounded by its boxes) are one sorted array, walked once for each threshold."""
     ious = box_iou(pred, truth, image, min(thresholds) - 1e-12)
-    kinds = dict(pred.dtypes)
-
-    def task(values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        pairs = pdf.sort_values(["conf", "pred_id", "iou", "true_id"], ascending=[False, True, False, True])
-        for t in thresholds:
-            used, done = set(), set()
-            for p, g, iou in zip(pairs["pred_id"], pairs["true_id"], pairs["iou"], strict=True):
-                if p not in done and g not in used and iou >= t:
-                    done.add(p)
-                    used.add(g)
-                    rows.append((*values, p, t))
-        return pd.DataFrame(rows, columns=[*image, "pred_id", "threshold"])
-
-    hits = ious.groupBy(*image).applyInPandas(task, ", ".join([*(f"{c} {kinds[c]}" for c in image), f"pred_id {kinds['pred_id']}", "threshold double"]))
-    each = pred.select(*image, "pred_id", "conf", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    return each.join(hits.withColumn("tp", F.lit(1)), [*image, "pred_id", "threshold"], "left").fillna(0, ["tp"])
-
-
-def average_precision(matches: DataFrame, n_true: int, bins: int = 1000) -> DataFrame:
-    """(threshold, ap): area under the monotone precision-recall curve, with confidences in `bins` steps.
-
-    Boxes of a step enter together, so the curve is a window over bins, however many boxes there are."""
-    steps = matches.groupBy("threshold", F.round(F.col("conf") * bins).cast("long").alias("b")).agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy("threshold").orderBy(F.desc("b"))
-    curve = steps.select("threshold", "b", (F.sum("tp").over(down) / F.sum("n").over(down)).alias("precision"), (F.sum("tp").over(down) / F.lit(float(n_true))).alias("recall"))
-    rest = Window.partitionBy("threshold").orderBy(F.desc("b")).rowsBetween(0, Window.unboundedFollowing)
-    curve = curve.select("threshold", F.max("precision").over(rest).alias("p"), (F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0))).alias("dr"))
-    return curve.groupBy("threshold").agg(F.sum(F.col("p") * F.col("dr")).alias("ap"))
-
-
-def precision_recall_at(matches: DataFrame, n_true: int, conf: float = 0.5) -> DataFrame:
-    """(threshold, precision, recall) of the boxes above a confidence."""
-    s = matches.where(F.col("conf") > conf).groupBy("threshold").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-    return s.select("threshold", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.lit(float(n_true))).alias("recall"))
+    pair = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("p"), (-F.col("iou")).alias("i"), F.col("true_id").alias("t"))
+    sorted_ = ious.groupBy(*image).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    kinds = dict(ious.dtypes)
+    none = F.struct(F.array().cast(f"array<{kinds['pred_id']}>").alias("p"), F.array().cast(f"array<{kinds['true_id']}>").alias("t"))
+
+    def taken(t):
+        def step(s, x):
+            free = ~F.array_contains(s["p"], x["p"]) & ~F.array_contains(s["t"], x["t"]) & (-x["i"] >= t)
+            return F.when(free, F.struct(F.array_append(s["p"], x["p"]).alias("p"), F.array_append(s["t"], x["t"]).alias("t"))).otherwise(s)
+
+        return F.aggregate("pairs", none, step)["p"]
+
+    each = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), taken(t).alias("ids")) for t in thresholds))
+    hits = sorted_.select(*image, F.explode(each).alias("h")).select(*image, "h.threshold", F.explode("h.ids").alias("pred_id"), F.lit(1).alias("tp"))
+    every = pred.select(*image, "pred_id", "conf", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    return every.join(hits, [*image, "pred_id", "threshold"], "left").fillna(0, ["tp"])
+
+
+def average_precision(matches: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, ap): area under the monotone precision-recall curve of each class (columns `by`).
+
+    Boxes of one confidence enter together. The curve is exact: boxes are counted per range of confidence first, then
+    within each range. Classes of `truth` without any box have 0, boxes of classes without a true one don't count."""
+    keys = [*by, "threshold"]
+    steps = matches.groupBy(*keys, "conf").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")).withColumn("r", F.floor(F.col("conf") * RANGES))
+    ranges = steps.groupBy(*keys, "r").agg(F.sum("tp").alias("tps"), F.sum("n").alias("ns"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "r", F.coalesce(F.sum("tps").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("ns").over(above), F.lit(0)).alias("n0"))
+    down = Window.partitionBy(*keys, "r").orderBy(F.desc("conf"))
+    precision = (F.col("tp0") + F.sum("tp").over(down)) / (F.col("n0") + F.sum("n").over(down))
+    curve = steps.join(ranges, [*keys, "r"]).select(*keys, "r", "conf", "tp", precision.alias("precision"))
+    # The best precision at this confidence or any lower one: within the range, and in those below.
+    below = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    best = curve.groupBy(*keys, "r").agg(F.max("precision").alias("m")).select(*keys, "r", F.max("m").over(below).alias("later"))
+    own = Window.partitionBy(*keys, "r").orderBy("conf")
+    curve = curve.select(*keys, "r", "tp", F.max("precision").over(own).alias("own")).join(best, [*keys, "r"])
+    area = curve.groupBy(*keys).agg(F.sum(F.greatest("own", F.coalesce("later", F.lit(0.0))) * F.col("tp")).alias("area"))
+    return _of_classes(truth, matches, by).join(area, keys, "left").select(*keys, (F.coalesce("area", F.lit(0.0)) / F.col("n_true")).alias("ap"))
+
+
+def _of_classes(truth: DataFrame, matches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n_true, threshold): true boxes of each class, for each threshold that the matches have."""
+    counts = truth.groupBy(*by).agg(F.count("*").alias("n_true")).where("n_true > 0")
+    thresholds = matches.select("threshold").distinct().agg(F.collect_set("threshold").alias("ts"))
+    return counts.join(F.broadcast(thresholds), F.lit(True)).select(*by, "n_true", F.explode("ts").alias("threshold"))
+
+
+def mean_average_precision(matches: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ap50, ap50_95) of each class, and their means over classes in a row whose class is null."""
+    ap = average_precision(matches, truth, by)
+    found = ap.groupBy(*by).agg(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    if not by:
+        return found
+    whole = found.agg(F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95"))
+    return found.unionByName(whole.select(*(F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in by), "ap50", "ap50_95"))
+
+
+def precision_recall_at(matches: DataFrame, truth: DataFrame, conf: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, precision, recall) of the boxes above a confidence; precision is null where there are none."""
+    s = matches.where(F.col("conf") > conf).groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    every = _of_classes(truth, matches, by).join(s, [*by, "threshold"], "left")
+    return every.select(*by, "threshold", (F.col("tp") / F.col("n")).alias("precision"), (F.coalesce("tp", F.lit(0)) / F.col("n_true")).alias("recall"))

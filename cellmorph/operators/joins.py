@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import draw
+
 from ..functions.text import extract_donor
 from ..schema import require
 from .ranking import keep_first
@@ -86,8 +88,8 @@ def assert_no_overlap(a: DataFrame, b: DataFrame, on: str) -> None:
 
 
 def pairwise_distance(df: DataFrame, key: str, vector: str, limit: int = 1000) -> DataFrame:
-    """(a, b, distance) of all pairs of a sample of up to `limit` rows (by key): a sampling operator, so bounded."""
-    few = df.where(F.col(vector).isNotNull()).orderBy(key).limit(limit)
+    """(a, b, distance) of all pairs of a sample of up to `limit` rows (by a hash of key): a sampling operator, so bounded."""
+    few = df.where(F.col(vector).isNotNull()).orderBy(draw([key], 0), key).limit(limit)
     left, right = few.select(F.col(key).alias("a"), F.col(vector).alias("_x")), few.select(F.col(key).alias("b"), F.col(vector).alias("_y"))
     square = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     return left.crossJoin(right).where("a <> b").select("a", "b", F.sqrt(square).alias("distance"))

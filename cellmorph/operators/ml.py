@@ -2,13 +2,16 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import pairwise_distance
+from .sampling import draw
 from .stats import zscore
 
 
@@ -18,9 +21,18 @@ def assembled(df: DataFrame, cols: Sequence[str], scale: bool = True) -> DataFra
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(zscore(rows, cols) if scale else rows)
 
 
+def vectors(df: DataFrame, vector: str) -> DataFrame:
+    """df's rows that have a vector, with `features`: the array as it is."""
+    return df.where(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+
+
 def pca(df: DataFrame, cols: Sequence[str], k: int = 2) -> tuple[DataFrame, list[float]]:
-    """(rows with pc array, explained variance shares)."""
-    rows = assembled(df, cols)
+    """(rows with pc array, explained variance shares) of z-scored columns."""
+    return pca_of(assembled(df, cols), k)
+
+
+def pca_of(rows: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
+    """The same of rows with `features`."""
     model = PCA(k=k, inputCol="features", outputCol="_pc").fit(rows)
     return model.transform(rows).withColumn("pc", vector_to_array("_pc")).drop("features", "_pc"), model.explainedVariance.toArray().tolist()
 
@@ -46,8 +58,8 @@ def best_k(rows: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4), seed: int =
 
 
 def silhouette(df: DataFrame, key: str, vector: str, label: str, limit: int = 1000) -> DataFrame:
-    """One row (silhouette, n): Euclidean, over a sample of up to `limit` rows by key."""
-    few = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).orderBy(key).limit(limit)
+    """One row (silhouette, n): Euclidean, over a sample of up to `limit` rows by a hash of key."""
+    few = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).orderBy(draw([key], 0), key).limit(limit)
     labels = few.select(F.col(key).alias("a"), F.col(label).alias("la"))
     pairs = pairwise_distance(few, key, vector, limit).join(labels, "a").join(labels.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
     means = pairs.groupBy("a", "la", "lb").agg(F.avg("distance").alias("d"))
@@ -67,32 +79,55 @@ def _square(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def fuzzy_cmeans(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0, tol: float = 0.005, rounds: int = 100, seed: int = 0) -> DataFrame:
+def _members(v: np.ndarray, centres: np.ndarray, m: float) -> np.ndarray:
+    """(rows, centres): memberships of the rows of v."""
+    inverse = (1.0 / np.maximum(((v[:, None] - centres) ** 2).sum(2), 1e-12)) ** (1.0 / (m - 1))
+    return inverse / inverse.sum(1, keepdims=True)
+
+
+def _weighted_sums(centres: np.ndarray, last: np.ndarray | None, m: float):
+    """A task's sums: x of (centre i, dimension j), of the weights (j -1), and (i -1) the largest change from `last`."""
+
+    def task(batches):
+        weight, sums, change = np.zeros(len(centres)), np.zeros_like(centres), 0.0
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for part in np.array_split(v, -(-len(v) // 2048)):
+                    u = _members(part, centres, m)
+                    if last is not None:
+                        change = max(change, float(np.abs(u - _members(part, last, m)).max()))
+                    weight += (u**m).sum(0)
+                    sums += (u**m).T @ part
+        rows = [(-1, -1, change)] + [(i, -1, float(w)) for i, w in enumerate(weight)] + [(i, j, float(x)) for i, line in enumerate(sums) for j, x in enumerate(line)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["i", "j", "x"])
+
+    return task
+
+
+def fuzzy_cmeans(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0, tol: float = 0.005, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """(key, membership): k centres are moved to weighted means until memberships change by less than tol.
 
-    Only the centres (k vectors) pass through the driver; each round is one aggregation over the rows."""
+    Only the centres (k vectors) pass through the driver; each round is one aggregation over the rows, whose vectors have
+    one length."""
     rows = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")).persist()
     try:
         first = rows.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).limit(k).collect()
-        centres, dims = [r["v"] for r in first], len(first[0]["v"])
-        power = 1.0 / (m - 1)
-
-        def members(c):
-            d = [F.greatest(_square("v", F.array(*map(F.lit, x))), F.lit(1e-12)) for x in c]
-            inverse = [F.pow(1.0 / x, power) for x in d]
-            total = sum(inverse[1:], inverse[0])
-            return F.array(*(i / total for i in inverse))
-
+        if not first:
+            return rows.select(key, F.col("v").alias("membership"))
+        centres, last = np.array([r["v"] for r in first]), None
         for _ in range(rounds):
-            weighted = rows.withColumn("u", members(centres))
-            sums = [F.sum(F.pow(F.col("u")[i], m)).alias(f"w{i}") for i in range(k)] + [F.sum(F.pow(F.col("u")[i], m) * F.col("v")[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(dims)]
-            s = weighted.agg(*sums).first()
-            new = [[s[f"s{i}_{j}"] / s[f"w{i}"] for j in range(dims)] for i in range(k)]
-            change = rows.select(F.max(F.array_max(F.zip_with(members(centres), members(new), lambda x, y: F.abs(x - y)))).alias("c")).first()["c"]
-            centres = new
-            if change < tol:
+            sums = rows.select("v").mapInArrow(_weighted_sums(centres, last, m), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("s"), F.max("x").alias("most")).collect()
+            if last is not None and max(r["most"] for r in sums if r["i"] < 0) < tol:
                 break
-        return rows.select(key, members(centres).alias("membership"))
+            last, centres = centres, np.zeros_like(centres)
+            weight = {r["i"]: r["s"] for r in sums if r["j"] < 0 <= r["i"]}
+            for r in sums:
+                if r["j"] >= 0:
+                    centres[r["i"], r["j"]] = r["s"] / weight[r["i"]]
+        d = [F.greatest(_square("v", F.array(*map(F.lit, x))), F.lit(1e-12)) for x in centres.tolist()]
+        inverse = [F.pow(1.0 / x, 1.0 / (m - 1)) for x in d]
+        return rows.select(key, F.array(*inverse).alias("u")).select(key, F.transform("u", lambda x: x / F.aggregate("u", F.lit(0.0), lambda t, y: t + y)).alias("membership"))
     finally:
         rows.unpersist()
 
@@ -104,7 +139,7 @@ def soft_metrics(df: DataFrame, membership: str = "membership", threshold: float
 
 
 def continuity(high: DataFrame, low: DataFrame, key: str, vector: str, k: int = 10, limit: int = 500) -> DataFrame:
-    """One row (value, n): how far neighbours in `high` stay near in `low`; 1 is best. Over a sample by key."""
+    """One row (value, n): how far neighbours in `high` stay near in `low`; 1 is best. Over a sample by a hash of key."""
 
     def ranks(df, name):
         w = Window.partitionBy("a").orderBy("distance", "b")
@@ -112,7 +147,7 @@ def continuity(high: DataFrame, low: DataFrame, key: str, vector: str, k: int =
 
     near = ranks(high, "h").where(F.col("h") <= k)
     late = near.join(ranks(low, "l"), ["a", "b"])
-    n = high.where(F.col(vector).isNotNull()).orderBy(key).limit(limit).agg(F.count("*").alias("n"))
+    n = high.where(F.col(vector).isNotNull()).limit(limit).agg(F.count("*").alias("n"))
     penalty = late.agg(F.coalesce(F.sum(F.greatest(F.col("l") - k, F.lit(0))), F.lit(0)).alias("penalty"))
     return penalty.crossJoin(n).select((1 - F.col("penalty") / (k * F.col("n") * (2 * F.col("n") - 3 * k - 1) / 2.0)).alias("value"), "n")
 

@@ -47,6 +47,11 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
 
 
+def _shared(t: Tables) -> str:
+    """The folder that executors share."""
+    return t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellmorph-")
+
+
 def labelled(t: Tables) -> DataFrame:
     """Cells with their scan's covariates."""
     return t.fx_cells.join(t.fx_scans, "scan_name")
@@ -112,8 +117,8 @@ query("g9_patches_for", lambda t: sp.patches_for(t.fx_cells, 1, 2048, 2048))
 PATCH = lambda t: t.nation.select(F.col("n_nationkey").alias("patch"), (F.col("n_nationkey") * 17).alias("px"), (F.col("n_nationkey") * 11).alias("py"))
 query(
     "g10_clip_to_patch",
-    lambda t: r6(sp.clip_to_patch(PATCH(t), t.fx_cells.where("scan_no < 4").select("cell_id", *BOX), 128).select("patch", "cell_id", "cx", "cy", "w", "h"), "cx", "cy", "w", "h"),
-    "WITH j AS (SELECT n_nationkey AS patch, cell_id, greatest(xmin, n_nationkey * 17) - n_nationkey * 17 a, greatest(ymin, n_nationkey * 11) - n_nationkey * 11 b, least(xmax, n_nationkey * 17 + 128) - n_nationkey * 17 c, least(ymax, n_nationkey * 11 + 128) - n_nationkey * 11 d FROM nation, fx_cells WHERE scan_no < 4 AND xmax > n_nationkey * 17 AND xmin < n_nationkey * 17 + 128 AND ymax > n_nationkey * 11 AND ymin < n_nationkey * 11 + 128) SELECT patch, cell_id, round((a + c) / 2.0 / 128, 6) AS cx, round((b + d) / 2.0 / 128, 6) AS cy, round((c - a) / 128.0, 6) AS w, round((d - b) / 128.0, 6) AS h FROM j WHERE c - a > 1 AND d - b > 1",
+    lambda t: r6(sp.clip_to_patch(PATCH(t), t.fx_cells.select("cell_id", *BOX), 128).select("patch", "cell_id", "cx", "cy", "w", "h"), "cx", "cy", "w", "h"),
+    "WITH j AS (SELECT n_nationkey AS patch, cell_id, greatest(xmin, n_nationkey * 17) - n_nationkey * 17 a, greatest(ymin, n_nationkey * 11) - n_nationkey * 11 b, least(xmax, n_nationkey * 17 + 128) - n_nationkey * 17 c, least(ymax, n_nationkey * 11 + 128) - n_nationkey * 11 d FROM nation, fx_cells WHERE xmax > n_nationkey * 17 AND xmin < n_nationkey * 17 + 128 AND ymax > n_nationkey * 11 AND ymin < n_nationkey * 11 + 128) SELECT patch, cell_id, round((a + c) / 2.0 / 128, 6) AS cx, round((b + d) / 2.0 / 128, 6) AS cy, round((c - a) / 128.0, 6) AS w, round((d - b) / 128.0, 6) AS h FROM j WHERE c - a > 1 AND d - b > 1",
 )
 query(
     "g11_bodies_in_wholes",
@@ -125,8 +130,8 @@ query(
     lambda t: geo.crop_plan(t.fx_cells, 20, 512, 512, 64).select("cell_id", *(F.col(c).cast("integer").alias(c) for c in ("crop_x", "crop_y", "crop_w", "crop_h", "out_w", "out_h")), "ds"),
     "WITH a AS (SELECT cell_id, xmin - 20 x, ymin - 20 y, xmax - xmin + 40 w, ymax - ymin + 40 h FROM fx_cells), b AS (SELECT cell_id, greatest(x, 0) x, greatest(y, 0) y, w + least(x, 0) w, h + least(y, 0) h FROM a), c AS (SELECT cell_id, x, y, least(w, 512 - x) w, least(h, 512 - y) h FROM b WHERE x < 512 AND y < 512), d AS (SELECT *, CASE WHEN greatest(w, h) > 64 THEN ceil(greatest(w, h) / 64.0) ELSE 1.0 END ds FROM c WHERE w > 1 AND h > 1) SELECT cell_id, cast(x AS integer) AS crop_x, cast(y AS integer) AS crop_y, cast(w AS integer) AS crop_w, cast(h AS integer) AS crop_h, cast(floor(w / cast(ds AS double) + 0.5) AS integer) AS out_w, cast(floor(h / cast(ds AS double) + 0.5) AS integer) AS out_h, cast(ds AS double) AS ds FROM d",
 )
-ids = lambda t: t.part.where("p_partkey < 60").select(F.col("p_partkey").alias("cell_id"))
-query("g13_mask_bbox", lambda t: longs(sp.mask_bbox(t.fx_pixels, ids(t), ["cell_id"]), "bx", "by", "bw", "bh"), "SELECT p_partkey AS cell_id, coalesce(min(x), 0) AS bx, coalesce(min(y), 0) AS \"by\", coalesce(max(x) - min(x) + 1, 0) AS bw, coalesce(max(y) - min(y) + 1, 0) AS bh FROM part LEFT JOIN fx_pixels ON p_partkey = cell_id WHERE p_partkey < 60 GROUP BY 1")
+ids = lambda t: t.part.select(F.col("p_partkey").alias("cell_id"))
+query("g13_mask_bbox", lambda t: longs(sp.mask_bbox(t.fx_pixels, ids(t), ["cell_id"]), "bx", "by", "bw", "bh"), "SELECT p_partkey AS cell_id, coalesce(min(x), 0) AS bx, coalesce(min(y), 0) AS \"by\", coalesce(max(x) - min(x) + 1, 0) AS bw, coalesce(max(y) - min(y) + 1, 0) AS bh FROM part LEFT JOIN fx_pixels ON p_partkey = cell_id GROUP BY 1")
 
 # --- joins
 EXPERT_SQL = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_name, cell_id ORDER BY label_order) r FROM fx_expert) WHERE r = 1)"
@@ -158,7 +163,7 @@ query("j11_rest_of", lambda t: jn.rest_of(t.fx_cells, chosen(t), CELL).select(*C
 query("j12_attach_image_label", lambda t: jn.attach_image_label(t.fx_cells.select("cell_id", F.col("image_name").alias("stem")), t.fx_cells.groupBy(F.col("image_name").alias("stem")).agg(F.count("*").alias("n"), F.max("cluster").cast("string").alias("label")).where("n > 20").drop("n")).select("cell_id", "label"), "SELECT cell_id, l.label AS label FROM fx_cells c JOIN (SELECT image_name, cast(max(cluster) AS varchar) label FROM fx_cells GROUP BY 1 HAVING count(*) > 20) l ON c.image_name = l.image_name")
 query("j13_overlap", lambda t: jn.overlap(t.fx_cells.where("cluster = 1"), t.fx_cells.where("cluster = 2"), "image_name"), "SELECT DISTINCT image_name FROM fx_cells WHERE cluster = 1 AND image_name IN (SELECT image_name FROM fx_cells WHERE cluster = 2)")
 query("j14_neighbours", lambda t: px.neighbours(t.fx_soma).select("cell_id", "y", "x", "ny", "nx"), "SELECT a.cell_id AS cell_id, a.y AS y, a.x AS x, b.y AS ny, b.x AS nx FROM fx_soma a JOIN fx_soma b ON a.cell_id = b.cell_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND NOT (a.x = b.x AND a.y = b.y)")
-query("j15_pairwise_distance", lambda t: r6(jn.pairwise_distance(t.embeddings, "vec_id", "embedding", 100), "distance"), "WITH e AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 100) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] AS double) - z[2]) * (cast(z[1] AS double) - z[2])))), 6) AS distance FROM e a, e b WHERE a.vec_id <> b.vec_id")
+query("j15_pairwise_distance", lambda t: r6(jn.pairwise_distance(t.embeddings, "vec_id", "embedding", 100), "distance"), "WITH e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', cast(vec_id AS varchar), '0')), vec_id LIMIT 100) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] AS double) - z[2]) * (cast(z[1] AS double) - z[2])))), 6) AS distance FROM e a, e b WHERE a.vec_id <> b.vec_id")
 
 # --- aggregates
 query("a1_scans_per_group", lambda t: agg.scans_per_group(t.fx_scans), "SELECT diagnosis_group, count(DISTINCT scan_name) AS n_scans FROM fx_scans GROUP BY 1")
@@ -247,17 +252,25 @@ _R = lambda keys, seed, part="", frm="fx_cells": f"r AS (SELECT *, row_number()
 query("r1_sample_k", lambda t: smp.sample_k(t.fx_cells, 100, KEYS, 7).select(*KEYS), f"WITH {_R(KEYS, 7)} SELECT scan_name, cell_id FROM r WHERE rank < 100")
 query("r2_split3", lambda t: smp.split3(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r")
 query("r3_split_70_15_15", lambda t: smp.split_70_15_15(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < ceil(ceil(n * 0.3::DOUBLE) * 0.5) THEN 'test' WHEN rank < ceil(n * 0.3::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")
-query("r4_kfold", lambda t: longs(smp.kfold(t.fx_cells, ["cell_id"]).select("cell_id", "fold", "split"), "fold"), f"WITH {_R(['cell_id'], 0)}, e AS (SELECT cell_id, rank % 5 AS own, fold FROM r, range(5) f(fold)), q AS (SELECT cell_id, fold, row_number() OVER (PARTITION BY fold ORDER BY {_H(['cell_id', 'fold'], 0)}, cell_id) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM e WHERE own <> fold) SELECT cell_id, fold, CASE WHEN k < ceil(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM q UNION ALL SELECT cell_id, fold, 'test' FROM e WHERE own = fold")
+query("r4_kfold", lambda t: longs(smp.kfold(t.fx_cells, ["cell_id"]).select("cell_id", "fold", "split"), "fold"), f"WITH h AS MATERIALIZED (SELECT cell_id, {_H(['cell_id'], 0)} AS h FROM fx_cells), r AS MATERIALIZED (SELECT cell_id, (row_number() OVER (ORDER BY h, cell_id) - 1) % 5 AS own FROM h), e AS MATERIALIZED (SELECT cell_id, own, fold, {_H(['cell_id', 'fold'], 0)} AS h FROM r, range(5) f(fold)), q AS (SELECT cell_id, fold, row_number() OVER (PARTITION BY fold ORDER BY h, cell_id) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM e WHERE own <> fold) SELECT cell_id, fold, CASE WHEN k < ceil(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM q UNION ALL SELECT cell_id, fold, 'test' FROM e WHERE own = fold")
 query("r5_repeated_splits", lambda t: longs(smp.repeated_splits(t.fx_cells, ["cell_id"], 3).select("cell_id", "fold", "split"), "fold"), f"WITH e AS (SELECT cell_id, fold FROM fx_cells, range(3) f(fold)), {_R(['cell_id', 'fold'], 0, 'PARTITION BY fold', 'e')} SELECT cell_id, fold, CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r")
 query("r6_split2", lambda t: smp.split2(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM r")
 query("r7_labelled_fraction", lambda t: smp.labelled_fraction(t.fx_cells, KEYS, 0.25).select(*KEYS, "labelled"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, rank < greatest(1, round_even(n * 0.25::DOUBLE, 0)) AS labelled FROM r")
-query("r8_learning_curve_plan", lambda t: longs(smp.learning_curve_plan(t.fx_cells.where("scan_no < 8"), ["cell_id"], (1, 5, 10), 2), "split_seed"), f"WITH p AS (SELECT unnest([0.1, 0.1, 0.5, 0.5, 1.0])::DOUBLE AS portion, unnest([0, 1, 0, 1, 0]) AS split_seed), e AS (SELECT cell_id, portion, split_seed FROM fx_cells, p WHERE scan_no < 8), {_R(['cell_id', 'split_seed'], 0, 'PARTITION BY portion, split_seed', 'e')} SELECT cell_id, portion, cast(split_seed AS bigint) AS split_seed FROM r WHERE rank < greatest(1, floor(n * portion))")
+query("r8_learning_curve_plan", lambda t: longs(smp.learning_curve_plan(t.fx_cells, ["cell_id"], (1, 5, 10), 2), "split_seed"), f"WITH p AS (SELECT unnest([0.1, 0.1, 0.5, 0.5, 1.0])::DOUBLE AS portion, unnest([0, 1, 0, 1, 0]) AS split_seed), e AS (SELECT cell_id, portion, split_seed FROM fx_cells, p), {_R(['cell_id', 'split_seed'], 0, 'PARTITION BY portion, split_seed', 'e')} SELECT cell_id, portion, cast(split_seed AS bigint) AS split_seed FROM r WHERE rank < greatest(1, floor(n * portion))")
 IMAGE = ["scan_name", "image_name"]
 query("r9_random_review", lambda t: smp.random_review(t.fx_cells, 50, IMAGE), f"SELECT scan_name, image_name FROM (SELECT DISTINCT scan_name, image_name FROM fx_cells WHERE conf > 0.5) ORDER BY {_H(IMAGE, 0)}, scan_name, image_name LIMIT 50")
 query("r10_inspect_sample", lambda t: smp.inspect_sample(t.fx_cells, 20, IMAGE), f"WITH s AS (SELECT scan_name, image_name FROM (SELECT DISTINCT scan_name, image_name FROM fx_cells) ORDER BY {_H(IMAGE, 0)}, scan_name, image_name LIMIT 20) SELECT scan_name, image_name, count(*) AS n_boxes FROM fx_cells JOIN s USING (scan_name, image_name) GROUP BY 1, 2")
 
 # --- files
-query("s2_combine_counts", lambda t: t.fx_cells.agg(F.count("*").alias("n_rows"), F.count_distinct("scan_name").alias("n_scans")), "SELECT count(*) AS n_rows, count(DISTINCT scan_name) AS n_scans FROM fx_cells")
+def _combined(t: Tables) -> DataFrame:
+    """Cells written through combine_results and read back, with the row it returns."""
+    path = f"{_shared(t)}/combined-{uuid.uuid4().hex}"
+    said = src.combine_results(t.fx_cells, path)
+    back = t.spark.read.parquet(path).groupBy("scan_name").agg(F.count("*").alias("n_cells"), F.count_distinct("cell_id").alias("n_ids"))
+    return back.join(F.broadcast(said.select("n_rows", "n_scans")), F.lit(True))
+
+
+query("s2_combine_results", _combined, "SELECT scan_name, count(*) AS n_cells, count(DISTINCT cell_id) AS n_ids, (SELECT count(*) FROM fx_cells) AS n_rows, (SELECT count(DISTINCT scan_name) FROM fx_cells) AS n_scans FROM fx_cells GROUP BY 1")
 query("s3_parse_yolo_lines", lambda t: src.parse_yolo_lines(t.fx_yolo_lines).groupBy("image_name").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 6).alias("cx")), "SELECT image_name, count(*) AS n, round(sum(cast(split_part(line, ' ', 2) AS double)), 6) AS cx FROM fx_yolo_lines WHERE line LIKE '% 0.0625 0.125' GROUP BY 1")
 query("s4_yolo_lines", lambda t: src.yolo_lines(geo.xyxy_to_yolo(t.fx_cells, 512, 512).withColumn("cls", F.lit(0)).withColumn("image_name", F.concat_ws("/", "scan_name", "image_name"))).select("image_name", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.md5("text").alias("digest")), "WITH l AS (SELECT concat(scan_name, '/', image_name) AS image_name, printf('0 %.6f %.6f %.6f %.6f', (xmin + xmax) / 2.0 / 512, (ymin + ymax) / 2.0 / 512, cast(xmax - xmin AS double) / 512, cast(ymax - ymin AS double) / 512) AS line FROM fx_cells) SELECT image_name, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1")
 query("s11_candidates", lambda t: src.candidates(t.fx_cells.select("cell_id"), 1000, ["cell_id"]), "SELECT cell_id FROM fx_cells ORDER BY cell_id LIMIT 1000")
@@ -337,30 +350,32 @@ query(
     lambda t: r6(det.box_iou(preds(t), truth(t), IMAGE, 0.2).select("pred_id", "true_id", "iou"), "iou"),
     "WITH p AS (SELECT scan_name, image_name, cell_id AS pred_id, xmin + cell_id % 4 a, ymin + cell_id % 4 b, xmax + cell_id % 4 c, ymax + cell_id % 4 d FROM fx_cells), j AS (SELECT pred_id, cell_id AS true_id, cast(greatest(least(c, xmax) - greatest(a, xmin), 0) AS double) * greatest(least(d, ymax) - greatest(b, ymin), 0) i, (c - a) * (d - b) + (xmax - xmin) * (ymax - ymin) u FROM p JOIN fx_cells USING (scan_name, image_name) WHERE cluster < 3) SELECT pred_id, true_id, round(i / (u - i), 6) AS iou FROM j WHERE u > i AND i / (u - i) > 0.2",
 )
-matches = lambda t: det.match_boxes(preds(t), truth(t), IMAGE, [0.5, 0.75])
-query("d2_match_boxes", lambda t: matches(t).groupBy("threshold").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")))
-query("d3_average_precision", lambda t: r6(det.average_precision(matches(t), truth(t).count()), "ap"))
-query("d4_precision_recall_at", lambda t: r6(det.precision_recall_at(matches(t), truth(t).count()), "precision", "recall"))
+CLASS = ["cls"]
+classed = lambda t: (preds(t).withColumn("cls", F.col("pred_id") % 3), truth(t).withColumn("cls", F.col("true_id") % 3))
+matches = lambda t: det.match_boxes(*classed(t), [*IMAGE, *CLASS])
+query("d2_match_boxes", lambda t: matches(t).groupBy("cls", "threshold").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")))
+query("d3_average_precision", lambda t: r6(det.average_precision(matches(t), classed(t)[1], CLASS), "ap"))
+query("d3_mean_average_precision", lambda t: r6(det.mean_average_precision(matches(t), classed(t)[1], CLASS), "ap50", "ap50_95"))
+query("d4_precision_recall_at", lambda t: r6(det.precision_recall_at(matches(t), classed(t)[1], 0.5, CLASS), "precision", "recall"))
 
 # --- plans
 query("q1_composition_by_diagnosis", lambda t: r6(cohort.composition_by_diagnosis(t.fx_cells, t.fx_scans), "p"), "WITH k AS (SELECT * FROM fx_cells WHERE cell_solidity IS NOT NULL), q AS (SELECT quantile_cont(cell_area, 0.002) a, quantile_cont(cell_area, 0.998) b FROM k), c AS (SELECT k.* FROM k, q WHERE cell_area BETWEEN a AND b AND xmin > 1 AND ymin > 1 AND xmax < 511 AND ymax < 511), n AS (SELECT scan_name, count(*) n FROM c GROUP BY 1), m AS (SELECT scan_name FROM n WHERE n >= (SELECT quantile_cont(n, 0.1) FROM n)) SELECT diagnosis_group, scan_name, cluster, round(count(*) / cast(sum(count(*)) OVER (PARTITION BY scan_name) AS double), 6) AS p, cast(sum(count(*)) OVER (PARTITION BY scan_name) AS bigint) AS n_cells FROM c JOIN m USING (scan_name) JOIN fx_scans USING (scan_name) GROUP BY 1, 2, 3")
 
 # --- clustering and selection
-DIMS = ["e0", "e1", "e2", "e3"]
-flat = lambda t: t.embeddings.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMS)))
+whole = lambda t: ml.vectors(t.embeddings.select("vec_id", "label", "embedding"), "embedding")
 low = lambda t: t.embeddings.select("vec_id", F.slice("embedding", 1, 2).alias("embedding"))
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.{0}, b.{0}), lambda z: (cast(z[1] AS double) - z[2]) * (cast(z[1] AS double) - z[2]))))"
-_E = "e AS (SELECT vec_id, label, embedding, embedding[1:2] AS low FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 300)"
-query("m1_pca", lambda t: ml.pca(flat(t), DIMS)[0].select("vec_id", F.round(F.abs(F.col("pc")[0]), 4).alias("pc0"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc1")))
-query("m2_kmeans", lambda t: ml.kmeans(ml.assembled(flat(t), DIMS), 4, 0, 3)[0].groupBy("cluster").agg(F.count("*").alias("n")))
-query("m3_best_k", lambda t: r6(ml.best_k(ml.assembled(flat(t), DIMS), "vec_id", (2, 3), 0, 200), "silhouette"))
+_E = "e AS (SELECT vec_id, label, embedding, embedding[1:2] AS low FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', cast(vec_id AS varchar), '0')), vec_id LIMIT 300)"
+query("m1_pca", lambda t: ml.pca_of(whole(t))[0].select("vec_id", F.round(F.abs(F.col("pc")[0]), 4).alias("pc0"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc1")))
+query("m2_kmeans", lambda t: ml.kmeans(whole(t), 4, 0, 3)[0].groupBy("cluster").agg(F.count("*").alias("n")))
+query("m3_best_k", lambda t: r6(ml.best_k(whole(t), "vec_id", (2, 3), 0, 200), "silhouette"))
 query(
     "m4_silhouette",
     lambda t: r6(ml.silhouette(t.embeddings, "vec_id", "embedding", "label", 300), "silhouette"),
     f"WITH {_E}, d AS (SELECT a.vec_id v, a.label la, b.label lb, {_DIST.format('embedding')} d FROM e a, e b WHERE a.vec_id <> b.vec_id), m AS (SELECT v, la, lb, avg(d) d FROM d GROUP BY 1, 2, 3), s AS (SELECT v, max(CASE WHEN la = lb THEN d END) i, min(CASE WHEN la <> lb THEN d END) o FROM m GROUP BY 1) SELECT round(avg(CASE WHEN i IS NULL THEN 0 ELSE (o - i) / greatest(i, o) END), 6) AS silhouette, count(*) AS n FROM s WHERE o IS NOT NULL",
 )
-query("m5_gmm", lambda t: ml.soft_metrics(ml.gmm(ml.assembled(flat(t), DIMS), 3)).select("k"))
-query("m6_fuzzy_cmeans", lambda t: ml.fuzzy_cmeans(t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("v")), "vec_id", "v", 3, rounds=20).select("vec_id", F.round(F.aggregate("membership", F.lit(0.0), lambda s, x: s + x), 6).alias("total")))
+query("m5_gmm", lambda t: ml.gmm(whole(t), 3).select("vec_id", F.transform(F.array_sort("membership"), lambda x: F.round(x, 4)).alias("membership")))
+query("m6_fuzzy_cmeans", lambda t: ml.fuzzy_cmeans(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 3).select("vec_id", F.transform(F.array_sort("membership"), lambda x: F.round(x, 4)).alias("membership")))
 query(
     "m7_soft_metrics",
     lambda t: r6(longs(ml.soft_metrics(agg.cluster_props(t.fx_cells, "cluster", range(4)).select(F.array(*PARTS).alias("membership")), threshold=0.3), "k"), "mean_entropy", "max_entropy", "pct_confident"),
@@ -369,14 +384,14 @@ query(
 _CONT = "WITH {e}, d AS (SELECT a.vec_id a, b.vec_id b, {h} h, {l} l FROM e a, e b WHERE a.vec_id <> b.vec_id), r AS (SELECT row_number() OVER (PARTITION BY a ORDER BY h, b) h, row_number() OVER (PARTITION BY a ORDER BY l, b) l FROM d), n AS (SELECT count(*) n FROM e) SELECT round(1 - (SELECT sum(greatest(l - 10, 0)) FROM r WHERE h <= 10) / (10 * n * (2 * n - 31) / 2.0), 6) AS value, n FROM n"
 query("m8_continuity", lambda t: r6(ml.continuity(t.embeddings, low(t), "vec_id", "embedding", 10, 300), "value"), _CONT.format(e=_E, h=_DIST.format("embedding"), l=_DIST.format("low")))
 query("m9_trustworthiness", lambda t: r6(ml.trustworthiness(t.embeddings, low(t), "vec_id", "embedding", 10, 300), "value"), _CONT.format(e=_E, h=_DIST.format("low"), l=_DIST.format("embedding")))
-query("m10_diverse_select", lambda t: r6(ml.diverse_select(low(t), "vec_id", "embedding", 8), "score"))
-query("m11_active_select", lambda t: r6(ml.active_select(low(t).where("vec_id % 10 > 0"), low(t).where("vec_id % 10 = 0"), "vec_id", "embedding", 8), "score"))
+query("m10_diverse_select", lambda t: r6(ml.diverse_select(t.embeddings, "vec_id", "embedding", 8), "score"))
+query("m11_active_select", lambda t: r6(ml.active_select(t.embeddings.where("label <> 0"), t.embeddings.where("label = 0"), "vec_id", "embedding", 8), "score"))
 
 
 # --- streams
 def _landed(t: Tables) -> tuple[str, str]:
     """Cells as result files in the shared folder, and that folder: what a stream reads."""
-    base = f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='cellmorph-')}/landed-{uuid.uuid4().hex}"
+    base = f"{_shared(t)}/landed-{uuid.uuid4().hex}"
     rows = flt.with_cell_id(t.fx_cells).select("cell_area", "image_name", "scan_name", "global_cell_id")
     rows.repartition("scan_name").write.option("header", True).csv(f"{base}/in")
     return base, "cell_area DOUBLE, image_name STRING, scan_name STRING, global_cell_id STRING"

@@ -84,11 +84,62 @@ def test_matching_is_one_to_one(spark):
     true = spark.createDataFrame([("i", 1, 1.0, 0, 0, 10, 10)], box.format("true_"))
     m = detection.match_boxes(pred, true, ["image"], [0.5])
     assert {r["pred_id"]: r["tp"] for r in m.collect()} == {1: 1, 2: 0, 3: 0}
-    assert detection.average_precision(m, 1).first()["ap"] == pytest.approx(1.0)
-    at = detection.precision_recall_at(m, 1, 0.75).first()
+    assert detection.average_precision(m, true).first()["ap"] == pytest.approx(1.0)
+    at = detection.precision_recall_at(m, true, 0.75).first()
     assert (at["precision"], at["recall"]) == (0.5, 1.0)
 
 
+def _greedy(pred, true, t):
+    """{pred_id} that match at overlap t: boxes (image, cls, id, conf, xmin, ymin, xmax, ymax) by falling confidence."""
+    hits, used = set(), set()
+    pairs = []
+    for p in pred:
+        for g in true:
+            if p[:2] == g[:2]:
+                w, h = min(p[6], g[6]) - max(p[4], g[4]), min(p[7], g[7]) - max(p[5], g[5])
+                inter = max(w, 0) * max(h, 0)
+                iou = inter / ((p[6] - p[4]) * (p[7] - p[5]) + (g[6] - g[4]) * (g[7] - g[5]) - inter)
+                if iou >= t:
+                    pairs.append((-p[3], p[2], -iou, g[2]))
+    for _, p, _, g in sorted(pairs):
+        if p not in hits and g not in used:
+            hits.add(p)
+            used.add(g)
+    return hits
+
+
+def test_average_precision_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(detection, "RANGES", 7)
+    rng = np.random.default_rng(5)
+
+    def box(i, p):
+        x, y, w, h = (int(v) for v in (*rng.integers(0, 12, 2), *rng.integers(4, 9, 2)))
+        return (f"i{i % 4}", int(rng.integers(2)), i, round(float(rng.random()), 2) if p else 1.0, x, y, x + w, y + h)
+
+    true, pred = [box(i, False) for i in range(40)], [box(i, True) for i in range(90)]
+    schema = "image string, cls int, {}_id int, conf double, xmin int, ymin int, xmax int, ymax int"
+    p, g = spark.createDataFrame(pred, schema.format("pred")), spark.createDataFrame(true, schema.format("true")).drop("conf")
+    m = detection.match_boxes(p, g, ["image", "cls"], detection.OVERLAPS)
+    got = {(r["cls"], r["threshold"]): r["ap"] for r in detection.average_precision(m, g, ["cls"]).collect()}
+    want = {}
+    for c in (0, 1):
+        n = sum(x[1] == c for x in true)
+        for t in detection.OVERLAPS:
+            own = [x for x in pred if x[1] == c]
+            hits = _greedy(own, true, t)
+            confs = sorted({x[3] for x in own}, reverse=True)
+            curve = [(sum(x[2] in hits for x in own if x[3] >= k), sum(x[3] >= k for x in own)) for k in confs]
+            best = [max(tp / all_ for tp, all_ in curve[i:]) for i in range(len(curve))]
+            want[c, t] = sum(b * (curve[i][0] - (curve[i - 1][0] if i else 0)) / n for i, b in enumerate(best))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    means = {r["cls"]: (r["ap50"], r["ap50_95"]) for r in detection.mean_average_precision(m, g, ["cls"]).collect()}
+    for c in (0, 1):
+        assert means[c] == (pytest.approx(want[c, 0.5]), pytest.approx(np.mean([want[c, t] for t in detection.OVERLAPS])))
+    assert means[None][1] == pytest.approx((means[0][1] + means[1][1]) / 2)
+    none = detection.precision_recall_at(m, g, 2.0, ["cls"]).collect()
+    assert len(none) == 20 and {(r["precision"], r["recall"]) for r in none} == {(None, 0.0)}
+
+
 def test_farthest_points(spark):
     df = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in enumerate((0, 1, 2, 10))], "k long, v array<double>")
     picks = ml.diverse_select(df, "k", "v", 3).orderBy("rank").collect()
