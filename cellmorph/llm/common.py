@@ -42,7 +42,7 @@ _kept: dict = {}
 
 
 def kept(key, make):
-    """The process's object of a key, made once. Only that asked for last stays: tasks of one operator share it, and the
+    """The process's object of a key, made once (asked for with another key, others are freed). Only that asked for last stays: tasks of one operator share it, and the
     next operator's tasks, which run in the same processes, don't add theirs to it."""
     if key not in _kept:
         _kept.clear()
@@ -50,6 +50,13 @@ def kept(key, make):
     return _kept[key]
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices, so that a task holds few rows as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id (long) and text (string, null as empty): other columns of docs never reach the tasks."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, texts
+from .common import crc_mod, kept, slices, texts
 
 FOLDS = 5
 DOCS_PER_LANGUAGE = 4000
 SEEN = 2
 LONGEST = 4
 #: Words whose n-gram scores a process keeps; a full store is emptied.
-CACHE, STEP = 200_000, 20_000
+CACHE, STEP = 100_000, 20_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -35,7 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def _count(batches):
     words = defaultdict(Counter)
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words[lang].update(_WORD.findall(text.lower()))
     rows = []
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def task(batches):
         own = scorer(shared)
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -164,7 +164,7 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
 
     def task(batches):
         own = scorer(shared)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [own.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

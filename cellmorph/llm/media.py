@@ -15,7 +15,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts
 
 SAMPLE = 576
 TIMESCALE = 8000
@@ -143,7 +143,7 @@ def encode_containers(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's container."""
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_container(pad(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"]
@@ -156,7 +156,7 @@ def media_columns(media: DataFrame) -> DataFrame:
     """The media column replaced by its facts: codec, timescale, duration, keyframes, payload and file digests."""
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column("media").to_pylist():
                 (track,) = read_container(data)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, stored, texts
+from .common import kept, slices, stored, texts
 
 WINDOW = 2048
 END_ID = 1
@@ -94,7 +94,7 @@ def encoder(name: str = "byte_bpe_50k") -> Encoder:
 
 def _tokenise(batches):
     encode, part, start = encoder(), TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in slices(batches):
         ids, starts = [x + _END for x in encode(batch.column("text").to_pylist())], []
         for x in ids:
             starts.append(start)
@@ -118,7 +118,7 @@ def global_offsets(tokenised: DataFrame) -> DataFrame:
 
 def _cut(window):
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, first, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u2").astype("<u4")
@@ -162,7 +162,7 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     """
 
     def decode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([np.frombuffer(p["ids"], "<u4") for p in parts]).tolist()

@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import kept, texts
+from .common import kept, slices, texts
 
 MODEL = "piece_bpe_32k.model"
 END_ID = 2
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, with_ids: bool = True, path: str | None = None) -> D
 
     def task(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_hash, text_hash, ids_out, text_out = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 parts = c.encode_parts(text)

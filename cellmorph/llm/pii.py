@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import kept, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, MARGINAL, ROUNDS = 4000, 0.9, 30
@@ -276,7 +276,7 @@ def redacted(text: str, spans: list[list[tuple[int, int]]]) -> str:
 
 def _graphs(batches):
     """Each text's nodes and edges: what training needs of it."""
-    for batch in batches:
+    for batch in slices(batches):
         found = [observed(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(_GRAPH)]
         yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "x", "y", "possible", "edges"])
@@ -301,7 +301,8 @@ def spans(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        for batch in batches:
+        kept("pii", dict)
+        for batch in slices(batches):
             found = find(shared.value, batch.column("text").to_pylist())
             counts = [pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -316,7 +317,8 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
     names = docs.columns
 
     def task(batches):
-        for batch in batches:
+        kept("pii", dict)
+        for batch in slices(batches):
             old = batch.column("text").to_pylist()
             found = find(shared.value, [t or "" for t in old])
             new = [None if t is None else redacted(t, s) for t, (_, s) in zip(old, found, strict=True)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, min_labels, stored, texts
+from .common import discard, kept, min_labels, slices, stored, texts
 
 SEED = 42
 #: Buckets of up to this many fingerprints are joined pair by pair, larger ones by two-wildcard keys.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp long) of every whole text."""
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, k) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(task, "doc_id long, fp long")
@@ -165,7 +165,8 @@ def _hashes(tokens: list[bytes]) -> np.ndarray:
 
 def _profile(batches):
     """The uid of each text's words and the fingerprint of its shingles."""
-    for batch in batches:
+    kept("simhash", dict)
+    for batch in slices(batches):
         uids, prints = [], []
         for text in batch.column("text").to_pylist():
             tokens = words(text)
@@ -175,7 +176,7 @@ def _profile(batches):
 
 
 def _all_shingles(batches):
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column("text").to_pylist():
             yield pa.RecordBatch.from_arrays([pa.array(_hashes(words(text)).view(np.int64))], ["key"])
 
@@ -201,7 +202,7 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
 
     def task(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             found, uids, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = words(text)
@@ -214,7 +215,7 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
                 if len(own) and len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
-                found.append(own[: len(own) - least_common(len(own)) + 1 if len(own) else 0].view(np.int64))
+                found.append(own[: len(own) - least_common(len(own)) + 1 if len(own) else 0].view(np.int64).copy())
                 uids.append(uid)
                 sizes.append(len(own))
             rows = [len(x) for x in found]
@@ -227,9 +228,10 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
 
 def _shingle_sets(batches):
     """32 bits of each shingle's hash: two texts of 500 shingles share one by chance once in 17,000 pairs."""
-    for batch in batches:
-        sets = [sorted({xxhash.xxh32_intdigest(s) - (1 << 31) for s in shingles(words(t), SHINGLE)}) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.list_(pa.int32()))], ["uid", "hashes"])
+    for batch in slices(batches):
+        sets = [np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(words(t), SHINGLE)), np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["uid", "hashes"])
 
 
 def _can(n, at, m, to):
