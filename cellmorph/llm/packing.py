@@ -31,9 +31,10 @@ BROADCAST_PARTITIONS = 1_000_000
 #: Stretches of text whose ids a process keeps, and the characters of one at most; a full store is emptied.
 CACHE, LONGEST = 400_000, 64
 #: Characters of the texts, and stretches, that are encoded at once.
-SLICE, BLOCK = 1 << 20, 1000
-#: A space after a character that is no white space begins a token, whatever surrounds it: texts can be cut there.
-_STRETCH = re.compile(r"\s*\S+(?:(?! )\s+\S*)*|\s+")
+SLICE, BLOCK = 1 << 20, 300
+#: A space after a character that is no white space begins a token, whatever surrounds it, and so does one of these marks
+#: after a letter: texts can be cut there.
+_STRETCH = re.compile(r"\s*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|\S+(?:(?! )\s+\S*)*)|\s+")
 #: The vocabulary's special token parts the stretches of a block.
 _BETWEEN = "<|endoftext|>"
 
@@ -61,14 +62,16 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [_STRETCH.findall(t) for t in texts]
-        get = self.known.get
-        found = [list(map(get, parts)) for parts in cut]
-        new = {x for parts, ids in zip(cut, found, strict=True) if None in ids for x, i in zip(parts, ids, strict=True) if i is None}
-        fresh = self._ids(list(new))
-        out = [b"".join(ids if None not in ids else [fresh[x] if i is None else i for x, i in zip(parts, ids, strict=True)]) for parts, ids in zip(cut, found, strict=True)]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-        self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
+        known = self.known
+        new = set().union(*cut).difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set().union(*cut)
+        known |= self._ids(list(new))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for x in new:
+            if len(x) > LONGEST:
+                del known[x]
         return out
 
     def _ids(self, stretches: list[str]) -> dict[str, bytes]:
