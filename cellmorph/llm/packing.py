@@ -29,7 +29,7 @@ _END = END_ID.to_bytes(2, "little")
 BROADCAST_PARTITIONS = 1_000_000
 
 #: Stretches of text whose ids a process keeps, and the characters of one at most; a full store is emptied.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 800_000, 64
 #: Characters of the texts, and stretches, that are encoded at once.
 SLICE, BLOCK = 1 << 20, 300
 #: A space after a character that is no white space begins a token, whatever surrounds it, and so does one of these marks
