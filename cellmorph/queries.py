@@ -21,6 +21,7 @@ from .operators import sampling as smp
 from .operators import spatial as sp
 from .operators import stats as st
 from .plans import cohort
+from .sources import coco
 from .sources import files as src
 from .streaming import ingest
 
@@ -171,6 +172,7 @@ query("a2_scan_level", lambda t: r6(agg.scan_level(labelled(t), FEATURES, ["sex"
 query("a3_inconsistent", lambda t: longs(agg.inconsistent(labelled(t), ["sex", "cluster"]), "n_values"), "SELECT scan_name, 'cluster' AS \"column\", count(DISTINCT cluster) AS n_values FROM fx_cells GROUP BY 1 HAVING count(DISTINCT cluster) > 1")
 query("a4_drop_small_scans", lambda t: agg.drop_small_scans(t.fx_cells)[0].groupBy("scan_name").agg(F.count("*").alias("n_cells")), "WITH n AS (SELECT scan_name, count(*) n_cells FROM fx_cells GROUP BY 1) SELECT scan_name, n_cells FROM n WHERE n_cells >= (SELECT quantile_cont(n_cells, 0.1) FROM n)")
 query("a4_scan_threshold", lambda t: r6(longs(agg.drop_small_scans(t.fx_cells)[2], "removed"), "threshold"), "WITH n AS (SELECT scan_name, count(*) n_cells FROM fx_cells GROUP BY 1), q AS (SELECT quantile_cont(n_cells, 0.1) t FROM n) SELECT round(max(t), 6) AS threshold, count(*) FILTER (n_cells < t) AS removed FROM n, q")
+query("p15_cluster_columns", lambda t: (lambda d: r6(d.select("scan_name", F.array(*flt.cluster_columns(d, "hard_cluster_")).alias("parts")).select("scan_name", *(F.col("parts")[k].alias(f"p{k}") for k in range(4))), "p0", "p1", "p2", "p3"))(agg.cluster_props(t.fx_cells, "cluster", range(4)).select("scan_name", *(f"hard_cluster_{k}" for k in (3, 1, 0, 2)))), "SELECT scan_name, " + ", ".join(f"round(count(*) FILTER (cluster = {k}) / cast(count(*) AS double), 6) AS p{k}" for k in range(4)) + " FROM fx_cells WHERE cluster IS NOT NULL GROUP BY scan_name")
 query("a5_cluster_props", lambda t: r6(agg.cluster_props(t.fx_cells, "cluster", range(4)), *(f"hard_cluster_{k}" for k in range(4))), "SELECT scan_name, " + ", ".join(f"round(count(*) FILTER (cluster = {k}) / cast(count(*) AS double), 6) AS hard_cluster_{k}" for k in range(4)) + ", count(*) AS n_cells FROM fx_cells WHERE cluster IS NOT NULL GROUP BY scan_name")
 query("a5_composition_long", lambda t: r6(agg.composition_long(t.fx_cells, "cluster"), "p"), "SELECT scan_name, cluster, round(count(*) / cast(sum(count(*)) OVER (PARTITION BY scan_name) AS double), 6) AS p, cast(sum(count(*)) OVER (PARTITION BY scan_name) AS bigint) AS n_cells FROM fx_cells GROUP BY 1, 2")
 query("a6_contingency", lambda t: agg.contingency(t.fx_cells.join(t.fx_expert, ["scan_name", "cell_id"]), "cluster_annotation", "cluster", range(4)), "SELECT cluster_annotation, " + ", ".join(f"count(*) FILTER (cluster = {k}) AS cluster_{k}" for k in range(4)) + " FROM fx_cells JOIN fx_expert USING (scan_name, cell_id) GROUP BY 1")
@@ -271,6 +273,60 @@ def _combined(t: Tables) -> DataFrame:
 
 
 query("s2_combine_results", _combined, "SELECT scan_name, count(*) AS n_cells, count(DISTINCT cell_id) AS n_ids, (SELECT count(*) FROM fx_cells) AS n_rows, (SELECT count(DISTINCT scan_name) FROM fx_cells) AS n_scans FROM fx_cells GROUP BY 1")
+def _cells_read(t: Tables) -> DataFrame:
+    """Cells landed as result files, an older form with `scan_folder` among them, read by read_cells."""
+    path = f"{_shared(t)}/results-{uuid.uuid4().hex}"
+    cells = t.fx_cells.select("cell_solidity", "image_name", "scan_name", "cell_id")
+    cells.where("cell_id % 2 = 0").repartition("scan_name").write.option("header", True).csv(f"{path}/a")
+    cells.where("cell_id % 2 = 1").select("cell_id", "scan_name", "cell_solidity").withColumnRenamed("scan_name", "scan_folder").write.option("header", True).csv(f"{path}/b")
+    read = src.read_cells(t.spark, path, keep=("cell_id",))
+    return read.groupBy("scan_name").agg(F.count("*").alias("n_cells"), F.count("image_name").alias("n_images"), F.round(F.sum("cell_solidity"), 3).alias("solidity"))
+
+
+def _weights_read(t: Tables) -> DataFrame:
+    """Mean of each feature, landed as a weights file."""
+    path = f"{_shared(t)}/weights-{uuid.uuid4().hex}"
+    means = t.fx_cells.agg(*(F.avg(c).alias(c) for c in FEATURES)).unpivot([], FEATURES, "feature", "weight")
+    means.write.option("header", True).csv(path)
+    return r6(src.read_weights(t.spark, path), "weight")
+
+
+def _masks_written(t: Tables) -> DataFrame:
+    """Masks written by write_masks, read back and decoded."""
+    path = f"{_shared(t)}/masks-{uuid.uuid4().hex}"
+    src.write_masks(t.fx_pixels.withColumn("scan", F.concat(F.lit("s"), F.col("cell_id") % 4)).withColumn("class", F.concat(F.lit("c"), F.col("cell_id") % 3)), path, 64, 64)
+    runs = t.spark.read.parquet(path).where("value = 255").select("scan", "class", "cell_id", "counts")
+    return px.rle_decode(runs, 64).groupBy("scan", "class", "cell_id").agg(F.count("*").alias("area"), F.sum("y").cast("bigint").alias("y"), F.sum("x").cast("bigint").alias("x"))
+
+
+def _coco(t: Tables) -> DataFrame:
+    """Cells as annotated crops in a COCO table; the class is that of the cell's cluster."""
+    name = tx.ann_name("cell_id", "xmin", "ymin", F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1))
+    kinds = F.array(*map(F.lit, coco.CLASSES))
+    cells = t.fx_cells.where("cluster IS NOT NULL").select(F.col("scan_name").alias("scan"), F.element_at(kinds, F.col("cluster").cast("int") + 1).alias("class"), name.alias("file"), *BOX).distinct()  # a folder holds a file once
+    masks = cells.select("scan", "class", "file", F.array(F.lit(0)).alias("counts"), F.lit(1.0).alias("area"), F.array(*(F.col(c).cast("double") for c in BOX)).alias("bbox"))
+    return coco.to_coco(cells.select("scan", "class", "file", (F.col("xmax") - F.col("xmin")).alias("width"), (F.col("ymax") - F.col("ymin")).alias("height")), masks)
+
+
+_COCO_SQL = "WITH c AS (SELECT DISTINCT scan_name AS scan, list_extract(['MG_whole', 'MG_cell_body', 'Cluster', 'Unclassified', 'Dirt', 'microglia'], cast(cluster AS int) + 1) AS class, concat('ann-', cell_id, '__x-', xmin, '_y-', ymin, '_w-', xmax - xmin, '_h-', ymax - ymin, '__ds-1.png') AS file FROM fx_cells WHERE cluster IS NOT NULL), n AS (SELECT scan, class, file, row_number() OVER (ORDER BY scan, class, file) AS id FROM c)"
+query("s1_read_cells", _cells_read, "SELECT scan_name, count(*) AS n_cells, count(CASE WHEN cell_id % 2 = 0 THEN image_name END) AS n_images, round(sum(cell_solidity), 3) AS solidity FROM fx_cells GROUP BY 1")
+query("s6_to_coco", lambda t: longs(_coco(t).select("image.id", "image.file_name", "annotation.category_id"), "id", "category_id"), f"{_COCO_SQL}, k AS (SELECT class, row_number() OVER (ORDER BY f) AS category_id FROM (SELECT class, min(concat(scan, chr(1), class)) AS f FROM n GROUP BY 1)) SELECT id, concat(scan, '_', class, '_', file) AS file_name, category_id FROM n JOIN k USING (class)")
+
+
+def _coco_index(t: Tables) -> DataFrame:
+    """The COCO table written by write_coco, read back and flattened; place and class come from the file name only."""
+    path = f"{_shared(t)}/coco-{uuid.uuid4().hex}"
+    coco.write_coco(_coco(t), path)
+    schema = t.spark.createDataFrame([], coco.SCHEMA.strip()).schema
+    images = t.spark.read.schema(schema["images"].dataType.elementType).json(f"{path}/images")
+    images = images.withColumns({c: F.lit(None).cast(images.schema[c].dataType) for c in ("original_scan", "original_class", "original_coords", "downsample")})
+    annotations = t.spark.read.schema("id long, image_id long, category_id int").json(f"{path}/annotations")
+    return longs(coco.coco_to_index(images, annotations), "x", "y", "w", "h", "ds", "image_id", "annotation_id")
+
+
+query("s7_coco_to_index", _coco_index, f"{_COCO_SQL} SELECT scan, class, file, cast(regexp_extract(file, '_*x-([0-9]+)', 1) AS bigint) AS x, cast(regexp_extract(file, '_y-([0-9]+)', 1) AS bigint) AS y, cast(regexp_extract(file, '_w-([0-9]+)', 1) AS bigint) AS w, cast(regexp_extract(file, '_h-([0-9]+)', 1) AS bigint) AS h, cast(1 AS bigint) AS ds, id AS image_id, id AS annotation_id FROM n")
+query("s13_read_weights", _weights_read, "SELECT unnest(['skeleton_length', 'cell_area', 'cell_solidity', 'cell_circularity']) AS feature, round(unnest([avg(skeleton_length), avg(cell_area), avg(cell_solidity), avg(cell_circularity)]), 6) AS weight FROM fx_cells")
+query("s16_write_masks", _masks_written, "SELECT concat('s', cell_id % 4) AS scan, concat('c', cell_id % 3) AS class, cell_id, count(*) AS area, cast(sum(y) AS bigint) AS y, cast(sum(x) AS bigint) AS x FROM fx_pixels GROUP BY cell_id")
 query("s3_parse_yolo_lines", lambda t: src.parse_yolo_lines(t.fx_yolo_lines).groupBy("image_name").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 6).alias("cx")), "SELECT image_name, count(*) AS n, round(sum(cast(split_part(line, ' ', 2) AS double)), 6) AS cx FROM fx_yolo_lines WHERE line LIKE '% 0.0625 0.125' GROUP BY 1")
 query("s4_yolo_lines", lambda t: src.yolo_lines(geo.xyxy_to_yolo(t.fx_cells, 512, 512).withColumn("cls", F.lit(0)).withColumn("image_name", F.concat_ws("/", "scan_name", "image_name"))).select("image_name", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.md5("text").alias("digest")), "WITH l AS (SELECT concat(scan_name, '/', image_name) AS image_name, printf('0 %.6f %.6f %.6f %.6f', (xmin + xmax) / 2.0 / 512, (ymin + ymax) / 2.0 / 512, cast(xmax - xmin AS double) / 512, cast(ymax - ymin AS double) / 512) AS line FROM fx_cells) SELECT image_name, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1")
 query("s11_candidates", lambda t: src.candidates(t.fx_cells.select("cell_id"), 1000, ["cell_id"]), "SELECT cell_id FROM fx_cells ORDER BY cell_id LIMIT 1000")
