@@ -1,6 +1,7 @@
 """Registered queries of the training-text operators, and SQL for those that SQL can express."""
 
 from .chat import op2_chat
+from .fill_middle import op13_fill_middle
 from .html_text import op10_main_text
 from .language import op5_language
 from .media import op8_media
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
     "op10_main_text": op10_main_text,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_top_k": TOP_K_SQL}
