@@ -2,6 +2,8 @@
 
 from .chat import op2_chat
 from .fill_middle import op13_fill_middle
+from .filter_audit import ORACLE_SQL as AUDIT_SQL
+from .filter_audit import op12_filter_audit
 from .html_text import op10_main_text
 from .language import op5_language
 from .media import op8_media
@@ -24,7 +26,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
     "op10_main_text": op10_main_text,
+    "op12_filter_audit": op12_filter_audit,
     "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_top_k": TOP_K_SQL, "op12_filter_audit": AUDIT_SQL}
