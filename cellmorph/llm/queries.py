@@ -13,6 +13,7 @@ from .pieces import op9_pieces
 from .search import ORACLE_SQL as TOP_K_SQL
 from .search import op6_top_k
 from .simhash import op3_simhash
+from .token_counts import op11_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
     "op10_main_text": op10_main_text,
+    "op11_token_counts": op11_token_counts,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_middle": op13_fill_middle,
 }
