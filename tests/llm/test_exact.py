@@ -377,14 +377,17 @@ def test_op2_against_a_loop(spark):
     for (c, t), (role, text) in by.items():
         want[c, None, t, "message", None, "ok", json.dumps({"content": text, "role": role, "type": "message"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
 
+    def level(c, t):
+        return 1 + level(c, t - 2) if by.get((c, t - 2), ("",))[0] == "user" else 0
+
     for (c, t), (role, text) in by.items():
         answered = by.get((c, t + 1), ("",))[0] == "assistant"
         if role == "user":
             args = {"chars": len(text), "lines": text.count("\n") + 1, "prompt": text}
-            want[c, 0, t, "call", f"turn:{t}", "ok" if answered else "no result", json.dumps({"arguments": args, "id": f"turn:{t}", "name": "reply", "type": "call"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
+            want[c, level(c, t), t, "call", f"turn:{t}", "ok" if answered else "no result", json.dumps({"arguments": args, "id": f"turn:{t}", "name": "reply", "type": "call"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
         if role == "assistant":
             called = by.get((c, t - 1), ("",))[0] == "user"
-            want[c, 0 if called else None, t, "result", f"turn:{t - 1}", "ok" if called else "no call", json.dumps({"content": text, "id": f"turn:{t - 1}", "type": "result"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
+            want[c, level(c, t - 1) if called else None, t, "result", f"turn:{t - 1}", "ok" if called else "no call", json.dumps({"content": text, "id": f"turn:{t - 1}", "type": "result"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
     got = collections.Counter(tuple(r) for r in QUERIES["op2_chat"](spark, SF).collect())
     assert got == want
 
