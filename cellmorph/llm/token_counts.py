@@ -15,6 +15,7 @@ leaves the cache as it is; columns other than id and text are ignored, whatever
 """
 
 import hashlib
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from importlib.metadata import version as library_version
@@ -31,8 +32,8 @@ LIMIT = 1024
 BROADCAST_ROWS = 500_000
 #: A digest of at least this share of all documents is hot: at most so many can be, and their counts are sent to the tasks.
 HOT_SHARE = 1000
-#: Characters encoded in one call of the library.
-SLICE = 1 << 20
+#: Characters encoded in one call of the library; its threads would each keep memory of their own, and Spark's tasks fill the cores already.
+SLICE = 1 << 16
 
 
 def tokenizer_version(path: str) -> str:
@@ -49,6 +50,7 @@ def counter(path: str, version: str) -> Callable[[list[str]], list[int]]:
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
