@@ -83,6 +83,8 @@ class Tables:
         sql = VIEWS[name]
         for t in frames:
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+        # A range beside a table is a generator in Spark: rows are made in place of a join.
+        sql = re.sub(r", range\((\d+)\) AS (\w+)\(v\)", lambda m: f" LATERAL VIEW explode(sequence(0L, {int(m[1]) - 1}L)) {m[2]} AS v", sql)
         return self.spark.sql(sql, **frames)
 
 

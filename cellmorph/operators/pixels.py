@@ -1,17 +1,20 @@
 """Masks as pixel tables (key, y, x): areas, skeletons, shapes, overlaps.
 
-A mask has at most a tile's pixels, so what needs neighbour order runs per mask in a grouped task; everything
-else is joins and aggregates over pixels, whatever their number.
+A cell's mask has at most a tile's pixels, so what needs neighbour order runs per mask in a grouped task; masks of a whole
+slide are labelled by tiles (`slide_components`); everything else is joins and aggregates over pixels, whatever their number.
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import masks
+from ..tables import min_labels, stored
 from .aggregates import morphology_score
 
 OFFSETS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
@@ -67,65 +70,117 @@ def start_nodes(skeleton: DataFrame, soma: DataFrame) -> DataFrame:
     return _tips(skeleton).join(shifted(soma).distinct(), skeleton.columns, "left_semi")
 
 
-def _per_mask(px: DataFrame, fn, schema: str, out: list[str]) -> DataFrame:
-    """fn: list of (y, x) to rows; grouped by key, with the key's columns before the result's."""
-    key = _key(px)
+def _per_mask(px: DataFrame, fn: Callable, schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """fn: arrays of a mask's y, x and extra columns to columns; one Arrow group a mask, the key's columns before the result's."""
     kinds = dict(px.dtypes)
+    rest = ["y", "x", *extra]
+    key = [c for c in px.columns if c not in rest]
+
+    def task(values: tuple, table: pa.Table) -> pa.Table:
+        found = fn(**{c: table[c].to_numpy().astype(np.float64 if kinds[c] == "double" else np.int64) for c in rest})
+        n = len(next(iter(found.values())))
+        return pa.table({k: pa.repeat(v, n) for k, v in zip(key, values, strict=True)} | {c: pa.array(v) for c, v in found.items()})
+
+    return px.groupBy(*key).applyInArrow(task, ", ".join([*(f"{k} {kinds[k]}" for k in key), schema]))
 
-    def task(values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fn(list(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True)))
-        found = pd.DataFrame(rows, columns=out)
-        for i, (k, v) in enumerate(zip(key, values, strict=True)):
-            found.insert(i, k, v)
-        return found
 
-    return px.groupBy(*key).applyInPandas(task, ", ".join([*(f"{k} {kinds[k]}" for k in key), schema]))
+def _places(y: np.ndarray, x: np.ndarray) -> tuple[masks.Frame, np.ndarray]:
+    frame = masks.Frame(y, x)
+    return frame, frame.places(y, x)
+
+
+def _coordinates(frame: masks.Frame, at: np.ndarray) -> dict[str, np.ndarray]:
+    return dict(zip("yx", frame.coordinates(at), strict=True))
 
 
 def skeletonize(px: DataFrame) -> DataFrame:
-    return _per_mask(px, masks.thin, "y long, x long", ["y", "x"])
+    def thin(y, x):
+        frame, at = _places(y, x)
+        return _coordinates(frame, masks.thinned(frame, at))
+
+    return _per_mask(px, thin, "y long, x long")
 
 
 def components(px: DataFrame, conn: int = 8) -> DataFrame:
-    """(key, y, x, component), numbered from 1 by first pixel."""
-    return _per_mask(px, lambda p: [(y, x, k) for (y, x), k in masks.label(p, conn).items()], "y long, x long, component long", ["y", "x", "component"])
+    """(key, y, x, component), numbered from 1 by first pixel. For masks of any size see `slide_components`."""
+
+    def label(y, x):
+        frame, at = _places(y, x)
+        return _coordinates(frame, at) | {"component": masks.labels(frame, at, conn) + 1}
+
+    return _per_mask(px, label, "y long, x long, component long")
+
+
+def slide_components(px: DataFrame, conn: int = 8, tile: int = 512) -> DataFrame:
+    """(key, y, x, cy, cx): the component of each pixel, named by its first pixel, for masks that span any number of tiles.
+
+    Each tile is labelled in a task of its own. Pixels of a tile's rim then meet their neighbours in other tiles by equality;
+    the pairs of labels that touch (not pixels) are joined to components by rounds of minima."""
+    key = _key(px)
+    ty, tx = (F.floor(F.col(c) / tile).cast("long") for c in ("y", "x"))
+
+    def label(y, x):
+        frame, at = _places(y, x)
+        y, x = frame.coordinates(at)
+        _, first, part = np.unique(masks.labels(frame, at, conn), return_index=True, return_inverse=True)
+        return {"y": y, "x": x, "ly": y[first][part], "lx": x[first][part]}
+
+    local = stored(_per_mask(px.select(*key, ty.alias("_ty"), tx.alias("_tx"), "y", "x"), label, "y long, x long, ly long, lx long").drop("_ty", "_tx"), "tiles")
+    vertex = lambda y, x: F.struct(*key, F.col(y).alias("y"), F.col(x).alias("x"))
+    rim = local.where(F.pmod("y", F.lit(tile)).isin(0, tile - 1) | F.pmod("x", F.lit(tile)).isin(0, tile - 1)).select(*key, "y", "x", vertex("ly", "lx").alias("a"))
+    # Half of the directions find every pair once.
+    offsets = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if conn == 8 else [])]
+    moves = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in offsets)))
+    near = rim.select(*key, "a", moves.alias("p")).select(*key, "a", "p.*")
+    edges = near.join(rim.withColumnRenamed("a", "b"), [*key, "y", "x"]).select("a", "b").where("a <> b").distinct()
+    names = min_labels(edges)
+    found = local.withColumn("id", vertex("ly", "lx")).join(names, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return found.select(*key, "y", "x", F.col("label.y").alias("cy"), F.col("label.x").alias("cx"))
 
 
 def component_count(px: DataFrame, conn: int = 8) -> DataFrame:
-    return components(px, conn).groupBy(*_key(px)).agg(F.max("component").alias("n_components"))
+    return _per_mask(px, lambda y, x: {"n_components": [masks.component_count(*_places(y, x), conn)]}, "n_components long")
 
 
 def largest_component(px: DataFrame, conn: int = 4) -> DataFrame:
     """The pixels of each mask's largest component, the first one on ties."""
-    parts = components(px, conn)
-    sizes = parts.groupBy(*_key(px), "component").agg(F.count("*").alias("n"))
-    best = sizes.groupBy(*_key(px)).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return parts.join(best, [*_key(px), "component"], "left_semi").drop("component")
+
+    def largest(y, x):
+        frame, at = _places(y, x)
+        part = masks.labels(frame, at, conn)
+        return _coordinates(frame, at[part == np.bincount(part).argmax()])
+
+    return _per_mask(px, largest, "y long, x long")
 
 
 def clean_masks(px: DataFrame, least: int = 2, conn: int = 4, dry_run: bool = False) -> DataFrame:
     """Masks of at least `least` components cut to the largest; unchanged in a dry run."""
     if dry_run:
         return px
-    many = component_count(px, conn).where(F.col("n_components") >= least).select(*_key(px))
-    return px.join(many, _key(px), "left_anti").unionByName(largest_component(px.join(many, _key(px), "left_semi"), conn))
+
+    def clean(y, x):
+        frame, at = _places(y, x)
+        part = masks.labels(frame, at, conn)
+        return _coordinates(frame, at if part.max() + 1 < least else at[part == np.bincount(part).argmax()])
+
+    return _per_mask(px, clean, "y long, x long")
 
 
 def junctions(skeleton: DataFrame) -> DataFrame:
-    """(key, num_junctions): clusters of pixels with three or more neighbours."""
-    return component_count(neighbour_count(skeleton).where("n >= 3").drop("n"), 8).withColumnRenamed("n_components", "num_junctions")
+    """(key, num_junctions): clusters of pixels with three or more neighbours; masks without one have no row."""
+    return _per_mask(skeleton, lambda y, x: {"num_junctions": [masks.junction_clusters(*_places(y, x))]}, "num_junctions long").where("num_junctions > 0")
 
 
 def perimeter(px: DataFrame, name: str = "perimeter") -> DataFrame:
-    return _per_mask(px, lambda p: [(masks.perimeter(p),)], f"{name} double", [name])
+    return _per_mask(px, lambda y, x: {name: [masks.border_length(*_places(y, x))]}, f"{name} double")
 
 
 def convex_hull(px: DataFrame) -> DataFrame:
-    return _per_mask(px, lambda p: [masks.hull(p)], "hull_area double, hull_perimeter double", ["hull_area", "hull_perimeter"])
+    return _per_mask(px, lambda y, x: dict(zip(("hull_area", "hull_perimeter"), ([v] for v in masks.convex_hull(*_places(y, x))), strict=True)), "hull_area double, hull_perimeter double")
 
 
 def betti(px: DataFrame) -> DataFrame:
-    return _per_mask(px, lambda p: [masks.betti(p)], "b0 long, b1 long", ["b0", "b1"])
+    return _per_mask(px, lambda y, x: dict(zip(("b0", "b1"), ([v] for v in masks.betti_numbers(*_places(y, x))), strict=True)), "b0 long, b1 long")
 
 
 def betti_diff(a: DataFrame, b: DataFrame, w0: float = 1.0, w1: float = 0.5) -> DataFrame:
@@ -135,7 +190,7 @@ def betti_diff(a: DataFrame, b: DataFrame, w0: float = 1.0, w1: float = 0.5) ->
 
 
 def fill_holes(px: DataFrame, height: int, width: int) -> DataFrame:
-    return _per_mask(px, lambda p: masks.filled(p, height, width), "y long, x long", ["y", "x"])
+    return _per_mask(px, lambda y, x: dict(zip("yx", masks.filled_places(y, x, height, width), strict=True)), "y long, x long")
 
 
 def _ratio(a, b):
@@ -174,24 +229,43 @@ def sholl(skeleton: DataFrame, soma: DataFrame) -> DataFrame:
     return centre.select(*key).join(out, key, "left").fillna(0)
 
 
-def morphology(det: DataFrame, whole: DataFrame, soma: DataFrame, skeleton: DataFrame) -> DataFrame:
+WHOLE, SOMA, SKELETON, CONNECTED = 1, 2, 4, 8
+#: Counts, lengths and rings of a cell, in the order of the kernel's columns.
+_FAMILIES = {
+    "skeleton_length": "long", "num_junctions": "long", "num_components": "long", "num_end_nodes": "long", "num_start_nodes": "long", "soma_area": "long", "soma_perimeter": "double", "cell_area": "long", "cell_perimeter": "double",
+    "cell_convex_hull_area": "double", "cell_convex_hull_perimeter": "double", "branch_area": "long", "branch_perimeter": "double", "sholl_min_radius": "long", "sholl_peak_radius": "long", "sholl_max_radius": "long", "sholl_peak": "long", "sholl_sum": "long",
+}
+
+
+def _measure(y: np.ndarray, x: np.ndarray, mask: np.ndarray) -> dict[str, list]:
+    """All measures of one cell from its masks' pixels in one frame; each bitmap and its neighbour codes are made once."""
+    frame = masks.Frame(y, x)
+    whole, soma, skeleton, connected = (frame.places(y[mask == m], x[mask == m]) for m in (WHOLE, SOMA, SKELETON, CONNECTED))
+    if not len(skeleton):
+        skeleton = masks.thinned(frame, connected if len(connected) else whole)
+    body = frame.image(soma)
+    process, branch = skeleton[body[skeleton] == 0], whole[body[whole] == 0]
+    degree, near_body = masks.COUNT[frame.codes(frame.image(process), process)], frame.codes(body, process) > 0
+    py, px_ = frame.coordinates(process)
+    cy, cx = frame.coordinates(soma if len(soma) else process)
+    values = [
+        len(process), masks.component_count(frame, process[degree >= 3]), masks.component_count(frame, process), int(((degree == 1) & ~near_body).sum()), int(((degree == 1) & near_body).sum()),
+        len(soma), masks.border_length(frame, soma), len(whole), masks.border_length(frame, whole), *masks.convex_hull(frame, whole), len(branch), masks.border_length(frame, branch),
+        *masks.sholl_rings(py, px_, float(cy.mean()) if len(cy) else 0.0, float(cx.mean()) if len(cx) else 0.0),
+    ]
+    return {name: [v] for name, v in zip(_FAMILIES, values, strict=True)}
+
+
+def morphology(det: DataFrame, whole: DataFrame, soma: DataFrame, skeleton: DataFrame | None = None, connected: DataFrame | None = None) -> DataFrame:
     """All features of each detected cell and its box; empty masks give zeros.
 
-    One table per feature family, all keyed alike, so Spark partitions by the key once for the joins."""
+    One grouped task measures a cell on the bitmap of its bounding box, so masks are shuffled once, tagged by what they are.
+    The skeleton is `skeleton`, or thinned in the task from `connected` or else `whole`."""
     key = _key(whole)
-    process = process_skeleton(skeleton, soma)
-    branch = branch_mask(whole, soma)
-    count = lambda px, name: mask_area(px, name)
-    hull = convex_hull(whole).withColumnsRenamed({"hull_area": "cell_convex_hull_area", "hull_perimeter": "cell_convex_hull_perimeter"})
-    parts = [
-        count(process, "skeleton_length"), junctions(process), component_count(process).withColumnRenamed("n_components", "num_components"), count(end_nodes(process, soma), "num_end_nodes"), count(start_nodes(process, soma), "num_start_nodes"),
-        count(soma, "soma_area"), perimeter(soma, "soma_perimeter"), count(whole, "cell_area"), perimeter(whole, "cell_perimeter"), hull, count(branch, "branch_area"), perimeter(branch, "branch_perimeter"), sholl(process, soma),
-    ]
-    out = det
-    for p in parts:
-        out = out.join(p, key, "left")
-    made = [c for p in parts for c in p.columns if c not in key]
-    return shape_ratios(out.fillna(0, made))
+    given = [(m, px) for m, px in ((WHOLE, whole), (SOMA, soma), (SKELETON, skeleton), (CONNECTED, connected)) if px is not None]
+    tagged = reduce(DataFrame.unionByName, (px.select(*key, F.col("y").cast("int"), F.col("x").cast("int"), F.lit(m).cast("tinyint").alias("mask")) for m, px in given))
+    found = _per_mask(tagged, _measure, ", ".join(f"{c} {t}" for c, t in _FAMILIES.items()), ["mask"])
+    return shape_ratios(det.join(found, key, "left").fillna(0, list(_FAMILIES)))
 
 
 def _pixel_join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -309,24 +383,13 @@ def grow(prob: DataFrame, threshold: float = 0.5, grow_threshold: float = 0.17,
     """(key, y, x): positives grown through pixels above a lower threshold, a step a round, never removed.
 
     Per mask, as every round needs the last one's pixels."""
-    key = [c for c in prob.columns if c not in ("y", "x", "p")]
-    kinds = dict(prob.dtypes)
-
-    def task(values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        open_ = {(y, x) for y, x, p in zip(pdf["y"], pdf["x"], pdf["p"], strict=True) if p > grow_threshold}
-        mask = {(y, x) for y, x, p in zip(pdf["y"], pdf["x"], pdf["p"], strict=True) if p > threshold}
-        rim = mask
-        for _ in range(rounds):
-            rim = {(y + dy, x + dx) for y, x in rim for dy, dx in masks.AROUND} & open_ - mask
-            if not rim:
-                break
-            mask = mask | rim
-        found = pd.DataFrame(sorted(mask), columns=["y", "x"])
-        for i, (k, v) in enumerate(zip(key, values, strict=True)):
-            found.insert(i, k, v)
-        return found
-
-    return prob.groupBy(*key).applyInPandas(task, ", ".join([*(f"{k} {kinds[k]}" for k in key), "y long, x long"]))
+
+    def spread(y, x, p):
+        frame = masks.Frame(y, x)
+        places = lambda keep: frame.places(y[keep], x[keep])
+        return _coordinates(frame, masks.grown(frame, places(p > threshold), places(p > grow_threshold), rounds))
+
+    return _per_mask(prob.withColumn("p", F.col("p").cast("double")), spread, "y long, x long", ["p"])
 
 
 def confident_crops(prob: DataFrame, threshold: float = 0.5, cut: float = 0.5) -> DataFrame:

@@ -377,7 +377,7 @@ query(
     lambda t: longs(px.sholl(arms(t), t.fx_soma), "sholl_min_radius", "sholl_peak_radius", "sholl_max_radius", "sholl_peak", "sholl_sum"),
     f"WITH {ARMS_SQL}, c AS (SELECT cell_id, avg(y) cy, avg(x) cx FROM fx_soma GROUP BY 1), d AS (SELECT cell_id, sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) d FROM arms JOIN c USING (cell_id)), h AS (SELECT cell_id, cast(floor(d + 0.5) AS bigint) r, count(*) n FROM d WHERE floor(d + 0.5) >= 1 GROUP BY 1, 2) SELECT cell_id, min(r) AS sholl_min_radius, arg_max(r, n * 1000 - r) AS sholl_peak_radius, max(r) AS sholl_max_radius, max(n) AS sholl_peak, cast(sum(n) AS bigint) AS sholl_sum FROM h GROUP BY 1",
 )
-query("k16_morphology", lambda t: px.morphology(ids(t), t.fx_pixels, t.fx_soma, px.skeletonize(t.fx_pixels)))
+query("k16_morphology", lambda t: px.morphology(ids(t), t.fx_pixels, t.fx_soma))
 shifted = lambda t: t.fx_pixels.withColumn("x", F.col("x") + 1)
 _TP = "s AS (SELECT coalesce(a.cell_id, b.cell_id) cell_id, count(*) FILTER (a.x IS NOT NULL AND b.x IS NOT NULL) tp, count(*) FILTER (b.x IS NULL) fp, count(*) FILTER (a.x IS NULL) fn FROM (SELECT cell_id, y, x + 1 AS x FROM fx_pixels) a FULL JOIN fx_pixels b ON a.cell_id = b.cell_id AND a.y = b.y AND a.x = b.x GROUP BY 1)"
 query("k17_dice_iou", lambda t: r6(px.dice_iou(shifted(t), t.fx_pixels), "dice", "iou"), f"WITH {_TP} SELECT cell_id, round((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6), 6) AS dice, round((tp + 1e-6) / (tp + fp + fn + 1e-6), 6) AS iou FROM s")
