@@ -5,11 +5,12 @@ slide are labelled by tiles (`slide_components`); everything else is joins and a
 """
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +72,46 @@ def start_nodes(skeleton: DataFrame, soma: DataFrame) -> DataFrame:
 
 
 def _per_mask(px: DataFrame, fn: Callable, schema: str, extra: Sequence[str] = ()) -> DataFrame:
-    """fn: arrays of a mask's y, x and extra columns to columns; one Arrow group a mask, the key's columns before the result's."""
+    """fn: arrays of a mask's y, x and extra columns to columns, which follow the key's.
+
+    Masks are dealt and sorted by key and then read as batches that are cut where the key changes: a call of Python per mask
+    costs a numpy call and no group of its own. A mask that a batch's end cuts goes on in the next one."""
     kinds = dict(px.dtypes)
     rest = ["y", "x", *extra]
     key = [c for c in px.columns if c not in rest]
-
-    def task(values: tuple, table: pa.Table) -> pa.Table:
-        found = fn(**{c: table[c].to_numpy().astype(np.float64 if kinds[c] == "double" else np.int64) for c in rest})
-        n = len(next(iter(found.values())))
-        return pa.table({k: pa.repeat(v, n) for k, v in zip(key, values, strict=True)} | {c: pa.array(v) for c, v in found.items()})
-
-    return px.groupBy(*key).applyInArrow(task, ", ".join([*(f"{k} {kinds[k]}" for k in key), schema]))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def differs(column: pa.ChunkedArray) -> np.ndarray:
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        changed = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        return changed.to_numpy()
+
+    def cut(table: pa.Table) -> np.ndarray:
+        """Rows at which a mask begins."""
+        return np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([differs(table[k]) for k in key])) + 1)) if table.num_rows > 1 else np.arange(table.num_rows)
+
+    def measured(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(starts):
+            return
+        columns = [table[c].to_numpy().astype(np.float64 if kinds[c] == "double" else np.int64) for c in rest]
+        found = [fn(*(c[a:b] for c in columns)) for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True)]
+        keys = table.select(key).take(np.repeat(starts, [len(f[names[0]]) for f in found]))
+        yield from pa.table({k: keys[k] for k in key} | {c: pa.array(np.concatenate([f[c] for f in found])) for c in names}).to_batches()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([left, table]) if left is not None else table
+            starts = cut(table)
+            if len(starts):
+                yield from measured(table.slice(0, starts[-1]), starts[:-1])
+                left = table.slice(starts[-1])
+        if left is not None:
+            yield from measured(left, cut(left))
+
+    dealt = px.select(*key, *rest).repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(task, ", ".join([*(f"{k} {kinds[k]}" for k in key), schema]))
 
 
 def _places(y: np.ndarray, x: np.ndarray) -> tuple[masks.Frame, np.ndarray]:

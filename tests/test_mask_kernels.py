@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellmorph.functions import masks
 from cellmorph.operators import pixels
@@ -154,10 +155,23 @@ def test_one_pass_equals_joined_operators(spark):
     assert pixels.morphology(det, w.limit(0), s.limit(0)).agg({"cell_area": "sum"}).first()[0] == 0
 
 
+def test_masks_that_batches_cut(spark):
+    w = table(spark, dict(enumerate(MASKS)) | {None: [(0, 0), (0, 1)]}).withColumn("side", F.when(F.col("cell") % 2 == 0, "even"))
+    whole = sorted(map(str, pixels.component_count(w).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (1, 7, 64):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            assert sorted(map(str, pixels.component_count(w).collect())) == whole
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(whole) == len(MASKS) + 1
+
+
 def test_one_grouped_python_stage(spark):
     w = table(spark, dict(enumerate(MASKS)))
     plan = pixels.morphology(w.select("cell").distinct(), w, w.where("y < 3"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FlatMapGroupsInArrow") == 1 and "BroadcastNestedLoop" not in plan
+    assert plan.count("MapInArrow") == 1 and "BroadcastNestedLoop" not in plan
 
 
 def test_a_tile_sized_mask(spark):
