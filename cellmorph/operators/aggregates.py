@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import require
+from .order import quantiles
 
 
 def scans_per_group(df: DataFrame, group: str = "diagnosis_group") -> DataFrame:
@@ -39,7 +40,7 @@ def drop_small_scans(df: DataFrame, least: int | None = None, bottom: float = 0.
 
     The threshold is `least`, or the `bottom` quantile of the scans' counts."""
     counts = scan_counts(df)
-    limit = counts.agg((F.lit(float(least)) if least is not None else F.percentile("n_cells", F.lit(bottom))).alias("threshold"))
+    limit = counts.agg(F.lit(float(least)).alias("threshold")) if least is not None else quantiles(counts, "n_cells", [bottom]).select(F.col("q")[0].alias("threshold"))
     judged = counts.crossJoin(F.broadcast(limit)).withColumn("kept", F.col("n_cells") >= F.col("threshold"))
     kept = df.join(judged.where("kept").select("scan_name"), "scan_name", "left_semi")
     return kept, counts, judged.agg(F.max("threshold").alias("threshold"), F.count_if(~F.col("kept")).alias("removed"))
@@ -132,8 +133,7 @@ def image_labels(labels: DataFrame) -> DataFrame:
 
 def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (the extremes within 1.5 interquartile ranges) of each group."""
-    quartiles = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    rows = df.join(quartiles, list(by))
+    rows = df.join(quantiles(df, value, [0.25, 0.5, 0.75], by), list(by))
     spread = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - spread, F.col("q")[2] + spread)
     groups = rows.groupBy(*by, "q").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count(value).alias("n"))

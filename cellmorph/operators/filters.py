@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles, with_rank
+
 
 def drop_border(df: DataFrame, tile: int = 512) -> DataFrame:
     """Cells that touch no border of their tile."""
@@ -12,12 +14,9 @@ def drop_border(df: DataFrame, tile: int = 512) -> DataFrame:
 
 
 def drop_outliers(df: DataFrame, col: str, low: float = 0.002, high: float = 0.998) -> DataFrame:
-    """Rows between two exact quantiles (inclusive, interpolated). The bounds are one row, so they are broadcast.
-
-    The exact quantile counts distinct values, partially in every task: an area is a whole number of a tile's
-    pixels, so there are at most 262,144 of them, however many rows."""
-    bounds = df.agg(F.percentile(col, F.lit(low)).alias("_low"), F.percentile(col, F.lit(high)).alias("_high"))
-    return df.crossJoin(F.broadcast(bounds)).where(F.col(col).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    """Rows between two exact quantiles (inclusive, interpolated). The bounds are one row, so they are broadcast."""
+    bounds = quantiles(df, col, [low, high]).select(F.col("q").alias("_q"))
+    return df.crossJoin(F.broadcast(bounds)).where(F.col(col).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,9 +70,7 @@ def with_cell_id(df: DataFrame) -> DataFrame:
 
 def mask_quality(index: DataFrame, grades: DataFrame, order: Sequence[str], default: str = "good") -> DataFrame:
     """Grades (pos, grade, priority) by position in the declared order; the highest priority wins, else default."""
-    from pyspark.sql import Window
-
-    placed = index.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = with_rank(index, order, out="pos").withColumn("pos", F.col("pos") - 1)
     best = grades.groupBy("pos").agg(F.max_by("grade", "priority").alias("mask_quality"))
     return placed.join(best, "pos", "left").withColumn("mask_quality", F.coalesce("mask_quality", F.lit(default)))
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir
 from .joins import pairwise_distance
 from .sampling import draw
 from .stats import zscore
@@ -184,9 +185,7 @@ def _farthest(pool: DataFrame, key: str, n: int, every: int = 10) -> DataFrame:
 def _checkpointing(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellmorph-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
 
 
 def diverse_select(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:

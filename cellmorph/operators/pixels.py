@@ -399,14 +399,21 @@ def otsu_threshold(values: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def rasterize(polygons: DataFrame, polygon: str = "polygon") -> DataFrame:
-    """(key, y, x) of the pixel centres inside each polygon (array<struct<x, y>>), edges included on the low side."""
-    from .spatial import in_polygon
+    """(key, y, x) of the pixel centres inside each key's polygons (array<struct<x, y>>), edges included on the low side.
 
+    Scanlines: an edge gives its crossing of each row it passes, a row's crossings in order bound its spans, and spans become
+    pixels. Work grows with the outline and the pixels set, not with the box times the edges. Several rings of a key count
+    together, so that a ring inside another cuts a hole."""
     key = [c for c in polygons.columns if c != polygon]
-    side = lambda f, c: f(F.transform(polygon, lambda p: p[c]))
-    whole = lambda v: F.floor(v).cast("long")
-    boxes = polygons.where(F.size(polygon) > 2).select("*", F.explode(F.sequence(whole(side(F.array_min, "y")), whole(side(F.array_max, "y")))).alias("y")).select("*", F.explode(F.sequence(whole(side(F.array_min, "x")), whole(side(F.array_max, "x")))).alias("x"))
-    return boxes.where(in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, polygon)).select(*key, "y", "x")
+    ring, row = F.col(polygon), lambda v: F.ceil(v - 0.5).cast("long")
+    edge = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    edges = polygons.where(F.size(ring) > 2).select(*key, F.inline(edge))
+    first, last = row(F.least("ay", "by")), row(F.greatest("ay", "by")) - 1
+    passed = edges.where(last >= first).select("*", F.explode(F.sequence(first, last)).alias("y"))
+    crossing = (F.col("bx") - F.col("ax")) * (F.col("y") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    rows = passed.groupBy(*key, "y").agg(F.sort_array(F.collect_list(crossing)).alias("c"))  # as many as edges cross a row
+    spans = F.transform(F.sequence(F.lit(1), F.size("c"), F.lit(2)), lambda i: F.struct(row(F.element_at("c", i)).alias("a"), (row(F.element_at("c", i + 1)) - 1).alias("b")))
+    return rows.select(*key, "y", F.inline(spans)).where("b >= a").select(*key, "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
 def grow(prob: DataFrame, threshold: float = 0.5, grow_threshold: float = 0.17, rounds: int = 15) -> DataFrame:

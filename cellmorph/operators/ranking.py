@@ -1,9 +1,9 @@
-"""Windows, ranks, order, limits and set operations."""
+"""First and central rows, numbering, order, limits and set operations (W1-W4, O1-O3, U1-U4). Ranks are in `order`."""
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,30 +16,6 @@ def number_cells(df: DataFrame, image: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("number", (F.row_number().over(Window.partitionBy(*image).orderBy(*order)) - 1).cast("bigint"))
 
 
-def avg_rank(col: str, part: Sequence[str] = ()) -> Column:
-    """Ranks from 1; ties share their mean rank."""
-    own = Window.partitionBy(*part).orderBy(col)
-    ties = Window.partitionBy(*part, col)
-    return F.rank().over(own) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
-def fdr_bh(df: DataFrame, p: str, part: Sequence[str] = (), out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values over the non-null p of each part (a row per test); null where p is."""
-    given = df.where(F.col(p).isNotNull())
-    whole = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(whole.orderBy(p))
-    scaled = given.withColumn("_s", F.col(p) * F.count(F.lit(1)).over(whole) / rank).withColumn("_k", rank)
-    back = whole.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    q = scaled.withColumn(out, F.least(F.lit(1.0), F.min("_s").over(back))).drop("_s", "_k")
-    return q.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
-
-
-def with_rank(df: DataFrame, order: Sequence, part: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1 within each part. Without parts one task ranks all rows: for lists of selected rows, a few thousand."""
-    w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("bigint"))
-
-
 def central_cells(df: DataFrame, cluster: str, cols: Sequence[str], n: int, key: str, existing: DataFrame | None = None) -> DataFrame:
     """The n cells nearest to their cluster's mean, of those whose image exists, with rank and distance."""
     rows = df.dropna(subset=[cluster, *cols])

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..tables import stored
 from .aggregates import scan_level
 from .filters import drop_unusable
-from .ranking import avg_rank, fdr_bh, order_results
+from .order import fdr_bh, join_null_safe, placed, with_avg_rank
+from .ranking import order_results
 
 
 def _long(df: DataFrame, cols: Sequence[str], *keep) -> DataFrame:
@@ -25,10 +27,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "spearman", ke
     left, right = long.select(key, F.col("feature").alias("a"), F.col("value").alias("x")), long.select(key, F.col("feature").alias("b"), F.col("value").alias("y"))
     pairs = left.join(right, key)
     if method == "spearman":
-        pairs = pairs.select("a", "b", avg_rank("x", ["a", "b"]).alias("x"), avg_rank("y", ["a", "b"]).alias("y"))
+        pairs = _ranked(pairs)
     return pairs.groupBy("a", "b").agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(None)), F.lit(0.0)).alias("r"), F.count("*").alias("n"))
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, x, y): x and y replaced by their mean ranks within each pair of columns."""
+    pairs = stored(pairs, "pairs")
+    ranked = with_avg_rank(with_avg_rank(pairs, "x", ["a", "b"], "rx"), "y", ["a", "b"], "ry")
+    return ranked.select("a", "b", F.col("rx").alias("x"), F.col("ry").alias("y"))
+
+
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
     """Cluster numbers of a small matrix, merging the nearest by mean distance while it is at most the cut."""
     groups = [[i] for i in range(len(distance))]
@@ -223,9 +232,9 @@ def dirichlet_loo(props: DataFrame, cols: Sequence[str], a: str, b: str, n_boot:
 def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, h, p_value, n, n_groups): rank test with tie correction; null with fewer than two groups."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, F.col(group).alias("g"), F.col(value).alias("v"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.withColumns({"r": avg_rank("v", list(by) or []), "ties": F.count("*").over(Window.partitionBy(*by, "v")), "n": F.count("*").over(part)})
-    groups = ranked.groupBy(*by, "g", "n").agg(F.sum("r").alias("s"), F.count("*").alias("m"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("t"))
+    ranks = placed(rows, "v", by).withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2.0)
+    ranked = join_null_safe(rows.groupBy(*by, "g", "v").agg(F.count("*").alias("m")), ranks, by, ["v"])
+    groups = ranked.groupBy(*by, "g", F.col("_total").alias("n")).agg(F.sum(F.col("_rank") * F.col("m")).alias("s"), F.sum("m").alias("m"), F.sum(F.col("m") * (F.col("_n").cast("double") * F.col("_n") - 1)).alias("t"))
     n = F.max("n").cast("double")
     h = (12.0 / (n * (n + 1)) * F.sum(F.col("s") * F.col("s") / F.col("m")) - 3 * (n + 1)) / (1 - F.sum("t") / (n * n * n - n))
     out = groups.groupBy(*by).agg(F.when(F.count("*") > 1, h).alias("h"), F.max("n").alias("n"), F.count("*").alias("n_groups"))
@@ -247,8 +256,7 @@ def spearman_test(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(a, b, r, n, p_value) of column pairs over complete rows; null with two rows or fewer."""
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs)))
     rows = df.select(each.alias("p")).select("p.*").dropna()
-    ranked = rows.select("a", "b", avg_rank("x", ["a", "b"]).alias("x"), avg_rank("y", ["a", "b"]).alias("y"))
-    out = ranked.groupBy("a", "b").agg(F.when(F.count("*") > 2, F.nanvl(F.corr("x", "y"), F.lit(None))).alias("r"), F.count("*").alias("n"))
+    out = _ranked(rows).groupBy("a", "b").agg(F.when(F.count("*") > 2, F.nanvl(F.corr("x", "y"), F.lit(None))).alias("r"), F.count("*").alias("n"))
     return _with_p(out, lambda r: 0.0 if abs(r["r"]) >= 1 else special.t_two_sided(r["r"] * math.sqrt((r["n"] - 2) / (1 - r["r"] ** 2)), r["n"] - 2), "r")
 
 

@@ -1,6 +1,5 @@
 """Registered queries of the operators over the driver's tables, with DuckDB SQL for the same rows."""
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from .operators import detection as det
 from .operators import filters as flt
 from .operators import joins as jn
 from .operators import ml
+from .operators import order as od
 from .operators import pixels as px
 from .operators import ranking as rk
 from .operators import sampling as smp
@@ -24,6 +24,7 @@ from .plans import cohort
 from .sources import coco
 from .sources import files as src
 from .streaming import ingest
+from .tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
 
 def _shared(t: Tables) -> str:
     """The folder that executors share."""
-    return t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellmorph-")
+    return shared_dir(t.spark)
 
 
 def labelled(t: Tables) -> DataFrame:
@@ -207,11 +208,11 @@ query("w1_central_cells", lambda t: r6(rk.central_cells(t.fx_cells, "cluster", [
 query("w2_label_examples", lambda t: rk.label_examples(t.fx_expert, "cluster_annotation", 4, ["label_order", "cell_id"]).select("cluster_annotation", "cell_id", "rank", "total"), "SELECT cluster_annotation, cell_id, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY cluster_annotation ORDER BY label_order, cell_id) AS rank, count(*) OVER (PARTITION BY cluster_annotation) AS total FROM fx_expert) WHERE rank <= 4")
 query("w3_keep_first", lambda t: rk.keep_first(t.fx_expert, ["scan_name", "cell_id"], ["label_order"]), f"WITH {EXPERT_SQL} SELECT scan_name, cell_id, cluster_annotation, label_order FROM e")
 query("w4_number_cells", lambda t: rk.number_cells(t.fx_cells, ["scan_name", "image_name"], ["cell_id"]).select(*CELL, "number"), f"SELECT {CELL_SQL}, row_number() OVER (PARTITION BY scan_name, image_name ORDER BY cell_id) - 1 AS number FROM fx_cells")
-query("w5_avg_rank", lambda t: t.fx_cells.select("cell_id", rk.avg_rank("skeleton_length", ["scan_name"]).alias("r")), "SELECT cell_id, cast(rank() OVER (PARTITION BY scan_name ORDER BY skeleton_length) + (count(*) OVER (PARTITION BY scan_name, skeleton_length) - 1) / 2.0 AS double) AS r FROM fx_cells")
-query("w6_fdr_bh", lambda t: r6(rk.fdr_bh(t.part.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 17 > 0, (F.col("p_partkey") * 7919 % 10007).cast("double") / 10007).alias("p")), "p", ["p_brand"]).select("p_partkey", "q_value"), "q_value"), "WITH d AS (SELECT p_partkey, p_brand, cast(p_partkey * 7919 % 10007 AS double) / 10007 AS p FROM part WHERE p_partkey % 17 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p) k, count(*) OVER (PARTITION BY p_brand) m FROM d) SELECT p_partkey, round(least(1, min(p * m / k) OVER (PARTITION BY p_brand ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_value FROM r UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 17 = 0")
+query("w5_avg_rank", lambda t: od.with_avg_rank(t.fx_cells, "skeleton_length", ["scan_name"], "r").select("cell_id", "r"), "SELECT cell_id, cast(rank() OVER (PARTITION BY scan_name ORDER BY skeleton_length) + (count(*) OVER (PARTITION BY scan_name, skeleton_length) - 1) / 2.0 AS double) AS r FROM fx_cells")
+query("w6_fdr_bh", lambda t: r6(od.fdr_bh(t.part.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 17 > 0, (F.col("p_partkey") * 7919 % 10007).cast("double") / 10007).alias("p")), "p", ["p_brand"]).select("p_partkey", "q_value"), "q_value"), "WITH d AS (SELECT p_partkey, p_brand, cast(p_partkey * 7919 % 10007 AS double) / 10007 AS p FROM part WHERE p_partkey % 17 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p) k, count(*) OVER (PARTITION BY p_brand) m FROM d) SELECT p_partkey, round(least(1, min(p * m / k) OVER (PARTITION BY p_brand ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_value FROM r UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 17 = 0")
 query("w7_rle_encode", lambda t: px.rle_encode(t.fx_pixels, 64, 64).select("cell_id", F.array_join(F.transform("counts", lambda c: c.cast("string")), ",").alias("runs")), "WITH p AS (SELECT cell_id, x * 64 + y AS pos FROM fx_pixels), i AS (SELECT cell_id, pos - row_number() OVER (PARTITION BY cell_id ORDER BY pos) AS g, pos FROM p), r AS (SELECT cell_id, min(pos) a, count(*) n FROM i GROUP BY cell_id, g), z AS (SELECT cell_id, a, n, a - coalesce(lag(a + n) OVER (PARTITION BY cell_id ORDER BY a), 0) z FROM r), s AS (SELECT cell_id, string_agg(concat(z, ',', n), ',' ORDER BY a) s, 4096 - max(a + n) AS last FROM z GROUP BY 1) SELECT cell_id, CASE WHEN last > 0 THEN concat(s, ',', last) ELSE s END AS runs FROM s")
 query("w8_rle_decode", lambda t: longs(px.rle_decode(px.rle_encode(t.fx_pixels, 64, 64), 64), "y", "x"), "SELECT cell_id, y, x FROM fx_pixels")
-query("w9_with_rank", lambda t: rk.with_rank(t.part, [F.desc("p_retailprice"), "p_partkey"]).select("p_partkey", "rank"), "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part")
+query("w9_with_rank", lambda t: od.with_rank(t.part, [F.desc("p_retailprice"), "p_partkey"]).select("p_partkey", "rank"), "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part")
 query("o1_order_results", lambda t: rk.order_results(t.fx_scans, ("braak_stage", "asc"), ("scan_name", "asc")).select("scan_name", "braak_stage"), "SELECT scan_name, braak_stage FROM fx_scans ORDER BY braak_stage NULLS LAST, scan_name")
 query("o2_top_n", lambda t: rk.top_n(t.fx_cells, [F.desc("cell_area"), "cell_id"], 10).select("cell_id", "cell_area"), "SELECT cell_id, cell_area FROM fx_cells ORDER BY cell_area DESC, cell_id LIMIT 10")
 query("o3_argmax_row", lambda t: rk.argmax_row(t.fx_cells, "skeleton_length", "cell_id").select("cell_id", "skeleton_length"), "SELECT cell_id, skeleton_length FROM fx_cells ORDER BY skeleton_length DESC, cell_id LIMIT 1")
