@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..tables import shared_dir
 from .joins import pairwise_distance
+from .kmeans import fit, labelled
 from .sampling import draw
 from .stats import zscore
 
@@ -38,23 +39,18 @@ def pca_of(rows: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     return model.transform(rows).withColumn("pc", vector_to_array("_pc")).drop("features", "_pc"), model.explainedVariance.toArray().tolist()
 
 
-def kmeans(rows: DataFrame, k: int = 4, seed: int = 0, n_init: int = 5) -> tuple[DataFrame, float]:
-    """(rows with `cluster`, cost) of the best of several starts; rows have `features`."""
-    rows = rows.persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(n_init)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return best.transform(rows), best.summary.trainingCost
-    finally:
-        rows.unpersist()
+def kmeans(rows: DataFrame, k: int = 4, seed: int = 0, n_init: int = 50) -> tuple[DataFrame, float]:
+    """(rows with `cluster`, cost) of the best of several starts, which are moved together; rows have `features`."""
+    centres, cost = fit(rows, [k], n_init, seed)[k]
+    return labelled(rows, centres), cost
 
 
-def best_k(rows: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4), seed: int = 0, limit: int = 1000) -> DataFrame:
-    """(k, silhouette), best first; the silhouette is a sample's."""
+def best_k(rows: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4), seed: int = 0, limit: int = 1000, n_init: int = 50) -> DataFrame:
+    """(k, silhouette), best first; all k are fitted in the same passes, the silhouette is a sample's."""
     found = []
-    for k in ks:
-        labelled = kmeans(rows, k, seed)[0].select(key, "cluster", vector_to_array("features").alias("v"))
-        found.append((k, silhouette(labelled, key, "v", "cluster", limit).first()["silhouette"]))
+    for k, (centres, _) in fit(rows, ks, n_init, seed).items():
+        marked = labelled(rows, centres).select(key, "cluster", vector_to_array("features").alias("v"))
+        found.append((k, silhouette(marked, key, "v", "cluster", limit).first()["silhouette"]))
     return rows.sparkSession.createDataFrame(found, "k int, silhouette double").orderBy(F.desc_nulls_last("silhouette"), "k")
 
 

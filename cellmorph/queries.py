@@ -424,8 +424,21 @@ low = lambda t: t.embeddings.select("vec_id", F.slice("embedding", 1, 2).alias("
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.{0}, b.{0}), lambda z: (cast(z[1] AS double) - z[2]) * (cast(z[1] AS double) - z[2]))))"
 _E = "e AS (SELECT vec_id, label, embedding, embedding[1:2] AS low FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', cast(vec_id AS varchar), '0')), vec_id LIMIT 300)"
 query("m1_pca", lambda t: ml.pca_of(whole(t))[0].select("vec_id", F.round(F.abs(F.col("pc")[0]), 4).alias("pc0"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc1")))
-query("m2_kmeans", lambda t: ml.kmeans(whole(t), 4, 0, 3)[0].groupBy("cluster").agg(F.count("*").alias("n")))
-query("m3_best_k", lambda t: r6(ml.best_k(whole(t), "vec_id", (2, 3), 0, 200), "silhouette"))
+query("m2_kmeans", lambda t: ml.kmeans(whole(t), 4)[0].groupBy("cluster").agg(F.count("*").alias("n")))
+
+
+def _fixed_point(t: Tables) -> DataFrame:
+    """Of the best of 50 starts: rows, clusters, whether the cost is the rows' squared distance from their clusters' means, and rows nearer to another mean."""
+    rows, cost = ml.kmeans(whole(t), 4)
+    each = rows.select("vec_id", "cluster", F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "x"))
+    means = each.groupBy("cluster", "j").agg(F.avg("x").alias("m"))
+    far = each.join(F.broadcast(means.withColumnRenamed("cluster", "other")), "j").groupBy("vec_id", "cluster", "other").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("d"))
+    own = far.groupBy("vec_id", "cluster").agg(F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("d"), F.min("d").alias("least"))
+    return own.agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("n_clusters"), (F.abs(F.sum("d") / cost - 1) < 1e-4).alias("cost_holds"), F.count_if(F.col("d") > F.col("least") + 1e-2).alias("misplaced"))
+
+
+query("m2_kmeans_fixed_point", _fixed_point, "SELECT count(*) AS n, cast(4 AS bigint) AS n_clusters, true AS cost_holds, cast(0 AS bigint) AS misplaced FROM embeddings WHERE embedding IS NOT NULL")
+query("m3_best_k", lambda t: r6(ml.best_k(whole(t), "vec_id"), "silhouette"))
 query(
     "m4_silhouette",
     lambda t: r6(ml.silhouette(t.embeddings, "vec_id", "embedding", "label", 300), "silhouette"),
