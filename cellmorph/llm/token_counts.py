@@ -26,8 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, kept, shared_dir, slices, stored, texts
+from .packing import Encoder
 
 LIMIT = 1024
+#: The vocabulary whose stretches packing can encode apart (two bytes an id).
+PACKED = "byte_bpe_50k"
 #: Digests a run lacks (32 bytes each) up to which they are sent to the tasks that read texts; beyond, they are joined.
 BROADCAST_ROWS = 500_000
 #: A digest of at least this share of all documents is hot: at most so many can be, and their counts are sent to the tasks.
@@ -44,9 +47,14 @@ def tokenizer_version(path: str) -> str:
 
 
 def counter(path: str, version: str) -> Callable[[list[str]], list[int]]:
-    """The library's counts of texts: no special tokens are added, special strings in a text are taken as its default does, nothing is cut or padded."""
+    """The library's counts of texts: no special tokens are added, special strings in a text are taken as its default does, nothing is cut or padded.
+
+    Texts of the vocabulary that packing knows go through packing's encoder: the same library's ids, each repeated stretch of text encoded once."""
     if tokenizer_version(path) != version:
         raise ValueError(f"{path} is not the tokenizer that the driver read")
+    if path == public_tokenizers.path(f"{PACKED}.json"):
+        encode = Encoder(PACKED)
+        return lambda batch: [len(ids) // 2 for ids in encode(batch)]
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 

@@ -1,8 +1,14 @@
 """Token counts against the libraries, and what the cache spares."""
 
+import functools
+
 import duckdb
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as hs
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from cellmorph.llm import token_counts
 from cellmorph.llm.queries import QUERIES
@@ -12,9 +18,19 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 ROWS = [(i, t) for i, t in enumerate(["", None, " ", "a", "<|endoftext|> as text", "x<|endoftext|>y", "é漢😀\n\n  z", "\x00\x01", "Word word", "word  word ", "lorem ipsum " * 100_000, "</s> <s> <unk> ▁"])] + [(3, "a"), (None, "a"), (None, None), (99, "Word word")]
 
 
+@functools.cache
+def library(path):
+    """Counts of one text by the libraries themselves."""
+    if path.endswith(".json"):
+        t = Tokenizer.from_file(path)
+        return lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    p = SentencePieceProcessor(model_file=path)
+    return lambda x: len(p.encode(x))
+
+
 def expected(path, rows):
-    count = token_counts.counter(path, token_counts.tokenizer_version(path))
-    return sorted(((i, len((t or "").encode()), count([t or ""])[0]) for i, t in rows), key=str)
+    count = library(path)
+    return sorted(((i, len((t or "").encode()), count(t or "")) for i, t in rows), key=str)
 
 
 def frame(spark, rows):
@@ -30,13 +46,15 @@ def test_counts_are_the_library_s(spark, tmp_path, path):
     assert got(token_counts.count_tokens(frame(spark, ROWS), path, f"{tmp_path}/cache")) == expected(path, ROWS)
 
 
-def test_library_calls_agree():
-    from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
+@pytest.fixture(scope="module")
+def count():
+    return token_counts.counter(BPE, token_counts.tokenizer_version(BPE))
+
 
-    t, p = Tokenizer.from_file(BPE), SentencePieceProcessor(model_file=PIECES)
-    for path, one in ((BPE, lambda x: len(t.encode(x, add_special_tokens=False).ids)), (PIECES, lambda x: len(p.encode(x)))):
-        assert [(n, k) for _, n, k in expected(path, ROWS)] == [(n, k) for _, n, k in sorted(((i, len((x or "").encode()), one(x or "")) for i, x in ROWS), key=str)]
+@given(found=hs.lists(hs.text(alphabet=hs.sampled_from("abZé漢😀 .,!'\n\t<|endoftext|>0"), max_size=80), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_any_text_counts_as_by_the_library(count, found):
+    assert sorted(map(str, zip(range(len(found)), (len(x.encode()) for x in found), count(found)))) == sorted(map(str, expected(BPE, list(enumerate(found)))))
 
 
 def batches(spark, cache):
