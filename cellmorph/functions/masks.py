@@ -212,6 +212,12 @@ def sholl_rings(y: np.ndarray, x: np.ndarray, cy: float, cx: float) -> tuple[int
     return (int(hit[0]), int(n.argmax()), int(hit[-1]), int(n.max()), int(n.sum())) if len(hit) else (0, 0, 0, 0, 0)
 
 
+def set_places(counts: np.ndarray) -> np.ndarray:
+    """Places of the set runs of run lengths that begin with zeros."""
+    ends, n = np.cumsum(counts), counts[1::2]
+    return np.repeat((ends - counts)[1::2] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 # --- on lists of (y, x) pixels
 
 

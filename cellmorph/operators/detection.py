@@ -1,10 +1,14 @@
 """Detection evaluation (D1-D4), by class where the boxes have one."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 #: Ranges of confidence that are counted first, so that no task holds a whole precision-recall curve.
 RANGES = 1000
 #: The overlaps that a mean average precision is the mean over.
@@ -28,24 +32,35 @@ def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: floa
 def match_boxes(pred: DataFrame, truth: DataFrame, image: Sequence[str], thresholds: Sequence[float] = OVERLAPS) -> DataFrame:
     """(image, pred_id, conf, threshold, tp): boxes by falling confidence take the free true box of best overlap.
 
-    An image's overlaps (bounded by its boxes) are one sorted array, walked once for each threshold."""
-    ious = box_iou(pred, truth, image, min(thresholds) - 1e-12)
+    An image's overlaps (bounded by its boxes) are one sorted array, walked once: a bit for each threshold tells which of them
+    a box still is free at. The walk's result is stored, a row per box, as every curve reads it several times."""
+    limits = np.sort(np.array(thresholds, float))
+    ious = box_iou(pred, truth, image, limits[0] - 1e-12)
     pair = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("p"), (-F.col("iou")).alias("i"), F.col("true_id").alias("t"))
     sorted_ = ious.groupBy(*image).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     kinds = dict(ious.dtypes)
-    none = F.struct(F.array().cast(f"array<{kinds['pred_id']}>").alias("p"), F.array().cast(f"array<{kinds['true_id']}>").alias("t"))
-
-    def taken(t):
-        def step(s, x):
-            free = ~F.array_contains(s["p"], x["p"]) & ~F.array_contains(s["t"], x["t"]) & (-x["i"] >= t)
-            return F.when(free, F.struct(F.array_append(s["p"], x["p"]).alias("p"), F.array_append(s["t"], x["t"]).alias("t"))).otherwise(s)
-
-        return F.aggregate("pairs", none, step)["p"]
 
-    each = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), taken(t).alias("ids")) for t in thresholds))
-    hits = sorted_.select(*image, F.explode(each).alias("h")).select(*image, "h.threshold", F.explode("h.ids").alias("pred_id"), F.lit(1).alias("tp"))
-    every = pred.select(*image, "pred_id", "conf", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
-    return every.join(hits, [*image, "pred_id", "threshold"], "left").fillna(0, ["tp"])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, ids, masks = [], [], []
+            for k, pairs in enumerate(batch.column("pairs")):
+                p, t = pairs.values.field("p").to_pylist(), pairs.values.field("t").to_pylist()
+                reached = (1 << np.searchsorted(limits, -pairs.values.field("i").to_numpy(), "right")) - 1
+                taken_p, taken_t = dict.fromkeys(p, 0), dict.fromkeys(t, 0)
+                for x, y, may in zip(p, t, reached.tolist(), strict=True):
+                    free = may & ~taken_p[x] & ~taken_t[y]
+                    taken_p[x] |= free
+                    taken_t[y] |= free
+                row += [k] * len(taken_p)
+                ids += taken_p
+                masks += taken_p.values()
+            own = batch.select(list(image)).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids, batch.column("pairs").type.value_type.field("p").type), pa.array(masks, pa.int64())], [*image, "pred_id", "_hits"])
+
+    hits = sorted_.mapInArrow(walk, ", ".join([*(f"`{c}` {kinds[c]}" for c in image), f"pred_id {kinds['pred_id']}", "_hits long"]))
+    found = stored(pred.select(*image, "pred_id", "conf").join(hits, [*image, "pred_id"], "left").fillna(0, ["_hits"]), "matches")
+    each = F.inline(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.shiftright("_hits", k).bitwiseAND(1).cast("int").alias("tp")) for k, t in enumerate(limits))))
+    return found.select(*image, "pred_id", "conf", each)
 
 
 def average_precision(matches: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:

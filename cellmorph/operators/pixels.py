@@ -360,13 +360,24 @@ def rle_encode(px: DataFrame, height: int, width: int) -> DataFrame:
     return lists.select(*key, F.when(last > 0, F.concat(body, F.array(last))).otherwise(body).alias("counts"))
 
 
+def expanded(batch: pa.RecordBatch, height: int) -> pa.Table:
+    """Rows (key, counts) as rows (key, y, x) of the set pixels."""
+    places = [masks.set_places(np.asarray(c.values.to_numpy(zero_copy_only=False), np.int64)) if c.is_valid else np.zeros(0, np.int64) for c in batch.column("counts")]
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    keys = batch.drop_columns(["counts"]).take(pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places])))
+    return pa.table(dict(zip(keys.schema.names, keys.columns, strict=True)) | {"y": pa.array(at % height), "x": pa.array(at // height)})
+
+
 def rle_decode(runs: DataFrame, height: int) -> DataFrame:
-    """(key, y, x) of the set runs."""
-    key = [c for c in runs.columns if c != "counts"]
-    ends = F.transform(F.sequence(F.lit(1), F.size("counts")), lambda i: F.aggregate(F.slice("counts", F.lit(1), i), F.lit(0).cast("long"), lambda s, v: s + v))
-    each = runs.select(*key, F.posexplode(F.arrays_zip(F.col("counts").alias("n"), ends.alias("e"))).alias("i", "r")).where("i % 2 = 1 and r.n > 0")
-    places = F.explode(F.sequence(F.col("r.e") - F.col("r.n"), F.col("r.e") - 1))
-    return each.select(*key, places.alias("pos")).select(*key, (F.col("pos") % height).alias("y"), F.floor(F.col("pos") / height).cast("long").alias("x"))
+    """(key, y, x) of the set runs (W8). A row is expanded by itself, in one pass over its runs."""
+    kinds = {c: t for c, t in runs.dtypes if c != "counts"}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):  # few masks' pixels at once
+                yield from expanded(batch.slice(i, 256), height).to_batches()
+
+    return runs.select(*kinds, "counts").mapInArrow(task, ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), "y long, x long"]))
 
 
 def otsu_mask(gray: DataFrame, annotation: DataFrame) -> DataFrame:

@@ -39,23 +39,37 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
-    """Cluster numbers of a small matrix, merging the nearest by mean distance while it is at most the cut."""
-    groups = [[i] for i in range(len(distance))]
-    while len(groups) > 1:
-        gaps = [(distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        d, i, j = min(gaps)
-        if d > cut:
-            break
-        groups[i] += groups.pop(j)
-    out = [0] * len(distance)
-    for k, g in enumerate(groups):
-        for i in g:
-            out[i] = k
-    return out
+    """Cluster numbers of a small matrix, joined by mean distance while it is at most the cut; numbered by first member.
+
+    Nearest-neighbour chains: two that are each other's nearest join, whatever else is left to join. Of equally near ones the
+    chain's last, then the first in order, is taken."""
+    d = np.array(distance, float)
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    size, group, left, chain = np.ones(n), list(range(n)), set(range(n)), []
+    while len(left) > 1:
+        chain = chain or [min(left)]
+        while True:
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        low, high = sorted((i, j))
+        if d[i, j] <= cut:
+            group = [group[low] if g == group[high] else g for g in group]
+        d[low] = d[:, low] = (size[low] * d[low] + size[high] * d[high]) / (size[low] + size[high])
+        d[low, low] = d[high] = d[:, high] = np.inf
+        size[low] += size[high]
+        left.discard(high)
+    order = list(dict.fromkeys(group))
+    return [order.index(g) for g in group]
 
 
 def representatives(df: DataFrame, cols: Sequence[str], threshold: float = 0.7, key: str = "scan_name") -> tuple[list[str], list[str]]:
-    """(kept, dropped): of columns that correlate at the threshold (average linkage) the most central one stays."""
+    """(kept, dropped): of columns that correlate at the threshold (average linkage) the most central one stays, the first on ties (to nine digits)."""
     rows = corr_matrix(df, cols, key=key).collect()
     at = {c: i for i, c in enumerate(cols)}
     rho = np.eye(len(cols))
@@ -66,7 +80,7 @@ def representatives(df: DataFrame, cols: Sequence[str], threshold: float = 0.7,
     group = average_linkage(1 - rho, 1 - threshold)
     for k in sorted(set(group)):
         own = [i for i, g in enumerate(group) if g == k]
-        kept.append(max(own, key=lambda i: (rho[i, own].mean(), -i)))
+        kept.append(max(own, key=lambda i: (round(rho[i, own].mean(), 9), -i)))
     return [c for i, c in enumerate(cols) if i in kept], [c for i, c in enumerate(cols) if i not in kept]
 
 

@@ -20,11 +20,11 @@ from .operators import ranking as rk
 from .operators import sampling as smp
 from .operators import spatial as sp
 from .operators import stats as st
-from .plans import cohort
+from .plans import cohort, hooks
 from .sources import coco
 from .sources import files as src
 from .streaming import ingest
-from .tables import shared_dir
+from .tables import new_path, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,12 +109,18 @@ _SIDE = lambda a, s, f, n: f"cast(trunc(least(greatest(({a}min + {a}max) / 2.0 {
 query("g4_scale_boxes", lambda t: geo.scale_boxes(t.fx_cells, 2.0, 512, 512).select("cell_id", "sx1", "sy1", "sx2", "sy2"), f"SELECT cell_id, {_SIDE('x', '-', 2.0, 511)} AS sx1, {_SIDE('y', '-', 2.0, 511)} AS sy1, {_SIDE('x', '+', 2.0, 511)} AS sx2, {_SIDE('y', '+', 2.0, 511)} AS sy2 FROM fx_cells")
 _PAD = lambda a, end, s: f"cast(trunc(least(greatest(cast({a}{end} AS double) {s} cast({a}max - {a}min AS double) * 0.2, 0), 512)) AS integer)"
 query("g5_pad_boxes", lambda t: geo.pad_boxes(t.fx_cells, 0.2, 512, 512).select("cell_id", "px1", "py1", "px2", "py2"), f"SELECT cell_id, {_PAD('x', 'min', '-')} AS px1, {_PAD('y', 'min', '-')} AS py1, {_PAD('x', 'max', '+')} AS px2, {_PAD('y', 'max', '+')} AS py2 FROM fx_cells")
-grid = lambda t: longs(sp.tile_grid(t.region.where("r_regionkey = 0").select(F.lit(16384).alias("width"), F.lit(16384).alias("height"))).select("x", "y"), "x", "y")
-GRID_SQL = "tiles AS (SELECT i * 512 AS x, j * 512 AS y FROM range(32) a(i), range(32) b(j))"
-query("g6_tile_grid", grid, f"WITH {GRID_SQL} SELECT x, y FROM tiles WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 0)")
-query("g7_label_tiles", lambda t: sp.label_tiles(grid(t), t.fx_regions), f"WITH {GRID_SQL} SELECT x, y, CASE WHEN EXISTS (SELECT 1 FROM fx_regions WHERE x + 256 BETWEEN x0 AND x1 AND y + 256 BETWEEN y0 AND y1) THEN 'gray' ELSE 'white' END AS tissue FROM tiles")
+def grid(t: Tables) -> DataFrame:
+    """Tiles of each scan, whose size is that of its outermost tiles."""
+    place = tx.parse_tile(F.concat("image_name", F.lit("_gray_matter.jpg")))
+    sizes = t.fx_cells.select("scan_name", place.alias("p")).groupBy("scan_name").agg((F.max("p.x") + 512).alias("width"), (F.max("p.y") + 512).alias("height"))
+    return longs(sp.tile_grid(sizes).select("scan_name", "x", "y"), "x", "y")
+
+
+GRID_SQL = "sizes AS (SELECT scan_name, max(cast(regexp_extract(image_name, 'x([0-9]+)', 1) AS bigint)) AS w, max(cast(regexp_extract(image_name, 'y([0-9]+)', 1) AS bigint)) AS h FROM fx_cells GROUP BY 1), tiles AS (SELECT scan_name, x, y FROM (SELECT scan_name, h, unnest(range(0, w + 1, 512)) AS x FROM sizes) CROSS JOIN LATERAL (SELECT unnest(range(0, h + 1, 512)) AS y) q)"
+query("g6_tile_grid", grid, f"WITH {GRID_SQL} SELECT scan_name, x, y FROM tiles")
+query("g7_label_tiles", lambda t: sp.label_tiles(grid(t), t.fx_regions).select("scan_name", "x", "y", "tissue"), f"WITH {GRID_SQL} SELECT scan_name, x, y, CASE WHEN EXISTS (SELECT 1 FROM fx_regions WHERE x + 256 BETWEEN x0 AND x1 AND y + 256 BETWEEN y0 AND y1) THEN 'gray' ELSE 'white' END AS tissue FROM tiles")
 _IN = lambda dx, dy: f"EXISTS (SELECT 1 FROM fx_regions WHERE x + {dx} BETWEEN x0 AND x1 AND y + {dy} BETWEEN y0 AND y1)"
-query("g8_tiles_inside", lambda t: sp.tiles_inside(grid(t), t.fx_regions), f"WITH {GRID_SQL} SELECT x, y FROM tiles WHERE {_IN(0, 0)} AND {_IN(512, 0)} AND {_IN(0, 512)} AND {_IN(512, 512)}")
+query("g8_tiles_inside", lambda t: sp.tiles_inside(grid(t), t.fx_regions).select("scan_name", "x", "y"), f"WITH {GRID_SQL} SELECT scan_name, x, y FROM tiles WHERE {_IN(0, 0)} AND {_IN(512, 0)} AND {_IN(0, 512)} AND {_IN(512, 512)}")
 query("g9_patches_for", lambda t: sp.patches_for(t.fx_cells, 1, 2048, 2048))
 PATCH = lambda t: t.nation.select(F.col("n_nationkey").alias("patch"), (F.col("n_nationkey") * 17).alias("px"), (F.col("n_nationkey") * 11).alias("py"))
 query(
@@ -164,7 +170,7 @@ query("j10_flag_selected", lambda t: jn.flag_selected(t.fx_cells, chosen(t)).sel
 query("j11_rest_of", lambda t: jn.rest_of(t.fx_cells, chosen(t), CELL).select(*CELL), f"SELECT {CELL_SQL} FROM fx_cells WHERE (scan_name, image_name, cell_id) NOT IN (SELECT (scan_name, image_name, cell_id) FROM fx_cells WHERE cell_area > 90000)")
 query("j12_attach_image_label", lambda t: jn.attach_image_label(t.fx_cells.select("cell_id", F.col("image_name").alias("stem")), t.fx_cells.groupBy(F.col("image_name").alias("stem")).agg(F.count("*").alias("n"), F.max("cluster").cast("string").alias("label")).where("n > 20").drop("n")).select("cell_id", "label"), "SELECT cell_id, l.label AS label FROM fx_cells c JOIN (SELECT image_name, cast(max(cluster) AS varchar) label FROM fx_cells GROUP BY 1 HAVING count(*) > 20) l ON c.image_name = l.image_name")
 query("j13_overlap", lambda t: jn.overlap(t.fx_cells.where("cluster = 1"), t.fx_cells.where("cluster = 2"), "image_name"), "SELECT DISTINCT image_name FROM fx_cells WHERE cluster = 1 AND image_name IN (SELECT image_name FROM fx_cells WHERE cluster = 2)")
-query("j14_neighbours", lambda t: px.neighbours(t.fx_soma).select("cell_id", "y", "x", "ny", "nx"), "SELECT a.cell_id AS cell_id, a.y AS y, a.x AS x, b.y AS ny, b.x AS nx FROM fx_soma a JOIN fx_soma b ON a.cell_id = b.cell_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND NOT (a.x = b.x AND a.y = b.y)")
+query("j14_neighbours", lambda t: px.neighbours(t.fx_soma).select("cell_id", "y", "x", "ny", "nx"), "WITH s AS MATERIALIZED (SELECT * FROM fx_soma), n AS (SELECT cell_id, y, x, y + dy AS ny, x + dx AS nx FROM s, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) WHERE dy <> 0 OR dx <> 0) SELECT n.cell_id AS cell_id, n.y AS y, n.x AS x, ny, nx FROM n JOIN s ON n.cell_id = s.cell_id AND ny = s.y AND nx = s.x")
 query("j15_pairwise_distance", lambda t: r6(jn.pairwise_distance(t.embeddings, "vec_id", "embedding", 100), "distance"), "WITH e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', cast(vec_id AS varchar), '0')), vec_id LIMIT 100) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] AS double) - z[2]) * (cast(z[1] AS double) - z[2])))), 6) AS distance FROM e a, e b WHERE a.vec_id <> b.vec_id")
 
 # --- aggregates
@@ -256,10 +262,10 @@ query("r1_sample_k", lambda t: smp.sample_k(t.fx_cells, 100, KEYS, 7).select(*KE
 query("r2_split3", lambda t: smp.split3(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r")
 query("r3_split_70_15_15", lambda t: smp.split_70_15_15(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < ceil(ceil(n * 0.3::DOUBLE) * 0.5) THEN 'test' WHEN rank < ceil(n * 0.3::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")
 query("r4_kfold", lambda t: longs(smp.kfold(t.fx_cells, ["cell_id"]).select("cell_id", "fold", "split"), "fold"), f"WITH h AS MATERIALIZED (SELECT cell_id, {_H(['cell_id'], 0)} AS h FROM fx_cells), r AS MATERIALIZED (SELECT cell_id, (row_number() OVER (ORDER BY h, cell_id) - 1) % 5 AS own FROM h), e AS MATERIALIZED (SELECT cell_id, own, fold, {_H(['cell_id', 'fold'], 0)} AS h FROM r, range(5) f(fold)), q AS (SELECT cell_id, fold, row_number() OVER (PARTITION BY fold ORDER BY h, cell_id) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM e WHERE own <> fold) SELECT cell_id, fold, CASE WHEN k < ceil(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM q UNION ALL SELECT cell_id, fold, 'test' FROM e WHERE own = fold")
-query("r5_repeated_splits", lambda t: longs(smp.repeated_splits(t.fx_cells, ["cell_id"], 3).select("cell_id", "fold", "split"), "fold"), f"WITH e AS (SELECT cell_id, fold FROM fx_cells, range(3) f(fold)), {_R(['cell_id', 'fold'], 0, 'PARTITION BY fold', 'e')} SELECT cell_id, fold, CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r")
+query("r5_repeated_splits", lambda t: longs(smp.repeated_splits(t.fx_cells, ["cell_id"]).select("cell_id", "fold", "split"), "fold"), f"WITH e AS (SELECT cell_id, fold FROM fx_cells, range(5) f(fold)), {_R(['cell_id', 'fold'], 0, 'PARTITION BY fold', 'e')} SELECT cell_id, fold, CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r")
 query("r6_split2", lambda t: smp.split2(t.fx_cells, KEYS).select(*KEYS, "split"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, CASE WHEN rank < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM r")
 query("r7_labelled_fraction", lambda t: smp.labelled_fraction(t.fx_cells, KEYS, 0.25).select(*KEYS, "labelled"), f"WITH {_R(KEYS, 0)} SELECT scan_name, cell_id, rank < greatest(1, round_even(n * 0.25::DOUBLE, 0)) AS labelled FROM r")
-query("r8_learning_curve_plan", lambda t: longs(smp.learning_curve_plan(t.fx_cells, ["cell_id"], (1, 5, 10), 2), "split_seed"), f"WITH p AS (SELECT unnest([0.1, 0.1, 0.5, 0.5, 1.0])::DOUBLE AS portion, unnest([0, 1, 0, 1, 0]) AS split_seed), e AS (SELECT cell_id, portion, split_seed FROM fx_cells, p), {_R(['cell_id', 'split_seed'], 0, 'PARTITION BY portion, split_seed', 'e')} SELECT cell_id, portion, cast(split_seed AS bigint) AS split_seed FROM r WHERE rank < greatest(1, floor(n * portion))")
+query("r8_learning_curve_plan", lambda t: longs(smp.learning_curve_plan(t.fx_cells, ["cell_id"]), "split_seed"), f"WITH p AS (SELECT i / 10.0::DOUBLE AS portion, k AS split_seed FROM range(1, 11) a(i), range(5) b(k) WHERE i < 10 OR k = 0), e AS (SELECT cell_id, portion, split_seed FROM fx_cells, p), {_R(['cell_id', 'split_seed'], 0, 'PARTITION BY portion, split_seed', 'e')} SELECT cell_id, portion, cast(split_seed AS bigint) AS split_seed FROM r WHERE rank < greatest(1, floor(n * portion))")
 IMAGE = ["scan_name", "image_name"]
 query("r9_random_review", lambda t: smp.random_review(t.fx_cells, 50, IMAGE), f"SELECT scan_name, image_name FROM (SELECT DISTINCT scan_name, image_name FROM fx_cells WHERE conf > 0.5) ORDER BY {_H(IMAGE, 0)}, scan_name, image_name LIMIT 50")
 query("r10_inspect_sample", lambda t: smp.inspect_sample(t.fx_cells, 20, IMAGE), f"WITH s AS (SELECT scan_name, image_name FROM (SELECT DISTINCT scan_name, image_name FROM fx_cells) ORDER BY {_H(IMAGE, 0)}, scan_name, image_name LIMIT 20) SELECT scan_name, image_name, count(*) AS n_boxes FROM fx_cells JOIN s USING (scan_name, image_name) GROUP BY 1, 2")
@@ -476,10 +482,151 @@ def _stream_results(t: Tables) -> DataFrame:
 
 def _stream_totals(t: Tables) -> DataFrame:
     base, schema = _landed(t)
-    name = f"totals_{uuid.uuid4().hex}"
-    ingest.stream_scan_totals(ingest.read_stream(t.spark, f"{base}/in", schema), name, f"{base}/check").awaitTermination()
-    return r6(t.spark.table(name), "mean_area")
+    for _ in range(2):
+        ingest.stream_scan_totals(ingest.read_stream(t.spark, f"{base}/in", schema, 10), f"{base}/out", f"{base}/check").awaitTermination()
+    return r6(ingest.read_scan_totals(t.spark, f"{base}/out"), "mean_area")
 
 
 query("sm1_stream_results", _stream_results, "SELECT scan_name, count(*) AS n_cells FROM fx_cells GROUP BY 1")
 query("sm2_stream_scan_totals", _stream_totals, "SELECT scan_name, count(*) AS n_cells, round(avg(cell_area), 6) AS mean_area FROM fx_cells GROUP BY 1")
+
+# --- folders: driver rows are landed in the form that a reader expects, then read
+def _images(t: Tables, path: str, rows: DataFrame) -> DataFrame:
+    """Rows (scan, class, …) as one file with an image's ending per scan and class."""
+    rows.repartition("scan", "class").write.option("extension", "png").partitionBy("scan", "class").csv(path)
+    return rows
+
+
+def _inventory(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "images")
+    cells = t.fx_cells.select("cell_id", F.col("scan_name").alias("scan"), F.col("cluster").alias("class"))
+    _images(t, f"{path}/images", cells)
+    _images(t, f"{path}/masks", cells.where("class < 2"))
+    found = src.index_segmentations(t.spark, f"{path}/images")
+    masks = src.index_segmentations(t.spark, f"{path}/masks").select("scan", "class", F.col("image_path").alias("mask"))
+    rows = found.join(masks, ["scan", "class"], "left")  # file names are Spark's own here: they match by folder
+    return rows.groupBy("scan", "class").agg(F.count("*").alias("n_files"), F.count("mask").alias("n_masks"))
+
+
+_LANDED = "l AS (SELECT concat('scan=', scan_name) AS scan, concat('class=', cluster) AS class FROM fx_cells GROUP BY scan_name, cluster)"
+query("s8_index_segmentations", _inventory, f"WITH {_LANDED} SELECT scan, class, cast(1 AS bigint) AS n_files, cast(CASE WHEN class IN ('class=0', 'class=1') THEN 1 ELSE 0 END AS bigint) AS n_masks FROM l")
+
+
+def _collected(t: Tables) -> DataFrame:
+    """Cells of each split in a folder of the split, a file per cluster."""
+    path = new_path(t.spark, "splits")
+    splits = smp.split3(t.fx_cells, KEYS).select("cell_id", "split", "cluster")
+    for name in ("train", "val", "test", "other"):
+        splits.where(F.col("split") == name).repartition("cluster").write.option("extension", "jpg").partitionBy("cluster").csv(f"{path}/{name}/images")
+    return src.collect_images(t.spark, path).groupBy("split").agg(F.count("*").alias("n_images"))
+
+
+query("s9_collect_images", _collected, f"WITH {_R(KEYS, 0)}, k AS (SELECT DISTINCT CASE WHEN rank < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split, cluster FROM r) SELECT split, count(*) AS n_images FROM k GROUP BY 1")
+
+
+def _crops(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "crops")
+    _images(t, path, t.fx_cells.select("cell_id", F.col("scan_name").alias("scan"), F.col("cluster").alias("class")))
+    return src.index_crops(t.spark, path).select(F.regexp_extract("path", "/(scan=[^/]*)/", 1).alias("scan"), F.regexp_extract("path", "/(class=[^/]*)/", 1).alias("class"))
+
+
+query("s10_index_crops", _crops, f"WITH {_LANDED} SELECT scan, class FROM l")
+query("s12_class_names", lambda t: src.class_names(t.spark, [r[0] for r in t.fx_expert.select("cluster_annotation").distinct().orderBy("cluster_annotation").collect()]), "SELECT cast(row_number() OVER (ORDER BY name) - 1 AS integer) AS id, name FROM (SELECT DISTINCT cluster_annotation AS name FROM fx_expert)")
+
+
+def _curve(t: Tables) -> DataFrame:
+    """Metrics as learning-curve documents, one per variant, each with means of its portions and the runs behind them."""
+    path = new_path(t.spark, "curve")
+    runs = t.fx_metrics.groupBy("variant", "fold", "region").agg(F.avg("metric").alias("score"))
+    means = runs.groupBy("variant", "fold").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+    parts = means.groupBy("variant").agg(F.collect_list(F.struct("variant", "fold", "score", "n")).alias("averaged")).join(runs.groupBy("variant").agg(F.collect_list(F.struct("variant", "fold", "region", "score")).alias("raw")), "variant")
+    parts.select(F.to_json(F.struct("averaged", "raw")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    averaged, raw = src.read_learning_curve(t.spark, path)
+    return r6(averaged.join(raw.groupBy("variant", "fold").agg(F.max("score").alias("best")), ["variant", "fold"]).select("variant", "fold", "score", "n", "best"), "score", "best")
+
+
+query("s14_learning_curve", _curve, "WITH r AS (SELECT variant, fold, region, avg(metric) AS score FROM fx_metrics GROUP BY 1, 2, 3) SELECT variant, fold, round(avg(score), 6) AS score, count(*) AS n, round(max(score), 6) AS best FROM r GROUP BY 1, 2")
+
+
+def _coco_documents(t: Tables) -> DataFrame:
+    """Cells as COCO documents of some thousand annotations of a scan, read back as three tables and joined again."""
+    path = new_path(t.spark, "documents")
+    cells = t.fx_cells.where("cluster IS NOT NULL")
+    parts = cells.count() // (48 * 4000) + 1
+    image = F.xxhash64(*IMAGE)
+    box = F.array(*(c.cast("double") for c in (F.col("xmin"), F.col("ymin"), F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
+    note = F.struct(F.col("cell_id").alias("id"), image.alias("image_id"), F.col("cluster").cast("int").alias("category_id"), F.lit("[]").alias("segmentation"), F.col("cell_area").cast("double").alias("area"), box.alias("bbox"), F.lit(0).alias("iscrowd"))
+    picture = F.struct(image.alias("id"), F.concat_ws("/", *IMAGE).alias("file_name"), F.lit(512).alias("width"), F.lit(512).alias("height"))
+    category = F.struct(F.col("cluster").cast("int").alias("id"), F.element_at(F.array(*map(F.lit, coco.CLASSES)), F.col("cluster").cast("int") + 1).alias("name"), F.lit("cell").alias("supercategory"))
+    groups = cells.groupBy("scan_name", F.pmod(F.xxhash64("image_name"), F.lit(parts))).agg(F.collect_list(note).alias("annotations"), F.collect_set(picture).alias("images"), F.collect_set(category).alias("categories"))
+    groups.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    images, annotations, categories = coco.read_coco(t.spark, path)
+    rows = annotations.join(images.select(F.col("id").alias("image_id"), "file_name"), "image_id").join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name").distinct()), "category_id")  # a row per class
+    return rows.select(F.col("id").alias("cell_id"), "file_name", "name", F.element_at("bbox", 3).alias("width"))
+
+
+query("s5_read_coco", _coco_documents, "SELECT cell_id, concat(scan_name, '/', image_name) AS file_name, list_extract(['MG_whole', 'MG_cell_body', 'Cluster', 'Unclassified', 'Dirt', 'microglia'], cast(cluster AS int) + 1) AS name, cast(xmax - xmin AS double) AS width FROM fx_cells WHERE cluster IS NOT NULL")
+
+
+def _yolo_folders(t: Tables) -> DataFrame:
+    """A label dataset written by write_yolo_dataset, a folder per image, and read by read_yolo_labels."""
+    path = new_path(t.spark, "yolo")
+    boxes = geo.xyxy_to_yolo(t.fx_cells, 512, 512).withColumns({"cls": F.col("cluster"), "image_name": F.col("image_name")})
+    manifest = src.write_yolo_dataset(boxes.select("image_name", "cls", "cx", "cy", "w", "h"), path)
+    named = F.regexp_extract(F.col("_metadata.file_path"), "image_name=([^/]*)/", 1)
+    texts = t.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{path}/labels").select(named.alias("image_name"), F.col("value").alias("line"))
+    found = src.parse_yolo_lines(texts).groupBy("image_name").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 6).alias("cx"))
+    return found.join(manifest.select(F.substring("value", 8, 1000).alias("image_name")), "image_name").join(src.read_yolo_labels(t.spark, f"{path}/labels").agg(F.count("*").alias("n_lines")), F.lit(True))
+
+
+query("s4_write_yolo_dataset", _yolo_folders, "SELECT image_name, count(*) AS n, round(sum(cast(printf('%.6f', (xmin + xmax) / 2.0 / 512) AS double)), 6) AS cx, (SELECT count(*) FROM fx_cells) AS n_lines FROM fx_cells GROUP BY 1")
+query("s15_topic_counts", lambda t: src.topic_counts(src.artifacts_by_tile(t.orders.select(F.concat(F.lit("out/t"), F.floor(F.col("o_orderkey") / 3).cast("string"), F.element_at(F.array(F.lit("_mask.png"), F.lit(".csv"), F.lit(".none")), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("path")), {"_mask.png": "mask", ".csv": "table"})), "SELECT count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 END) AS mask, count(DISTINCT CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey // 3 END) AS \"table\" FROM orders")
+
+# --- feature choice, similarity, user code
+_COLS = ["cell_area", "area_twice", "skeleton_length", "minus_length", "cell_solidity", "cell_circularity"]
+derived = lambda df: df.withColumns({"area_twice": F.col("cell_area") * 2 + 1, "minus_length": -F.col("skeleton_length")})
+
+
+def _kept(t: Tables, kept: list[str], dropped: list[str]) -> DataFrame:
+    return t.spark.createDataFrame([(c, True) for c in kept] + [(c, False) for c in dropped], "feature string, kept boolean")
+
+
+# Groups of columns that all correlate: the first in order stays.
+_CHOICE = "d AS (SELECT scan_name, {area} AS cell_area, {area} * 2 + 1 AS area_twice, {length} AS skeleton_length, -{length} AS minus_length, {solidity} AS cell_solidity, {circ} AS cell_circularity FROM {frm}), l AS (SELECT scan_name, feature, v FROM d UNPIVOT (v FOR feature IN (cell_area, area_twice, skeleton_length, minus_length, cell_solidity, cell_circularity))), p AS (SELECT a.feature AS fa, b.feature AS fb, a.v AS x, b.v AS y FROM l a JOIN l b USING (scan_name)), k AS (SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS y FROM p), c AS (SELECT fa, fb, abs(corr(x, y)) AS r FROM k GROUP BY 1, 2), o AS (SELECT unnest(['cell_area', 'area_twice', 'skeleton_length', 'minus_length', 'cell_solidity', 'cell_circularity']) AS feature, unnest(range(6)) AS place) SELECT feature, NOT EXISTS (SELECT 1 FROM c JOIN o q ON q.feature = fb WHERE fa = o.feature AND q.place < o.place AND r >= 0.7) AS kept FROM o"
+query("t2_representatives", lambda t: _kept(t, *st.representatives(derived(scan_table(t)), _COLS)), f"WITH {SCAN_SQL}, {_CHOICE.format(area='cell_area', length='skeleton_length', solidity='cell_solidity', circ='cell_circularity', frm='s')}")
+query("t3_choose_features", lambda t: _kept(t, *st.choose_features(derived(t.fx_cells).withColumns({"three": F.lit(3), "name": F.lit("x")}), ["three", "name", "absent", *_COLS])), f"WITH {SCAN_SQL}, {_CHOICE.format(area='cell_area', length='skeleton_length', solidity='cell_solidity', circ='cell_circularity', frm='s')}")
+query(
+    "k20_morphology_similarity",
+    lambda t: r6(px.morphology_similarity(moved(t).where("cell_id % 5 > 0"), t.fx_cells, WEIGHTS(t), ["skeleton_length", "cell_area", "cell_circularity"], CELL), "score"),
+    f"WITH {SCORE_SQL} SELECT {CELL_SQL}, CASE WHEN cell_id % 5 > 0 THEN round(sum(w * (1 - error)) / sum(w), 6) ELSE 0 END AS score FROM e GROUP BY 1, 2, 3",
+)
+query("x11_tile_name", lambda t: t.fx_cells.select("cell_id", tx.tile_name(F.col("xmin").cast("int"), F.col("ymin").cast("int"), F.when(F.col("cluster") == 0, "gray").otherwise("white")).alias("name")), "SELECT cell_id, concat('tile_x', xmin, '_y', ymin, CASE WHEN cluster = 0 THEN '_gray' ELSE '_white' END, '_matter.jpg') AS name FROM fx_cells")
+query("p14_drop_unusable", lambda t: flt.drop_unusable(t.fx_cells.select("cell_id", "cell_area", F.lit(3).alias("three"), F.lit(None).cast("double").alias("none")), ["cell_area", "three", "none"]), "SELECT cell_id, cell_area FROM fx_cells")
+query("p5_confidence_queue", lambda t: cohort.confidence_queue(t.fx_cells).select(*CELL, "conf", "n_boxes"), f"WITH i AS (SELECT DISTINCT scan_name, image_name FROM fx_cells WHERE conf > 0.45 AND conf < 0.55 ORDER BY 1, 2 LIMIT 100) SELECT {CELL_SQL}, conf, count(*) OVER (PARTITION BY scan_name, image_name) AS n_boxes FROM fx_cells SEMI JOIN i USING (scan_name, image_name) WHERE conf > 0.45")
+_SQUARE = "list_sum(list_transform(list_zip(cast({0} AS double[]), {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+query(
+    "ud4_score_tiles",
+    lambda t: r6(hooks.score_tiles(t.embeddings.select("vec_id", "embedding"), hooks.fit_centroids(t.embeddings, "label", "embedding"), ["embedding"], "predicted long, distance double").select("vec_id", "predicted", "distance", F.col("error").isNotNull().alias("failed")), "distance"),
+    f"WITH c AS (SELECT label, list(m ORDER BY j) AS m FROM (SELECT label, j, avg(cast(embedding[j] AS double)) AS m FROM embeddings, range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) r(j) WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2) GROUP BY 1), d AS (SELECT vec_id, arg_min(label, d) AS predicted, min(d) AS distance FROM (SELECT vec_id, label, {_SQUARE.format('embedding', 'm')} AS d FROM (SELECT vec_id, embedding FROM embeddings) e, c) GROUP BY 1) SELECT vec_id, cast(predicted AS bigint) AS predicted, round(distance, 6) AS distance, distance IS NULL AS failed FROM d",
+)
+query("ud5_expand_runs", lambda t: longs(hooks.expand_runs(px.rle_encode(t.fx_pixels, 64, 64), 64, ["cell_id"]), "y", "x"), "SELECT cell_id, y, x FROM fx_pixels")
+query(
+    "m9_embedding_f1",
+    lambda t: r6(ml.embedding_f1(t.embeddings, low(t), "vec_id", "embedding", 10, 300), "continuity", "trustworthiness", "f1"),
+    f"WITH a AS ({_CONT.format(e=_E, h=_DIST.format('embedding'), l=_DIST.format('low'))}), b AS ({_CONT.format(e=_E, h=_DIST.format('low'), l=_DIST.format('embedding'))}), v AS (SELECT (SELECT value FROM a) AS c, (SELECT value FROM b) AS t) SELECT c AS continuity, t AS trustworthiness, round(2 * c * t / (c + t), 6) AS f1 FROM v",
+)
+
+# --- a mask of a whole slide: places scattered over many tiles, and bars that cross them
+_DOTS = "SELECT cast(1 AS bigint) AS slide, (l_partkey * 7919 + l_linenumber * 104729) % 4096 AS y, (l_suppkey * 15485863 + l_orderkey * 31) % 4096 AS x FROM lineitem"
+
+
+def slides(t: Tables) -> DataFrame:
+    return t.spark.sql(_DOTS.replace("FROM lineitem", "FROM {l}"), l=t.lineitem).unionByName(t.spark.sql("SELECT cast(2 AS bigint) AS slide, p_partkey * 3 AS y, x FROM {p} LATERAL VIEW explode(sequence(0L, 599L + p_size * 17)) AS x WHERE p_partkey % 7 > 0", p=t.part)).distinct()
+
+
+_BARS = "SELECT cast(2 AS bigint) AS slide, p_partkey * 3 AS y, cast(0 AS bigint) AS x, cast(600 + p_size * 17 AS bigint) AS n FROM part WHERE p_partkey % 7 > 0"
+query(
+    "k12_slide_components",
+    lambda t: px.slide_components(slides(t)).groupBy("slide", "cy", "cx").agg(F.count("*").alias("n")),
+    f"WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT slide, y, x FROM ({_DOTS})), near AS MATERIALIZED (SELECT a.y, a.x, b.y AS ny, b.x AS nx FROM d a, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx), d b WHERE b.y = a.y + dy AND b.x = a.x + dx AND (dy <> 0 OR dx <> 0)), r(y, x, ry, rx) AS (SELECT y, x, y, x FROM d UNION SELECT near.ny, near.nx, ry, rx FROM r JOIN near USING (y, x)), f AS (SELECT y, x, min(ry * 4096 + rx) AS first FROM r GROUP BY 1, 2) SELECT cast(1 AS bigint) AS slide, cast(first // 4096 AS bigint) AS cy, cast(first % 4096 AS bigint) AS cx, count(*) AS n FROM f GROUP BY first UNION ALL {_BARS.replace('AS y', 'AS cy').replace('AS x', 'AS cx')}",
+)

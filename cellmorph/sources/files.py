@@ -3,7 +3,7 @@
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, stem
@@ -33,12 +33,16 @@ def read_cells(spark: SparkSession, *paths: str, schema: str = CELLS, keep: Sequ
 
 
 def combine_results(df: DataFrame, path: str) -> DataFrame:
-    """Writes cells as Parquet by scan; returns one row (n_rows, n_scans, n_files). An error without rows."""
-    if df.isEmpty():
+    """Writes cells as Parquet by scan; returns one row (n_rows, n_scans, n_files). An error without rows, which leaves the folder empty.
+
+    The input is evaluated once: the write counts its rows, scans and files are counted in what it wrote (folder names and one column)."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").partitionBy("scan_name").parquet(path)
+    n = seen.get["n_rows"]
+    if not n:
         raise ValueError("no result rows to combine")
-    df.write.mode("overwrite").partitionBy("scan_name").parquet(path)
     files = F.count_distinct("source_file") if "source_file" in df.columns else F.lit(None).cast("long")
-    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("scan_name").alias("n_scans"), files.alias("n_files"))
+    return df.sparkSession.read.parquet(path).agg(F.lit(n).cast("long").alias("n_rows"), F.count_distinct("scan_name").alias("n_scans"), files.alias("n_files"))
 
 
 def parse_yolo_lines(lines: DataFrame, line: str = "line") -> DataFrame:

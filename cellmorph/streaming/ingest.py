@@ -35,11 +35,21 @@ def stream_results(stream: DataFrame, out: str, checkpoint: str, key: Sequence[s
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_totals(stream: DataFrame) -> DataFrame:
-    """Running (scan_name, n_cells, mean_area); there is no event time, so no watermark."""
-    return stream.groupBy("scan_name").agg(F.count("*").alias("n_cells"), F.avg("cell_area").alias("mean_area"))
+def stream_scan_totals(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running totals of scans: each batch writes the scans it changed to a folder of its own.
 
+    Sums live in the state store (there is no event time, so no watermark); nothing reaches the driver. A batch that is run
+    again after a failure writes its own folder again, so it adds nothing twice."""
+    totals = stream.groupBy("scan_name").agg(F.count("*").alias("n_cells"), F.sum("cell_area").alias("area"), F.count("cell_area").alias("n_areas"))
 
-def stream_scan_totals(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The totals after every batch in a table in memory: a row per scan."""
-    return scan_totals(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_scan_totals(spark: SparkSession, out: str) -> DataFrame:
+    """(scan_name, n_cells, mean_area): of each scan the totals of the last batch that changed it."""
+    rows = spark.read.schema("scan_name string, n_cells long, area double, n_areas long, batch long").parquet(out)
+    last = rows.groupBy("scan_name").agg(F.max_by(F.struct("n_cells", "area", "n_areas"), "batch").alias("t"))
+    return last.select("scan_name", "t.n_cells", (F.col("t.area") / F.col("t.n_areas")).alias("mean_area"))
