@@ -90,5 +90,8 @@ class Tables:
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names put before it."""
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    return (f"WITH {', '.join(f'{v} AS ({VIEWS[v]})' for v in used)}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {', '.join(f'{v} AS ({VIEWS[v]})' for v in used)} {sql}") if used else sql
+    used = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if re.search(rf"\b{v}\b", sql))
+    if not used:
+        return sql
+    start = re.match(r"WITH( RECURSIVE)? ", sql)
+    return f"{start[0]}{used}, {sql[start.end() :]}" if start else f"WITH {used} {sql}"

@@ -384,7 +384,7 @@ query(
     lambda t: longs(px.sholl(arms(t), t.fx_soma), "sholl_min_radius", "sholl_peak_radius", "sholl_max_radius", "sholl_peak", "sholl_sum"),
     f"WITH {ARMS_SQL}, c AS (SELECT cell_id, avg(y) cy, avg(x) cx FROM fx_soma GROUP BY 1), d AS (SELECT cell_id, sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) d FROM arms JOIN c USING (cell_id)), h AS (SELECT cell_id, cast(floor(d + 0.5) AS bigint) r, count(*) n FROM d WHERE floor(d + 0.5) >= 1 GROUP BY 1, 2) SELECT cell_id, min(r) AS sholl_min_radius, arg_max(r, n * 1000 - r) AS sholl_peak_radius, max(r) AS sholl_max_radius, max(n) AS sholl_peak, cast(sum(n) AS bigint) AS sholl_sum FROM h GROUP BY 1",
 )
-query("k16_morphology", lambda t: px.morphology(ids(t), t.fx_pixels, t.fx_soma))
+query("k16_morphology", lambda t: (lambda d: r6(d, *(c for c, k in d.dtypes if k == "double")))(px.morphology(ids(t), t.fx_pixels, t.fx_soma)))
 shifted = lambda t: t.fx_pixels.withColumn("x", F.col("x") + 1)
 _TP = "s AS (SELECT coalesce(a.cell_id, b.cell_id) cell_id, count(*) FILTER (a.x IS NOT NULL AND b.x IS NOT NULL) tp, count(*) FILTER (b.x IS NULL) fp, count(*) FILTER (a.x IS NULL) fn FROM (SELECT cell_id, y, x + 1 AS x FROM fx_pixels) a FULL JOIN fx_pixels b ON a.cell_id = b.cell_id AND a.y = b.y AND a.x = b.x GROUP BY 1)"
 query("k17_dice_iou", lambda t: r6(px.dice_iou(shifted(t), t.fx_pixels), "dice", "iou"), f"WITH {_TP} SELECT cell_id, round((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6), 6) AS dice, round((tp + 1e-6) / (tp + fp + fn + 1e-6), 6) AS iou FROM s")
@@ -630,3 +630,106 @@ query(
     lambda t: px.slide_components(slides(t)).groupBy("slide", "cy", "cx").agg(F.count("*").alias("n")),
     f"WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT slide, y, x FROM ({_DOTS})), near AS MATERIALIZED (SELECT a.y, a.x, b.y AS ny, b.x AS nx FROM d a, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx), d b WHERE b.y = a.y + dy AND b.x = a.x + dx AND (dy <> 0 OR dx <> 0)), r(y, x, ry, rx) AS (SELECT y, x, y, x FROM d UNION SELECT near.ny, near.nx, ry, rx FROM r JOIN near USING (y, x)), f AS (SELECT y, x, min(ry * 4096 + rx) AS first FROM r GROUP BY 1, 2) SELECT cast(1 AS bigint) AS slide, cast(first // 4096 AS bigint) AS cy, cast(first % 4096 AS bigint) AS cx, count(*) AS n FROM f GROUP BY first UNION ALL {_BARS.replace('AS y', 'AS cy').replace('AS x', 'AS cx')}",
 )
+
+
+# --- SQL of queries above whose rows follow from the fixtures' making: of each part but every eleventh a disc of radius r around (32, 32),
+# an upright line of half length v, and for even parts a level one of half length h
+def oracle(name: str, sql: str) -> None:
+    ORACLE_SQL[name] = with_views(" ".join(sql.split()))
+
+
+_CROSS = "pp AS (SELECT p_partkey AS cell_id, p_partkey % 2 = 0 AS even, cast(3 + p_size % 6 AS bigint) AS r, cast(8 + p_size % 20 AS bigint) AS v, cast(6 + p_size % 18 AS bigint) AS h FROM part WHERE p_partkey % 11 > 0), q AS (SELECT cell_id, even, r, greatest(v - r, 0) AS lv, CASE WHEN even THEN greatest(h - r, 0) ELSE 0 END AS lh, greatest(v, r) AS tv, CASE WHEN even THEN greatest(h, r) ELSE r END AS th FROM pp)"
+# A row's half width; from row to row a border goes straight, or aslant and then along the wider row.
+_RINGS = "w AS (SELECT r, y, floor(sqrt(r * r - y * y)) AS w FROM range(3, 9) a(r), range(-8, 9) b(y) WHERE abs(y) <= r), disc AS (SELECT r, cast(sum(2 * w + 1) AS bigint) AS area FROM w GROUP BY 1), ring AS (SELECT a.r, 2 * sum(CASE WHEN a.w = b.w THEN 1 ELSE sqrt(2) + abs(a.w - b.w) - 1 END) AS length FROM w a JOIN w b ON a.r = b.r AND b.y = a.y + 1 GROUP BY 1)"
+# Hull edges: pairs with all points on one side and none beyond on their line.
+_HULL = "sh AS (SELECT DISTINCT r, tv, th FROM q), pts AS (SELECT r, tv, th, y, cast(k * w AS bigint) AS x FROM sh JOIN w USING (r), (VALUES (-1), (1)) s(k) UNION SELECT r, tv, th, k * tv, 0 FROM sh, (VALUES (-1), (1)) s(k) UNION SELECT r, tv, th, 0, k * th FROM sh, (VALUES (-1), (1)) s(k)), tri AS (SELECT a.r, a.tv, a.th, a.y AS ay, a.x AS ax, b.y AS ey, b.x AS ex, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS low, max(CASE WHEN (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0) THEN 1 ELSE 0 END) AS beyond FROM pts a JOIN pts b USING (r, tv, th) JOIN pts c USING (r, tv, th) WHERE a.x <> b.x OR a.y <> b.y GROUP BY ALL), hull AS (SELECT r, tv, th, abs(sum(ax * ey - ex * ay)) / 2.0 AS hull_area, sum(sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay))) AS hull_length FROM tri WHERE low >= 0 AND beyond = 0 GROUP BY 1, 2, 3)"
+oracle("k4_skeletonize", f"WITH {_CROSS} SELECT cell_id, cast(32 + d AS bigint) AS y, cast(32 AS bigint) AS x FROM q, range(-32, 33) t(d) WHERE abs(d) <= tv UNION ALL SELECT cell_id, cast(32 AS bigint) AS y, cast(32 + d AS bigint) AS x FROM q, range(-32, 33) t(d) WHERE even AND abs(d) <= th AND d <> 0")
+oracle("k6_junctions", f"WITH {_CROSS} SELECT cell_id, cast(1 AS bigint) AS num_junctions FROM q WHERE even")
+oracle("k9_perimeter", f"WITH {_CROSS}, {_RINGS} SELECT cell_id, round(length, 6) AS perimeter FROM q JOIN ring USING (r)")
+oracle("k10_convex_hull", f"WITH {_CROSS}, {_RINGS}, {_HULL} SELECT cell_id, round(hull_area, 6) AS hull_area, round(hull_length, 6) AS hull_perimeter FROM q JOIN hull USING (r, tv, th)")
+_ARMS_N = "2 * cast(lv > 0 AS bigint) + 2 * cast(lh > 0 AS bigint)"
+oracle("k12_component_count", f"WITH {_CROSS} SELECT cell_id, {_ARMS_N} AS n_components FROM q WHERE lv + lh > 0")
+for _name in ("k13_largest_component", "k14_clean_masks"):
+    oracle(_name, f"WITH {_CROSS} SELECT cell_id, greatest(lv, lh) AS area FROM q WHERE lv + lh > 0")
+oracle("k21_betti", f"WITH {_CROSS} SELECT cell_id, cast(1 AS bigint) AS b0, cast(0 AS bigint) AS b1 FROM q")
+oracle("k21_betti_diff", f"WITH {_CROSS} SELECT cell_id, cast(abs(1 - ({_ARMS_N})) AS double) AS betti_loss FROM q")
+oracle("k23_fill_holes", f"WITH {_CROSS} SELECT cell_id, 2 * lv + 2 * lh AS area FROM q WHERE lv + lh > 0")
+_NODES = "2 * cast(lv > 1 AS bigint) + 2 * cast(lh > 1 AS bigint)"
+_DIV = lambda a, b: f"round(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END, 6)"
+oracle(
+    "k16_morphology",
+    f"WITH {_CROSS}, {_RINGS}, {_HULL}, m AS (SELECT cell_id, 2 * lv + 2 * lh AS arms, {_ARMS_N} AS n, {_NODES} AS nodes, disc.area AS soma, length AS soma_p, disc.area + 2 * lv + 2 * lh AS cell, length + 4 * lv + 4 * lh AS cell_p, hull_area, hull_length, 4 * greatest(lv - 1, 0) + 4 * greatest(lh - 1, 0) AS branch_p, CASE WHEN lv + lh > 0 THEN r + 1 ELSE 0 END AS near, CASE WHEN lv + lh > 0 THEN r + greatest(lv, lh) ELSE 0 END AS far FROM q JOIN disc USING (r) JOIN ring USING (r) JOIN hull USING (r, tv, th)), "
+    "z AS (SELECT p_partkey AS cell_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "arms n nodes soma soma_p cell cell_p hull_area hull_length branch_p near far".split()) + " FROM part LEFT JOIN m ON p_partkey = cell_id) "
+    "SELECT cell_id, arms AS skeleton_length, cast(0 AS bigint) AS num_junctions, n AS num_components, nodes AS num_end_nodes, nodes AS num_start_nodes, soma AS soma_area, round(soma_p, 6) AS soma_perimeter, cell AS cell_area, round(cell_p, 6) AS cell_perimeter, round(hull_area, 6) AS cell_convex_hull_area, round(hull_length, 6) AS cell_convex_hull_perimeter, "
+    "arms AS branch_area, cast(branch_p AS double) AS branch_perimeter, near AS sholl_min_radius, near AS sholl_peak_radius, far AS sholl_max_radius, n AS sholl_peak, arms AS sholl_sum, "
+    f"{_DIV('nodes', 'nodes')} AS end_to_start_ratio, 2 * nodes AS total_nodes, {_DIV('4 * pi() * soma', '(soma_p * soma_p)')} AS soma_circularity, {_DIV('cell', 'hull_area')} AS cell_solidity, {_DIV('hull_length', 'cell_p')} AS cell_convexity, {_DIV('4 * pi() * cell', '(cell_p * cell_p)')} AS cell_circularity, {_DIV('4 * pi() * hull_area', '(hull_length * hull_length)')} AS cell_convex_circularity FROM z",
+)
+oracle(
+    "k19_evaluate_regions",
+    "WITH j AS (SELECT cell_id, y, x, max(p) AS p, max(t) AS t, max(s) AS s FROM (SELECT cell_id, y, x + 1 AS x, 1.0 AS p, 0.0 AS t, 0.0 AS s FROM fx_pixels UNION ALL SELECT cell_id, y, x, 0, 1, 0 FROM fx_pixels UNION ALL SELECT cell_id, y, x, 0, 0, 1 FROM fx_soma) GROUP BY 1, 2, 3), "
+    "m AS (SELECT cell_id, cast(sum(p * t) AS double) AS pt, cast(sum(p) AS double) AS ps, cast(sum(t) AS double) AS ts, cast(sum(s) AS double) AS ss, cast(sum(p * s) AS double) AS sp, cast(sum(t * (1 - s)) AS double) AS bt, cast(sum(p * (1 - s)) AS double) AS bp, cast(sum(p * (1 - s) * t * (1 - s)) AS double) AS b FROM j GROUP BY 1) "
+    "SELECT cell_id, 'overall' AS region, round((2 * pt + 1e-6) / (ps + ts + 1e-6), 6) AS dice, round((pt + 1e-6) / (ps + ts - pt + 1e-6), 6) AS iou, round((pt + 1e-6) / (ps + 1e-6), 6) AS precision, round((pt + 1e-6) / (ts + 1e-6), 6) AS recall, cast(ts AS bigint) AS pixels FROM m "
+    "UNION ALL SELECT cell_id, 'soma', round(sp / ss, 6), round(sp / ss, 6), round(sp / ss, 6), round(sp / ss, 6), cast(ss AS bigint) FROM m WHERE ss > 0 "
+    "UNION ALL SELECT cell_id, 'branches', round((2 * b + 1e-6) / (bp + bt + 1e-6), 6), round((b + 1e-6) / (bp + bt - b + 1e-6), 6), round((b + 1e-6) / (bp + 1e-6), 6), round((b + 1e-6) / (bt + 1e-6), 6), cast(bt AS bigint) FROM m WHERE bt > 0",
+)
+_NEAR = "(VALUES (-1), (0), (1)) dy(a), (VALUES (-1), (0), (1)) dx(b)"
+oracle(
+    "k22_otsu_mask",
+    "WITH g AS MATERIALIZED (SELECT cell_id, p.y, p.x, CASE WHEN s.cell_id IS NULL THEN 255 ELSE (p.x * 7 + p.y * 3) % 200 END AS g FROM fx_pixels p LEFT JOIN fx_soma s USING (cell_id, y, x)), h AS (SELECT cell_id, g, count(*) n FROM g GROUP BY 1, 2), c AS (SELECT cell_id, g, cast(sum(n) OVER a AS double) w0, cast(sum(n * g) OVER a AS double) s0, cast(sum(n) OVER (PARTITION BY cell_id) AS double) w, cast(sum(n * g) OVER (PARTITION BY cell_id) AS double) s FROM h WINDOW a AS (PARTITION BY cell_id ORDER BY g)), "
+    "b AS (SELECT cell_id, g, CASE WHEN w > w0 THEN w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) ELSE 0 END b FROM c), t AS (SELECT cell_id, g AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY b DESC, g) k FROM b) WHERE k = 1), dark AS (SELECT cell_id, y, x FROM g JOIN t USING (cell_id) WHERE g <= threshold), "
+    f"eroded AS (SELECT cell_id, y + a AS y, x + b AS x FROM dark, {_NEAR} GROUP BY 1, 2, 3 HAVING count(*) = 9), opened AS (SELECT DISTINCT cell_id, y + a AS y, x + b AS x FROM eroded, {_NEAR}) SELECT cell_id, count(*) AS area FROM opened SEMI JOIN fx_soma USING (cell_id, y, x) GROUP BY 1",
+)
+_HIT = lambda ax, ay, bx, by: f"CASE WHEN ({ay} > j + 0.5) <> ({by} > j + 0.5) AND i + 0.5 < ({bx} - {ax}) * (j + 0.5 - {ay}) / cast(nullif({by} - {ay}, 0) AS double) + {ax} THEN 1 ELSE 0 END"
+oracle("k24_rasterize", f"WITH c AS (SELECT region_id, x0 % 47 AS ax, y0 % 37 AS ay, x1 % 47 AS bx, y0 % 37 AS bb, x1 % 47 AS cx, y1 % 37 AS cc FROM fx_regions) SELECT region_id, count(*) AS area FROM c, range(47) s(i), range(37) t(j) WHERE ({_HIT('ax', 'ay', 'bx', 'bb')} + {_HIT('bx', 'bb', 'cx', 'cc')} + {_HIT('cx', 'cc', 'ax', 'ay')}) % 2 = 1 GROUP BY 1")
+# Fifteen rounds reach all that is connected here.
+oracle("k25_grow", f"WITH RECURSIVE p AS MATERIALIZED (SELECT cell_id, y, x, (x * 13 + y * 29) % 100 / 100.0::DOUBLE AS p FROM fx_pixels), r(cell_id, y, x) AS (SELECT cell_id, y, x FROM p WHERE p > 0.5 UNION SELECT n.cell_id, n.y, n.x FROM (SELECT cell_id, y + a AS y, x + b AS x FROM r, {_NEAR}) n JOIN p ON n.cell_id = p.cell_id AND n.y = p.y AND n.x = p.x WHERE p > 0.17) SELECT cell_id, count(*) AS area FROM r GROUP BY 1")
+
+# Pairs of an image and class in order; a row of the recursion is a group's state after its next pair.
+_WALK = (
+    "p AS (SELECT scan_name, image_name, cell_id AS pred_id, cell_id % 3 AS cls, conf, xmin + cell_id % 4 AS a, ymin + cell_id % 4 AS b, xmax + cell_id % 4 AS c, ymax + cell_id % 4 AS d FROM fx_cells), g AS (SELECT scan_name, image_name, cell_id AS true_id, cell_id % 3 AS cls, xmin, ymin, xmax, ymax FROM fx_cells WHERE cluster < 3), "
+    "o AS (SELECT scan_name, image_name, cls, pred_id, true_id, conf, cast(greatest(least(c, xmax) - greatest(a, xmin), 0) AS double) * greatest(least(d, ymax) - greatest(b, ymin), 0) AS i, (c - a) * (d - b) + (xmax - xmin) * (ymax - ymin) AS u FROM p JOIN g USING (scan_name, image_name, cls)), "
+    "pairs AS MATERIALIZED (SELECT scan_name, image_name, cls, pred_id, true_id, i / (u - i) AS iou, row_number() OVER (PARTITION BY scan_name, image_name, cls ORDER BY conf DESC, pred_id, i / (u - i) DESC, true_id) AS k FROM o WHERE u > i AND i / (u - i) > 0.5 - 1e-12), th AS (SELECT round(0.5 + 0.05 * i, 2)::DOUBLE AS t FROM range(10) s(i)), "
+    "r AS (SELECT scan_name, image_name, cls, t, cast(0 AS bigint) AS k, cast([] AS bigint[]) AS up, cast([] AS bigint[]) AS ut FROM (SELECT DISTINCT scan_name, image_name, cls FROM pairs), th UNION ALL SELECT r.scan_name, r.image_name, r.cls, t, q.k, CASE WHEN iou >= t AND NOT list_contains(up, pred_id) AND NOT list_contains(ut, true_id) THEN list_append(up, pred_id) ELSE up END, CASE WHEN iou >= t AND NOT list_contains(up, pred_id) AND NOT list_contains(ut, true_id) THEN list_append(ut, true_id) ELSE ut END FROM r JOIN pairs q ON r.scan_name = q.scan_name AND r.image_name = q.image_name AND r.cls = q.cls AND q.k = r.k + 1), "
+    "hits AS (SELECT scan_name, image_name, cls, t, unnest(arg_max(up, k)) AS pred_id FROM r GROUP BY 1, 2, 3, 4), e AS MATERIALIZED (SELECT p.cls, th.t, p.pred_id, p.conf, CASE WHEN h.pred_id IS NULL THEN 0 ELSE 1 END AS tp FROM p CROSS JOIN th LEFT JOIN hits h ON h.scan_name = p.scan_name AND h.image_name = p.image_name AND h.cls = p.cls AND h.pred_id = p.pred_id AND h.t = th.t), n AS (SELECT cls, count(*) AS n FROM g GROUP BY 1)"
+)
+_AP = (
+    f"{_WALK}, s AS (SELECT cls, t, conf, sum(tp) AS tp, count(*) AS c FROM e GROUP BY 1, 2, 3), c AS (SELECT *, cast(sum(tp) OVER d AS double) / sum(c) OVER d AS precision FROM s WINDOW d AS (PARTITION BY cls, t ORDER BY conf DESC)), b AS (SELECT *, max(precision) OVER (PARTITION BY cls, t ORDER BY conf) AS best FROM c), "
+    "ap AS (SELECT n.cls, th.t, coalesce(sum(best * tp), 0) / n.n AS ap FROM n CROSS JOIN th LEFT JOIN b ON b.cls = n.cls AND b.t = th.t GROUP BY 1, 2, n.n)"
+)
+oracle("d2_match_boxes", f"WITH RECURSIVE {_WALK} SELECT cls, t AS threshold, cast(sum(tp) AS bigint) AS tp, count(*) AS n FROM e GROUP BY 1, 2")
+oracle("d3_average_precision", f"WITH RECURSIVE {_AP} SELECT cls, t AS threshold, round(ap, 6) AS ap FROM ap")
+oracle("d3_mean_average_precision", f"WITH RECURSIVE {_AP}, f AS (SELECT cls, max(CASE WHEN t = 0.5 THEN ap END) AS a, avg(ap) AS m FROM ap GROUP BY 1) SELECT cls, round(a, 6) AS ap50, round(m, 6) AS ap50_95 FROM f UNION ALL SELECT NULL, round(avg(a), 6), round(avg(m), 6) FROM f")
+oracle("d4_precision_recall_at", f"WITH RECURSIVE {_WALK}, s AS (SELECT cls, t, cast(sum(tp) AS double) AS tp, count(*) AS c FROM e WHERE conf > 0.5 GROUP BY 1, 2) SELECT n.cls, th.t AS threshold, round(tp / c, 6) AS precision, round(coalesce(tp, 0) / n.n, 6) AS recall FROM n CROSS JOIN th LEFT JOIN s ON s.cls = n.cls AND s.t = th.t")
+
+_FAR = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+def _picks(first: str, n: int) -> str:
+    """CTEs of farthest points in turn: d1 (vec_id, v, d), picks p1 to pn."""
+    out = [first]
+    for k in range(1, n + 1):
+        out.append(f"p{k} AS MATERIALIZED (SELECT vec_id, v, d FROM d{k} ORDER BY d DESC, vec_id LIMIT 1)")
+        out.append(f"d{k + 1} AS MATERIALIZED (SELECT e.vec_id, e.v, {'least(e.d, ' if k > 1 or 'known' in first else '('}{_FAR.format('e.v', 'p.v')}) AS d FROM d{k} e, p{k} p WHERE e.vec_id <> p.vec_id)")
+    return f"{', '.join(out[:-1])} " + " UNION ALL ".join(f"SELECT vec_id, {k} AS rank, round(d, 6) AS score FROM p{k}" for k in range(1, n + 1))
+
+
+_VEC = "e AS MATERIALIZED (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+oracle("m10_diverse_select", f"WITH {_VEC}, m AS (SELECT list(a ORDER BY j) AS c FROM (SELECT j, avg(v[j]) AS a FROM e, range(1, (SELECT max(len(v)) + 1 FROM e)) r(j) GROUP BY 1)), " + _picks(f"d1 AS MATERIALIZED (SELECT vec_id, v, {_FAR.format('v', 'c')} AS d FROM e, m)", 8))
+oracle("m11_active_select", f"WITH {_VEC}, " + _picks(f"known AS (SELECT v AS w FROM e WHERE label = 0), d1 AS MATERIALIZED (SELECT vec_id, v, min({_FAR.format('v', 'w')}) AS d FROM e, known WHERE label <> 0 GROUP BY 1, 2)", 8))
+
+# --- results that SQL can't give, by what holds of them
+query("m1_pca_axes", lambda t: ml.pca_of(whole(t))[0].agg(F.count("*").alias("n"), (F.abs(F.corr(F.col("pc")[0], F.col("pc")[1])) < 1e-6).alias("apart"), (F.var_pop(F.col("pc")[0]) >= F.var_pop(F.col("pc")[1])).alias("in_order")), "SELECT count(*) AS n, true AS apart, true AS in_order FROM embeddings WHERE embedding IS NOT NULL")
+_shares = lambda df: df.agg(F.count("*").alias("n"), F.count_if((F.abs(F.aggregate("membership", F.lit(0.0), lambda s, p: s + p) - 1) < 1e-6) & (F.array_min("membership") >= 0) & (F.size("membership") == 3)).alias("n_shares"))
+query("m5_gmm_shares", lambda t: _shares(ml.gmm(whole(t), 3)), "SELECT count(*) AS n, count(*) AS n_shares FROM embeddings WHERE embedding IS NOT NULL")
+query("m6_fuzzy_shares", lambda t: _shares(ml.fuzzy_cmeans(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 3)), "SELECT count(*) AS n, count(*) AS n_shares FROM embeddings WHERE embedding IS NOT NULL")
+
+
+def _covered(t: Tables) -> DataFrame:
+    """Boxes, and those that no patch holds: a patch's cells of 512 meet the cell of a box's corner."""
+    patches = sp.patches_for(t.fx_cells, 1, 2048, 2048).select("px", "py", F.explode(F.sequence(F.floor(F.col("px") / 512), F.floor((F.col("px") + 512) / 512))).alias("gx"), F.sequence(F.floor(F.col("py") / 512), F.floor((F.col("py") + 512) / 512)).alias("gys")).select("px", "py", "gx", F.explode("gys").alias("gy"))
+    boxes = t.fx_cells.select(*BOX).distinct().withColumns({"gx": F.floor(F.col("xmin") / 512), "gy": F.floor(F.col("ymin") / 512)})
+    inside = (boxes["gx"] == patches["gx"]) & (boxes["gy"] == patches["gy"]) & (F.col("px") <= F.col("xmin")) & (F.col("py") <= F.col("ymin")) & (F.col("xmax") <= F.col("px") + 512) & (F.col("ymax") <= F.col("py") + 512)
+    return boxes.agg(F.count("*").alias("n_boxes")).join(boxes.join(patches, inside, "left_anti").agg(F.count("*").alias("uncovered")), F.lit(True))
+
+
+query("g9_patches_cover", _covered, "SELECT count(*) AS n_boxes, cast(0 AS bigint) AS uncovered FROM (SELECT DISTINCT xmin, ymin, xmax, ymax FROM fx_cells)")
