@@ -733,3 +733,21 @@ def _covered(t: Tables) -> DataFrame:
 
 
 query("g9_patches_cover", _covered, "SELECT count(*) AS n_boxes, cast(0 AS bigint) AS uncovered FROM (SELECT DISTINCT xmin, ymin, xmax, ymax FROM fx_cells)")
+
+_FIT = ["coef", "se", "t_stat", "ci_low", "ci_high"]
+query(
+    "t4_contrast_estimates",
+    lambda t: r6(st.group_contrast(scan_table(t), FEATURES, ["age_at_death", "sex"], "AD", "100+"), *_FIT).select("feature", *_FIT, "n"),
+    # The group's coefficient is the slope of residuals on residuals, both after age and sex.
+    f"WITH {SCAN_SQL}, l AS (SELECT feature, y, CASE WHEN diagnosis_group = 'AD' THEN 1.0::DOUBLE ELSE 0 END AS g, cast(age_at_death AS double) AS a, CASE WHEN sex = 'M' THEN 1.0::DOUBLE ELSE 0 END AS x FROM (SELECT scan_name, diagnosis_group, age_at_death, sex, cast(skeleton_length AS double) AS skeleton_length, cast(cell_area AS double) AS cell_area, cast(cell_solidity AS double) AS cell_solidity, cast(cell_circularity AS double) AS cell_circularity FROM s) UNPIVOT (y FOR feature IN (skeleton_length, cell_area, cell_solidity, cell_circularity)) WHERE age_at_death IS NOT NULL AND sex IS NOT NULL), "
+    "c AS (SELECT feature, y - avg(y) OVER w AS y, g - avg(g) OVER w AS g, a - avg(a) OVER w AS a, x - avg(x) OVER w AS x FROM l WINDOW w AS (PARTITION BY feature)), m AS (SELECT feature, sum(a * a) AS aa, sum(x * x) AS xx, sum(a * x) AS ax, sum(g * a) AS ga, sum(g * x) AS gx, sum(y * a) AS ya, sum(y * x) AS yx FROM c GROUP BY 1), "
+    "r AS (SELECT feature, g - (ga * xx - gx * ax) / (aa * xx - ax * ax) * a - (gx * aa - ga * ax) / (aa * xx - ax * ax) * x AS g, y - (ya * xx - yx * ax) / (aa * xx - ax * ax) * a - (yx * aa - ya * ax) / (aa * xx - ax * ax) * x AS y FROM c JOIN m USING (feature)), "
+    "b AS (SELECT feature, sum(g * y) / sum(g * g) AS coef, sqrt((sum(y * y) - sum(g * y) * sum(g * y) / sum(g * g)) / (count(*) - 4) / sum(g * g)) AS se, count(*) AS n FROM r GROUP BY 1) SELECT feature, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t_stat, round(coef - 1.96 * se, 6) AS ci_low, round(coef + 1.96 * se, 6) AS ci_high, n FROM b",
+)
+# At the maximum the fitted means of the logs are those of the rows; here that the parts' means and variances follow from alpha.
+query(
+    "t6_dirichlet_moments",
+    lambda t: st.dirichlet_groups(props(t), PARTS).select("diagnosis_group", "cluster", "n", (F.abs(F.col("mean") - F.col("alpha") / F.col("concentration")) < 1e-9).alias("mean_holds"), (F.abs(F.col("variance") - F.col("mean") * (1 - F.col("mean")) / (F.col("concentration") + 1)) < 1e-9).alias("variance_holds")),
+    "SELECT diagnosis_group, unnest(['hard_cluster_0', 'hard_cluster_1', 'hard_cluster_2', 'hard_cluster_3']) AS cluster, count(*) AS n, true AS mean_holds, true AS variance_holds FROM (SELECT DISTINCT scan_name FROM fx_cells WHERE cluster IS NOT NULL) JOIN fx_scans USING (scan_name) GROUP BY diagnosis_group",
+)
+query("t7_dirichlet_runs", lambda t: st.dirichlet_loo(props(t), PARTS, "AD", "100+", 10).groupBy("cluster").agg(F.count("*").alias("n_runs"), F.count_if(F.col("dropped") == "").alias("n_whole")), "SELECT unnest(['hard_cluster_0', 'hard_cluster_1', 'hard_cluster_2', 'hard_cluster_3']) AS cluster, count(DISTINCT scan_name) + 1 AS n_runs, cast(1 AS bigint) AS n_whole FROM fx_cells")
