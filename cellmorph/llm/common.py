@@ -1,41 +1,9 @@
 """Shared helpers: stored intermediate tables, text columns for Arrow tasks, a connected-components job."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rsplit("/", 1)[0]
-    base = tempfile.mkdtemp(prefix="cellmorph-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellmorph-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for t in tables:
-        jvm = t.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(t._stored_path)
-        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+from ..tables import discard, shared_dir, stored  # noqa: F401 - for the operators
 
 
 _kept: dict = {}

@@ -5,7 +5,8 @@ sizes), decodes stts, stss, stsc, stsz and stco/co64 and returns codec, duration
 every sample and keyframe without looking into a sample.
 
 Defined results: a null text is an empty payload, padded to one sample; a null or repeated doc_id is kept
-as its own row; an empty table gives no rows; a container that breaks the format raises ValueError.
+as its own row; an empty table gives no rows; a text of any length is stored whole (64-bit sizes beyond 4 GB); other
+columns are ignored, whatever their names; a container that breaks the format raises ValueError.
 """
 
 import hashlib
