@@ -9,11 +9,12 @@ becomes one JSON object with sorted keys and no spaces, so equal messages have e
 
 A row stays a row: conversations are not gathered, so one of any length is no large group.
 
-Defined results: a null role is `user`, a null text empty; a null conv_id or turn never links; of calls that
-repeat an identifier within a conversation the earliest turn's stands, of results likewise; calls without
-a result and results without a call are kept and marked; calls in a cycle or
-waiting for a later turn get level -1; results before their call are marked; invalid arguments
-are marked with the reason; an empty table gives no rows; other columns are ignored.
+Defined results: a null role is `user`, a null text empty; calls and results without conversation, turn or identifier are
+kept and marked `no link`; of calls that repeat an identifier within a conversation the earliest stands (by turn, then by
+place in its message), of results likewise, and the others are kept and marked `repeated`, both without a level; calls
+without a result and results without a call are kept and marked; calls in a cycle or waiting for a later turn get level -1;
+results before their call are marked; invalid arguments are marked with the reason; texts of any length stay whole; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,17 @@ def messages(table: DataFrame) -> DataFrame:
 
 
 def parse_calls(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, call_id, name, arguments, after) of assistants' tool_calls objects."""
+    """(conv_id, turn, call_id, name, arguments, after, place) of assistants' tool_calls objects; place is the order within one."""
     parsed = F.from_json("text", f"struct<tool_calls {_CALL}>")
-    calls = rows.where(F.col("role") == "assistant").where(F.col("text").startswith("{")).select("conv_id", "turn", F.explode(parsed["tool_calls"]).alias("c"))
-    return calls.where(F.col("c.id").isNotNull()).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
+    calls = rows.where(F.col("role") == "assistant").where(F.col("text").startswith("{")).select("conv_id", "turn", F.posexplode(parsed["tool_calls"]).alias("place", "c"))
+    return calls.where(F.col("c").isNotNull()).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), "place")
 
 
 def parse_results(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, call_id, content) of messages of role tool."""
     parsed = F.from_json("text", "struct<tool_call_id string, content string>")
-    return rows.where(F.col("role") == "tool").select("conv_id", "turn", parsed["tool_call_id"].alias("call_id"), F.coalesce(parsed["content"], F.lit("")).alias("content")).where(F.col("call_id").isNotNull())
+    found = rows.where(F.col("role") == "tool").select("conv_id", "turn", parsed["tool_call_id"].alias("call_id"), parsed["content"].alias("content"))
+    return found.where("call_id IS NOT NULL OR content IS NOT NULL").fillna("", ["content"])
 
 
 def turns_as_calls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +60,23 @@ def turns_as_calls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = rows.where(F.col("role") == "user")
     call_id = F.concat_ws(":", F.lit("turn"), F.col("turn").cast("string"))
     arguments = F.to_json(F.struct(F.length("text").cast("long").alias("chars"), (F.size(F.split("text", "\n", -1))).alias("lines"), F.col("text").alias("prompt")))
-    calls = asked.select("conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(before >= 0, F.array(F.concat(F.lit("turn:"), before.cast("string")))).otherwise(F.array().cast("array<string>")).alias("after"))
+    calls = asked.select("conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(before >= 0, F.array(F.concat(F.lit("turn:"), before.cast("string")))).otherwise(F.array().cast("array<string>")).alias("after"), F.lit(0).alias("place"))
     results = rows.where(F.col("role") == "assistant").select("conv_id", "turn", F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
-def _first(df: DataFrame) -> DataFrame:
-    """The row of the earliest turn for each conversation and identifier; aggregated before it is shuffled."""
-    rest = [c for c in df.columns if c not in ("conv_id", "call_id")]
-    return df.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(*rest)).alias("v")).select("conv_id", "call_id", "v.*")
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(firsts, others): of each conversation and identifier the earliest row, by turn and place in it, and the rest with a `status`.
+
+    Equal rows meet as counts before anything is shuffled; others are repeats, or have nothing to link by."""
+    rest = ["turn", *sorted((c for c in df.columns if c not in ("conv_id", "call_id", "turn")), key=lambda c: c != "place")]
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    has_link = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & F.col("turn").isNotNull()
+    first = rows.where(has_link).groupBy("conv_id", "call_id").agg(F.min(F.struct(*rest)).alias("_v"))
+    again = rows.where(has_link).join(first, ["conv_id", "call_id"]).withColumn("_n", F.col("_n") - F.struct(*rest).eqNullSafe(F.col("_v")).cast("int"))
+    others = again.where("_n > 0").drop("_v").withColumn("status", F.lit("repeated")).unionByName(rows.where(~has_link).withColumn("status", F.lit("no link")))
+    copies = others.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).drop("_n")
+    return first.select("conv_id", "call_id", "_v.*"), copies
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -161,7 +171,8 @@ def format_chat(table: DataFrame, calls: DataFrame, results: DataFrame, schemas:
     In the order (conv_id, level, turn, kind) every call precedes its result and follows what it waits for;
     messages have a null level.
     """
-    calls, results = stored(checked(_first(calls), schemas), "calls"), stored(_first(results), "results")
+    (calls, more_calls), (results, more_results) = _split(stored(calls, "found")), _split(stored(results, "found"))
+    calls, results = stored(checked(calls, schemas), "calls"), stored(results, "results")
     calls = calls.join(levels(calls), ["conv_id", "call_id"])
     left = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after", "problem", "level")
     right = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
@@ -170,6 +181,7 @@ def format_chat(table: DataFrame, calls: DataFrame, results: DataFrame, schemas:
     arguments = F.coalesce(F.try_parse_json("arguments").cast("string"), quoted(F.col("arguments")))
     call_text = canonical(("arguments", arguments), ("id", quoted(F.col("call_id"))), ("name", quoted(F.col("name"))), ("type", F.lit('"call"')))
     result_text = canonical(("content", quoted(F.col("content"))), ("id", quoted(F.col("call_id"))), ("type", F.lit('"result"')))
+    others = [d.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit(kind).alias("kind"), "call_id", "status", text.alias("message")) for d, kind, text in ((more_calls, "call", call_text), (more_results, "result", result_text))]
     has_call, has_result = F.col("turn").isNotNull(), F.col("result_turn").isNotNull()
     status = F.coalesce("problem", F.when(~has_call, F.lit("no call")), F.when(~has_result, F.lit("no result")), F.when(F.col("result_turn") < F.col("turn"), F.lit("early result")), F.lit("ok"))
     pair = F.filter(
@@ -183,7 +195,7 @@ def format_chat(table: DataFrame, calls: DataFrame, results: DataFrame, schemas:
     tools = rows.select("conv_id", "level", F.col("p.turn").alias("turn"), F.col("p.kind").alias("kind"), "call_id", "status", F.col("p.message").alias("message"))
     plain = messages(table)
     text = canonical(("content", quoted(F.col("text"))), ("role", quoted(F.col("role"))), ("type", F.lit('"message"')))
-    return plain.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), text.alias("message")).union(tools)
+    return plain.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), text.alias("message")).union(tools).union(others[0]).union(others[1])
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
