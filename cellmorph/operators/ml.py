@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir
+from ..tables import shared_dir, stored
 from .joins import pairwise_distance
 from .kmeans import fit, labelled
 from .sampling import draw
@@ -136,7 +136,10 @@ def soft_metrics(df: DataFrame, membership: str = "membership", threshold: float
 
 
 def continuity(high: DataFrame, low: DataFrame, key: str, vector: str, k: int = 10, limit: int = 500) -> DataFrame:
-    """One row (value, n): how far neighbours in `high` stay near in `low`; 1 is best. Over a sample by a hash of key."""
+    """One row (value, n): how far neighbours in `high` stay near in `low`; 1 is best. Over a sample, by a hash of key, of the keys that have both vectors."""
+    has = lambda df: df.where(F.col(vector).isNotNull())
+    keys = has(high).select(key).join(has(low).select(key), key, "left_semi")
+    high, low = high.join(keys, key, "left_semi"), low.join(keys, key, "left_semi")
 
     def ranks(df, name):
         w = Window.partitionBy("a").orderBy("distance", "b")
@@ -144,7 +147,7 @@ def continuity(high: DataFrame, low: DataFrame, key: str, vector: str, k: int =
 
     near = ranks(high, "h").where(F.col("h") <= k)
     late = near.join(ranks(low, "l"), ["a", "b"])
-    n = high.where(F.col(vector).isNotNull()).limit(limit).agg(F.count("*").alias("n"))
+    n = keys.limit(limit).agg(F.count("*").alias("n"))
     penalty = late.agg(F.coalesce(F.sum(F.greatest(F.col("l") - k, F.lit(0))), F.lit(0)).alias("penalty"))
     return penalty.crossJoin(n).select((1 - F.col("penalty") / (k * F.col("n") * (2 * F.col("n") - 3 * k - 1) / 2.0)).alias("value"), "n")
 
@@ -199,13 +202,33 @@ def diverse_select(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(first[key], 1, float(first["d"]))], rest.schema).union(rest)
 
 
-def active_select(pool: DataFrame, known: DataFrame, key: str, vector: str, n: int, blocks: int = 64) -> DataFrame:
+#: Known vectors that meet the pool in one pass, and passes between stored tables.
+KNOWN_BLOCK, STORE_EVERY = 4096, 16
+
+
+def active_select(pool: DataFrame, known: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     """n rows of the pool, each the farthest from the known rows and from those chosen before.
 
-    Known rows are labelled examples, gathered into `blocks` arrays that meet every row of the pool once."""
+    Known rows come in blocks of some thousand vectors, however many there are; a block passes over the pool as one matrix."""
     _checkpointing(pool)
-    rows = pool.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-    old = known.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.col(vector).cast("array<double>").alias("w"))
-    arrays = old.groupBy("_b").agg(F.collect_list("w").alias("ws"))
-    near = rows.crossJoin(arrays).select(key, "v", F.array_min(F.transform("ws", lambda w: F.sqrt(_square(F.col("v"), w)))).alias("d"))
-    return _farthest(near.groupBy(key).agg(F.first("v").alias("v"), F.min("d").alias("d")).checkpoint(), key, n)
+    kind = dict(pool.dtypes)[key]
+    near = pool.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("d"))
+    old = known.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("w"))
+    blocks = old.count() // KNOWN_BLOCK + 1
+    old = stored(old.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks))).distinct(), "known") if blocks > 1 else old.withColumn("block", F.lit(0))
+    for b in range(blocks):
+        w = np.array([r["w"] for r in old.where(F.col("block") == b).select("w").collect()])
+        if not len(w):
+            continue
+
+        def closer(batches, w=w):
+            for batch in batches:
+                v, d = batch.column("v"), batch.column("d").to_numpy()
+                x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+                least = [np.sqrt(((x[i : i + 64, None] - w) ** 2).sum(2).min(1)) for i in range(0, len(x), 64)]
+                yield pa.RecordBatch.from_arrays([batch.column(key), v, pa.array(np.minimum(d, np.concatenate(least)) if least else d)], [key, "v", "d"])
+
+        near = near.mapInArrow(closer, f"`{key}` {kind}, v array<double>, d double")
+        if b % STORE_EVERY == STORE_EVERY - 1:
+            near = stored(near, "near")
+    return _farthest(near.where("d < double('infinity')").checkpoint(), key, n)

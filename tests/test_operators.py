@@ -147,6 +147,28 @@ def test_farthest_points(spark):
     assert ml.active_select(df.where("k < 3"), df.where("k = 3"), "k", "v", 2).orderBy("rank").first()["k"] == 0
 
 
+def test_known_rows_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v, w = rng.normal(size=(80, 3)), rng.normal(size=(50, 3))
+    pool, known = (spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(m)], "k long, v array<double>") for m in (v, w))
+    d, want = np.sqrt(((v[:, None] - w) ** 2).sum(2)).min(1), []
+    for _ in range(4):
+        want.append(int(d.argmax()))
+        d = np.minimum(d, np.sqrt(((v - v[want[-1]]) ** 2).sum(1)))
+    for block, every in ((4096, 16), (7, 2)):
+        monkeypatch.setattr(ml, "KNOWN_BLOCK", block)
+        monkeypatch.setattr(ml, "STORE_EVERY", every)
+        assert [r["k"] for r in ml.active_select(pool, known, "k", "v", 4).orderBy("rank").collect()] == want
+
+
+def test_continuity_counts_keys_with_both(spark):
+    rows = [(i, [float(i), float(i * i % 7)]) for i in range(30)]
+    high = spark.createDataFrame(rows, "k long, v array<double>")
+    low = spark.createDataFrame([(i, None if i % 3 == 0 else v) for i, v in rows], "k long, v array<double>")
+    r = ml.continuity(high, low, "k", "v", 3, 100).first()
+    assert r["n"] == 20 and r["value"] == pytest.approx(1.0)
+
+
 def test_morphology_of_empty_and_plus(spark):
     plus = [("p", 2, x) for x in range(5)] + [("p", y, 2) for y in range(5) if y != 2]
     schema = "cell string, y long, x long"
