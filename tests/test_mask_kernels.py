@@ -107,14 +107,19 @@ def test_borders_thinning_holes_hulls():
             holes += max(flood([(y, x) for y in range(y0, y1 + 1) for x in range(x0, x1 + 1) if (y, x) not in own], 4).values()) - 1
         assert masks.betti(m) == (max(parts.values()), holes)
         area, length = masks.hull(m)
-        pts = np.array(m, float)
-        edges = [(a, b) for a in pts for b in pts if (a != b).any() and all((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) >= 0 for c in pts)]
-        longest = {}
-        for a, b in edges:
-            k = tuple((b - a) / np.hypot(*(b - a)).round(12))
-            longest[tuple(np.round(k, 9))] = max(longest.get(tuple(np.round(k, 9)), 0), np.hypot(*(b - a)))
-        assert length == pytest.approx(sum(longest.values()))
-        assert area == pytest.approx(abs(sum(0.5 * (a[0] * b[1] - a[1] * b[0]) for a, b in edges if np.hypot(*(b - a)) == pytest.approx(longest[tuple(np.round((b - a) / np.hypot(*(b - a)), 9))]))))
+        pts, edges = np.array(m, float), []
+        for p in pts:  # edges from p: all points on one side, and none beyond the end
+            step = pts - p
+            cross = step[:, 0][:, None] * step[:, 1] - step[:, 1][:, None] * step[:, 0]
+            size = np.hypot(*step.T)
+            ends = np.flatnonzero((size > 0) & (cross >= 0).all(1))
+            for q in ends:
+                line = cross[q] == 0
+                along = step[line] @ step[q]
+                if along.max() <= step[q] @ step[q] and along.min() >= 0:
+                    edges.append((p, pts[q]))
+        assert length == pytest.approx(sum(np.hypot(*(q - p)) for p, q in edges))
+        assert area == pytest.approx(abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in edges)) / 2)
         size = max(max(p) for p in m) + 2
         off = flood([(y, x) for y in range(size) for x in range(size) if (y, x) not in set(m)], 4)
         want = [(y, x) for y in range(size) for x in range(size) if (0, 0) in set(m) or off.get((y, x)) != off[0, 0]]
