@@ -87,20 +87,27 @@ def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate(([0], breaks + 1))] if len(at) else at, at[np.concatenate((breaks, [len(at) - 1]))] + 1 if len(at) else at
 
 
-def labels(frame: Frame, at: np.ndarray, conn: int = 8) -> np.ndarray:
-    """The component of each place, numbered from 0 in the order of their first pixels: union-find over runs of rows."""
+def run_roots(frame: Frame, at: np.ndarray, conn: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, root) of a mask's runs: each run's component is named by its first run. Union-find over runs of adjacent rows."""
     start, end = runs(at)
     reach = frame.width + (conn == 8)
     low = np.searchsorted(end, start + 2 * frame.width - reach, "right")  # runs of the next row that end past this one's start
     n = np.maximum(np.searchsorted(start, end + reach, "left") - low, 0)  # and start before its end
     first = np.repeat(np.arange(len(start)), n)
-    second = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    _, number = np.unique(roots(len(start), first, second), return_inverse=True)
-    return np.repeat(number, end - start)
+    second = np.arange(len(first)) + np.repeat(low - (np.cumsum(n) - n), n)
+    return start, end, roots(len(start), first, second)
+
+
+def labels(frame: Frame, at: np.ndarray, conn: int = 8) -> np.ndarray:
+    """The component of each place, numbered from 0 in the order of their first pixels."""
+    start, end, root = run_roots(frame, at, conn)
+    number = np.cumsum(root == np.arange(len(root))) - 1
+    return np.repeat(number[root], end - start)
 
 
 def component_count(frame: Frame, at: np.ndarray, conn: int = 8) -> int:
-    return int(labels(frame, at, conn).max(initial=-1)) + 1
+    root = run_roots(frame, at, conn)[2]
+    return int((root == np.arange(len(root))).sum())
 
 
 def junction_clusters(frame: Frame, at: np.ndarray) -> int:
@@ -115,8 +122,8 @@ def border_length(frame: Frame, at: np.ndarray) -> float:
     code = np.zeros(frame.height * frame.width, np.uint8)
     code[at] = frame.codes(frame.image(at), at)
     code, ring, straight, slanted = code.tobytes(), frame.ring, 0, 0
-    _, first = np.unique(labels(frame, at), return_index=True)
-    for start in at[first].tolist():
+    begin, _, root = run_roots(frame, at)
+    for start in begin[root == np.arange(len(root))].tolist():
         place, d = start, _NEXT[code[start] << 3]
         if d == 8:
             continue  # a single pixel
