@@ -129,13 +129,8 @@ def _thinned(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Gene
     return points[picked]
 
 
-def fit(rows: DataFrame, ks: Sequence[int], n_init: int = 50, seed: int = 0, rounds: int = 100, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
-    """{k: (centres, cost)} of the start with the least cost; rows have `features`. Without rows, no centres and cost 0."""
-    vector = vector_to_array("features")
-    data = stored(rows.select(vector.alias("v"), F.xxhash64(vector).alias("h")), "vectors")
-    if data.isEmpty():
-        return {k: (np.zeros((0, 0)), 0.0) for k in ks}
-    centres = _seeds(data, ks, n_init, seed)
+def _moved(data: DataFrame, centres: list[np.ndarray], rounds: int, limit: float) -> np.ndarray:
+    """Moves each set of centres to its members' means until none shifts by more than `limit` (squared); their costs."""
     width = centres[0].shape[1]
     live, cost = list(range(len(centres))), np.full(len(centres), np.inf)
     for turn in range(rounds + 1):
@@ -159,15 +154,32 @@ def fit(rows: DataFrame, ks: Sequence[int], n_init: int = 50, seed: int = 0, rou
         for i, a, b in zip(live, at[:-1], at[1:], strict=True):
             new = np.array([found[c][:-2] / found[c][-2] if c in found else used[c] for c in range(a, b)])
             cost[i] = sum(found[c][-1] for c in range(a, b) if c in found)
-            if turn < rounds and ((new - centres[i]) ** 2).sum(1).max() > tol * tol:
+            if turn < rounds and ((new - centres[i]) ** 2).sum(1).max() > limit:
                 centres[i] = new
                 still.append(i)
         live = still
         if not live:
             break
+    return cost
+
+
+def fit(rows: DataFrame, ks: Sequence[int], n_init: int = 50, seed: int = 0, rounds: int = 100, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """{k: (centres, cost)} of the start with the least cost; rows have `features`. Without rows, no centres and cost 0.
+
+    All starts move until their centres shift by less than a thousandth of the rows' spread (squared); the best of each k then
+    goes on until it shifts by less than `tol`."""
+    vector = vector_to_array("features")
+    data = stored(rows.select(vector.alias("v"), F.xxhash64(vector).alias("h")), "vectors")
+    if data.isEmpty():
+        return {k: (np.zeros((0, 0)), 0.0) for k in ks}
+    centres = _seeds(data, ks, n_init, seed)
+    each = data.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.var_pop("x").alias("s")).agg(F.sum("s")).first()[0]
+    cost = _moved(data, centres, rounds, max(1e-3 * each, tol * tol))
+    best = [min(range(j * n_init, (j + 1) * n_init), key=lambda i: cost[i]) for j in range(len(ks))]
+    chosen = [centres[i] for i in best]
+    final = _moved(data, chosen, rounds, tol * tol)
     discard(data)
-    best = {k: min(range(j * n_init, (j + 1) * n_init), key=lambda i: cost[i]) for j, k in enumerate(ks)}
-    return {k: (centres[i], float(cost[i])) for k, i in best.items()}
+    return {k: (c, float(x)) for k, c, x in zip(ks, chosen, final, strict=True)}
 
 
 def labelled(rows: DataFrame, centres: np.ndarray, out: str = "cluster") -> DataFrame:
