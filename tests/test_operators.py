@@ -191,3 +191,23 @@ def test_grow_and_fill(spark):
 def test_otsu_keeps_the_dark(spark):
     gray = spark.createDataFrame([("a", y, x, 10 if 1 <= y <= 4 and 1 <= x <= 4 else 200) for y in range(8) for x in range(8)], "k string, y long, x long, gray int")
     assert pixels.otsu_mask(gray, gray.select("k", "y", "x")).count() == 16
+
+
+def test_splits_move_few_rows(spark):
+    """Only rows of hash prefixes in which a split ends are ranked; copies of a row are counted one by one."""
+    from cellmorph.operators import sampling as smp
+
+    df = spark.range(3000).select(F.col("id").alias("k")).union(spark.range(1).select(F.lit(7).cast("long").alias("k")).crossJoin(spark.range(1000)).select("k"))
+    for ends in ([0], [1], [1999, 2000], [4000], [700, 700, 3500]):
+        found = {r["reached"]: r["n"] for r in smp.reached(df, ["k"], 0, [F.lit(e) for e in ends]).groupBy("reached").agg(F.count("*").alias("n")).collect()}
+        assert [found.get(i, 0) for i in range(len(ends) + 1)] == [b - a for a, b in zip([0, *ends], [*ends, 4000], strict=True)]
+    plan = smp.reached(df, ["k"], 0, [F.lit(5)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") == 1
+
+
+def test_learning_curve_ranks_a_row_once_a_seed(spark):
+    from cellmorph.operators import sampling as smp
+
+    plan = smp.learning_curve_plan(spark.range(100).select(F.col("id").alias("k")), ["k"])
+    made = {(r["portion"], r["split_seed"]): r["n"] for r in plan.groupBy("portion", "split_seed").agg(F.count_distinct("k").alias("n")).collect()}
+    assert made == {(p / 10, s): 10 * p for p in range(1, 11) for s in range(1 if p == 10 else 5)}
