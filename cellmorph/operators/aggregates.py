@@ -177,8 +177,10 @@ def morphology_score(pred: DataFrame, target: DataFrame, weights: DataFrame, fea
     """(key, feature, error, performance, weight, contribution, score): symmetric relative errors, weighted.
 
     Features without a weight weigh 0; a cell whose weights sum to 0 scores 0. Weights are a row per feature."""
-    long = lambda df, name: df.select(*key, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias(name)) for f in features))).alias("v")).select(*key, "v.*")
-    rows = long(pred, "p").join(long(target, "t"), [*key, "feature"]).join(F.broadcast(weights), "feature", "left")
+    wide = lambda df, name: df.select(*key, *(F.col(f).cast("double").alias(f"_{name}{k}") for k, f in enumerate(features)))
+    each = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_p{k}").alias("p"), F.col(f"_t{k}").alias("t")) for k, f in enumerate(features))))
+    # Cells meet whole, in one row each; their features part after that, where they are.
+    rows = wide(pred, "p").join(wide(target, "t"), list(key)).select(*key, each).join(F.broadcast(weights), "feature", "left")
     p, t = F.col("p"), F.col("t")
     error = F.abs(p - t) / (F.abs(p) + F.abs(t) + eps)
     rows = rows.select(*key, "feature", error.alias("error"), (1 - error).alias("performance"), F.coalesce("weight", F.lit(0.0)).alias("weight")).withColumn("contribution", F.col("weight") * F.col("performance"))
