@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_ann_name, parse_flat_name
+from ..tables import discard, stored
 
 SCHEMA = """
 images array<struct<id long, file_name string, width int, height int, original_scan string, original_class string,
@@ -32,12 +33,12 @@ def to_coco(index: DataFrame, masks: DataFrame, exclude: Sequence[str] = ()) ->
     kept = index.where(~F.col("class").isin(*exclude)).withColumn("name", parse_ann_name("file")).where("name is not null")
     rows = kept.join(masks, ["scan", "class", "file"])
     sizes = rows.groupBy("scan", "class").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(F.lit(0)).orderBy("scan", "class")  # a row per scan and class
+    whole = Window.partitionBy(F.lit(0)).orderBy("scan", "class")  # a row per scan and class, broadcast
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = sizes.groupBy("class").agg(F.min(F.struct("scan", "class")).alias("f"))
     first = first.withColumn("category_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("f"))).drop("f")
     inner = Window.partitionBy("scan", "class").orderBy("file")
-    n = rows.join(sizes, ["scan", "class"]).join(first, "class").withColumn("id", F.col("before") + F.row_number().over(inner))
+    n = rows.join(F.broadcast(sizes), ["scan", "class"]).join(F.broadcast(first), "class").withColumn("id", F.col("before") + F.row_number().over(inner))
     coords = F.struct(F.col("name.x").alias("x"), F.col("name.y").alias("y"), F.col("name.w").alias("width"), F.col("name.h").alias("height"))
     image = F.struct("id", F.concat_ws("_", "scan", "class", "file").alias("file_name"), "width", "height", F.col("scan").alias("original_scan"), F.col("class").alias("original_class"), coords.alias("original_coords"), F.col("name.ds").alias("downsample"))
     runs = F.struct("counts", F.array("height", "width").alias("size"))
@@ -47,9 +48,11 @@ def to_coco(index: DataFrame, masks: DataFrame, exclude: Sequence[str] = ()) ->
 
 
 def write_coco(rows: DataFrame, path: str) -> None:
-    """The three tables as JSON lines in folders of their own: no document is gathered on one machine."""
+    """The three tables as JSON lines in folders of their own: no document is gathered on one machine. The rows are made once, and stored until all are written."""
+    rows = stored(rows, "coco")
     for name, part in (("images", rows.select("image.*")), ("annotations", rows.select("annotation.*")), ("categories", rows.select("category.*").distinct())):
         part.write.mode("overwrite").json(f"{path}/{name}")
+    discard(rows)
 
 
 def coco_to_index(images: DataFrame, annotations: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
