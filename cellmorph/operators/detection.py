@@ -4,13 +4,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import stored
+from ..tables import stored, whole_groups
 
 #: Ranges of confidence that are counted first, so that no task holds a whole precision-recall curve.
 RANGES = 1000
+#: Pairs of boxes that are looked at together.
+PAIRS = 1 << 19
 #: The overlaps that a mean average precision is the mean over.
 OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -29,36 +32,88 @@ def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: floa
     return both.withColumn("iou", F.when(union > 0, inter / union).otherwise(0.0)).where(F.col("iou") > least).select(*image, "pred_id", "true_id", "conf", "iou")
 
 
+def _ids(column: pa.ChunkedArray, own: np.ndarray) -> np.ndarray:
+    """A column of which only the rows `own` count."""
+    if pa.types.is_integer(column.type) and column.null_count == len(own) - own.sum():
+        return pc.fill_null(column, 0).to_numpy()
+    return np.array([*column.to_pylist(), None], object)[:-1]
+
+
+def _numbered(ids: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct ones in order, null first."""
+    if ids.dtype != object:
+        return np.unique(ids, return_inverse=True)[1]
+    place = {v: i for i, v in enumerate(sorted(set(ids), key=lambda v: (False,) if v is None else (True, v)))}
+    return np.array([place[v] for v in ids], np.int64)
+
+
+def _overlaps(p: np.ndarray, t: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, iou) of boxes p and t (xmin, ymin, xmax, ymax; a row each) that overlap by `least` or more.
+
+    Such boxes share at least that part of the wider one's width, so that a box meets only those that begin near it."""
+    order = np.argsort(t[:, 0], kind="stable")
+    t, wide = t[order], p[:, 2] - p[:, 0]
+    if least > 0:
+        slack = 1e-9 * (1 + np.abs(p[:, 0]) + np.abs(wide))
+        low = np.searchsorted(t[:, 0], p[:, 0] - wide * (1 - least) / least - slack, "left")
+        n = np.maximum(np.searchsorted(t[:, 0], p[:, 0] + wide * (1 - least) + slack, "right") - low, 0)
+    else:
+        low, n = np.zeros(len(p), np.int64), np.full(len(p), len(t))
+    size_p, size_t = wide * (p[:, 3] - p[:, 1]), (t[:, 2] - t[:, 0]) * (t[:, 3] - t[:, 1])
+    found, ends, a = [], np.cumsum(n), 0
+    while a < len(p):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(a, b), n[a:b])
+        j = np.arange(len(i)) + np.repeat(low[a:b] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b])
+        side = lambda lo, hi, i=i, j=j: np.maximum(np.minimum(p[i, hi], t[j, hi]) - np.maximum(p[i, lo], t[j, lo]), 0)
+        inter = side(0, 2) * side(1, 3)
+        union = size_p[i] + size_t[j] - inter
+        iou = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+        keep = iou > least - 1e-12
+        found.append((i[keep], order[j[keep]], iou[keep]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def match_boxes(pred: DataFrame, truth: DataFrame, image: Sequence[str], thresholds: Sequence[float] = OVERLAPS) -> DataFrame:
     """(image, pred_id, conf, threshold, tp): boxes by falling confidence take the free true box of best overlap.
 
-    An image's overlaps (bounded by its boxes) are one sorted array, walked once: a bit for each threshold tells which of them
-    a box still is free at. The walk's result is stored, a row per box, as every curve reads it several times."""
+    Boxes of both kinds are dealt and sorted by image, each row shuffled once; a task walks an image's overlaps once: a bit for
+    each threshold tells which of them a box still is free at. The result is stored, a row per box, as every curve reads it
+    several times."""
     limits = np.sort(np.array(thresholds, float))
-    ious = box_iou(pred, truth, image, limits[0] - 1e-12)
-    pair = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("p"), (-F.col("iou")).alias("i"), F.col("true_id").alias("t"))
-    sorted_ = ious.groupBy(*image).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    kinds = dict(ious.dtypes)
+    kinds, box = dict(pred.dtypes), ["xmin", "ymin", "xmax", "ymax"]
+    corners = [F.col(c).cast("double").alias(c) for c in box]
+    given = pred.select(*image, "pred_id", F.lit(None).cast(dict(truth.dtypes)["true_id"]).alias("true_id"), "conf", *corners, F.lit(False).alias("_true"))
+    real = truth.dropna(subset=list(image)).select(*image, F.lit(None).cast(kinds["pred_id"]).alias("pred_id"), "true_id", F.lit(None).cast(kinds["conf"]).alias("conf"), *corners, F.lit(True).alias("_true"))
+
+    def hits(p: np.ndarray, t: np.ndarray, conf: np.ndarray, pid: np.ndarray, tid: np.ndarray) -> np.ndarray:
+        i, j, iou = _overlaps(p, t, limits[0])
+        order = np.lexsort((tid[j], -iou, pid[i], -conf[i]))
+        reached = (1 << np.searchsorted(limits, iou[order], "right")) - 1
+        taken_p, taken_t = [0] * (int(pid.max()) + 1), [0] * (int(tid.max()) + 1)
+        for x, y, may in zip(pid[i[order]].tolist(), tid[j[order]].tolist(), reached.tolist(), strict=True):
+            free = may & ~taken_p[x] & ~taken_t[y]
+            taken_p[x] |= free
+            taken_t[y] |= free
+        return np.array(taken_p, np.int64)[pid]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, ids, masks = [], [], []
-            for k, pairs in enumerate(batch.column("pairs")):
-                p, t = pairs.values.field("p").to_pylist(), pairs.values.field("t").to_pylist()
-                reached = (1 << np.searchsorted(limits, -pairs.values.field("i").to_numpy(), "right")) - 1
-                taken_p, taken_t = dict.fromkeys(p, 0), dict.fromkeys(t, 0)
-                for x, y, may in zip(p, t, reached.tolist(), strict=True):
-                    free = may & ~taken_p[x] & ~taken_t[y]
-                    taken_p[x] |= free
-                    taken_t[y] |= free
-                row += [k] * len(taken_p)
-                ids += taken_p
-                masks += taken_p.values()
-            own = batch.select(list(image)).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids, batch.column("pairs").type.value_type.field("p").type), pa.array(masks, pa.int64())], [*image, "pred_id", "_hits"])
-
-    hits = sorted_.mapInArrow(walk, ", ".join([*(f"`{c}` {kinds[c]}" for c in image), f"pred_id {kinds['pred_id']}", "_hits long"]))
-    found = stored(pred.select(*image, "pred_id", "conf").join(hits, [*image, "pred_id"], "left").fillna(0, ["_hits"]), "matches")
+        for table, starts in whole_groups(batches, image):
+            real = table["_true"].to_numpy()
+            corners = np.stack([table[c].to_numpy() for c in box], 1)
+            conf = pc.fill_null(table["conf"].cast(pa.float64()), np.inf).to_numpy()  # null ones come first
+            pid, tid, found = _ids(table["pred_id"], ~real), _ids(table["true_id"], real), np.zeros(table.num_rows, np.int64)
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                own, other = np.flatnonzero(~real[a:b]) + a, np.flatnonzero(real[a:b]) + a
+                if len(own) and len(other):
+                    found[own] = hits(corners[own], corners[other], conf[own], _numbered(pid[own]), _numbered(tid[other]))
+            unnamed = pc.is_null(table["pred_id"]).to_numpy()
+            made = table.select([*image, "pred_id", "conf"]).append_column("_hits", pa.array(np.where(unnamed, 0, found)))
+            yield from made.filter(pa.array(~real)).to_batches()
+
+    dealt = given.unionByName(real).repartition(*image).sortWithinPartitions(*image)
+    found = stored(dealt.mapInArrow(walk, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*image, "pred_id", "conf"]), "_hits long"])), "matches")
     each = F.inline(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.shiftright("_hits", k).bitwiseAND(1).cast("int").alias("tp")) for k, t in enumerate(limits))))
     return found.select(*image, "pred_id", "conf", each)
 
