@@ -1,8 +1,9 @@
 """Aggregations."""
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import require
@@ -13,11 +14,30 @@ def scans_per_group(df: DataFrame, group: str = "diagnosis_group") -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct("scan_name").alias("n_scans"))
 
 
+def even_means(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """Aggregates {column: mean} that give the same for the same rows in any order and in any number of copies.
+
+    Sums of doubles depend on the order in which Spark adds them, so that equal means differ in their last bit and rank apart.
+    Here values are whole numbers of 2^-61 of the column's largest, whose sums are exact; a pass over df finds the largest."""
+    doubles = [c for c, t in df.dtypes if c in cols and t in ("double", "float")]
+    finite = {c: F.when(F.abs(c) < float("inf"), F.col(c).cast("double")) for c in doubles}
+    most = df.agg(*(F.max(F.abs(v)).alias(c) for c, v in finite.items())).first() if doubles else {}
+
+    def mean(c: str) -> Column:
+        scale = 2.0 ** min(1023, 61 - math.frexp(most[c] or 1.0)[1])
+        units = F.sum(F.rint(finite[c] * scale).cast("bigint").cast("decimal(20,0)"))
+        even = F.call_function("div", units, F.nullif(F.count(finite[c]), F.lit(0)).cast("decimal(20,0)")).cast("double") / scale
+        return F.when(F.count(c) > F.count(finite[c]), F.avg(c)).otherwise(even)
+
+    return {c: mean(c) if c in doubles else F.avg(c) for c in cols}
+
+
 def scan_level(df: DataFrame, features: Sequence[str], covariates: Sequence[str] = (), order: str = "cell_id") -> DataFrame:
     """One row per scan: feature means, and of each covariate the first non-null value in the declared order."""
     require(df, "scan_name", *features, *covariates)
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in covariates]
-    return df.where("scan_name is not null").groupBy("scan_name").agg(*(F.avg(f).alias(f) for f in features), *first)
+    named = df.where("scan_name is not null")
+    return named.groupBy("scan_name").agg(*(m.alias(f) for f, m in even_means(named, features).items()), *first)
 
 
 def inconsistent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
