@@ -202,33 +202,45 @@ def diverse_select(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(first[key], 1, float(first["d"]))], rest.schema).union(rest)
 
 
-#: Known vectors that meet the pool in one pass, and passes between stored tables.
-KNOWN_BLOCK, STORE_EVERY = 4096, 16
+#: Known vectors of a block, blocks that meet the pool in one pass, and rows of both whose differences are held at once.
+KNOWN_BLOCK, STORE_EVERY, ROWS, KNOWN_ROWS = 4096, 16, 64, 128
+
+
+def _least_distances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each row's distance from the nearest row of w; a few megabytes at once, whatever the number of rows."""
+    out = np.full(len(x), np.inf)
+    for i in range(0, len(x), ROWS):
+        for j in range(0, len(w), KNOWN_ROWS):
+            gap = x[i : i + ROWS, None] - w[j : j + KNOWN_ROWS]
+            gap *= gap
+            np.minimum(out[i : i + ROWS], gap.sum(2).min(1), out=out[i : i + ROWS])
+    return np.sqrt(out)
 
 
 def active_select(pool: DataFrame, known: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     """n rows of the pool, each the farthest from the known rows and from those chosen before.
 
-    Known rows come in blocks of some thousand vectors, however many there are; a block passes over the pool as one matrix."""
+    Known rows come in blocks of some thousand vectors, however many there are; one Python task walks the blocks of a pass, and
+    the pool is stored between passes, so that no chain of Python tasks runs at once."""
     _checkpointing(pool)
     kind = dict(pool.dtypes)[key]
     near = pool.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("d"))
     old = known.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("w"))
     blocks = old.count() // KNOWN_BLOCK + 1
     old = stored(old.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks))).distinct(), "known") if blocks > 1 else old.withColumn("block", F.lit(0))
-    for b in range(blocks):
-        w = np.array([r["w"] for r in old.where(F.col("block") == b).select("w").collect()])
-        if not len(w):
+    for b in range(0, blocks, STORE_EVERY):
+        found = old.where(F.col("block").between(b, b + STORE_EVERY - 1)).select("w").toArrow().column("w").combine_chunks()
+        if not len(found):
             continue
+        w = found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1)
 
         def closer(batches, w=w):
             for batch in batches:
                 v, d = batch.column("v"), batch.column("d").to_numpy()
-                x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-                least = [np.sqrt(((x[i : i + 64, None] - w) ** 2).sum(2).min(1)) for i in range(0, len(x), 64)]
-                yield pa.RecordBatch.from_arrays([batch.column(key), v, pa.array(np.minimum(d, np.concatenate(least)) if least else d)], [key, "v", "d"])
+                least = _least_distances(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), w) if len(v) else d
+                yield pa.RecordBatch.from_arrays([batch.column(key), v, pa.array(np.minimum(d, least))], [key, "v", "d"])
 
         near = near.mapInArrow(closer, f"`{key}` {kind}, v array<double>, d double")
-        if b % STORE_EVERY == STORE_EVERY - 1:
+        if b + STORE_EVERY < blocks:
             near = stored(near, "near")
     return _farthest(near.where("d < double('infinity')").checkpoint(), key, n)
