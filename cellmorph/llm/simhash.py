@@ -31,9 +31,9 @@ SMALL_BUCKET = 64
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys (24 bytes a row) that are sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
-#: near_groups: shingles that repeat in a sample of about so many documents are indexed last, so many at most. Any order
-#: of shingles finds the same pairs; this one keeps buckets small.
-SAMPLE_DOCS, FREQUENT = 4000, 100_000
+#: near_groups: so many shingles at most, those of most texts, are indexed last. Any order of shingles finds the same pairs;
+#: this one keeps buckets small, and the rest of a text after a common shingle too short for most pairs.
+FREQUENT = 1_000_000
 #: Classes that a task remembers, so that copies that follow each other are indexed once; a full store is emptied.
 SEEN = 1_000_000
 
@@ -175,17 +175,45 @@ def _profile(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(uids, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "copy", "uid", "fp"])
 
 
-def _all_shingles(batches):
-    for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words(text)).view(np.int64))], ["key"])
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of shingles' hashes, under which they are counted."""
+    return hashes.astype(np.uint32).view(np.int32)
 
 
-def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles that repeat in a sample, and their counts."""
-    part = identified(docs).where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(max(1, rows // SAMPLE_DOCS))) == 0).select("text")
-    counts = part.mapInArrow(_all_shingles, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count")).limit(FREQUENT).toArrow()
-    keys, n = counts.column("key").to_numpy().view(np.uint64), counts.column("count").to_numpy()
+def _counted(batches):
+    """The shingles of each text; of texts that a task has met, once."""
+    seen: set[int] = set()
+    for batch in slices(batches):
+        found = [np.zeros(0, np.int32)]
+        for text in batch.column("text").to_pylist():
+            tokens = words(text)
+            if _is_new(_uid(tokens), seen):
+                found.append(_short(_hashes(tokens)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["key"])
+
+
+def _is_new(uid: int, seen: set[int]) -> bool:
+    if uid in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(uid)
+    return True
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys (`_short`) of shingles that more than two texts hold, of all texts, and their counts: those with the
+    largest counts, FREQUENT at most."""
+    counts = identified(docs).select("text").mapInArrow(_counted, "key int").groupBy("key").agg(F.count("*").cast("int").alias("n"))
+    counts = stored(counts.where("n > 2"), "frequent")
+    least, total = 2**31 - 1, 0
+    for n, keys in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if (total := total + keys) > FREQUENT:
+            break
+        least = n
+    found = counts.where(F.col("n") >= least).toArrow()
+    discard(counts)
+    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
@@ -206,15 +234,13 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
             found, uids, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = words(text)
-                if (uid := _uid(tokens)) in seen:
+                if not _is_new(uid := _uid(tokens), seen):
                     continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(uid)
                 own = _hashes(tokens)
                 if len(own) and len(keys):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+                    short = _short(own)
+                    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+                    own = own[np.argsort(np.where(keys[at] == short, counts[at], 0), kind="stable")]
                 found.append(own[: len(own) - least_common(len(own)) + 1 if len(own) else 0].view(np.int64).copy())
                 uids.append(uid)
                 sizes.append(len(own))
@@ -284,18 +310,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     profiles = stored(identified(docs).select("doc_id", "copy", "text").mapInArrow(_profile, "doc_id long, copy long, uid long, fp long"), "profiles")
     classes = stored(profiles.groupBy("uid").agg(F.min(F.struct("doc_id", "copy", "fp")).alias("c")).select("uid", "c.*"), "classes")
     links, tested = _similar(_signature_pairs(classes), classes, docs)
-    index = identified(docs).select("text").mapInArrow(_prefixes(_frequent(docs, profiles.count())), "key long, uid long, n int, at int")
-    # One shuffle for all rows of the index; most keys have one class and end here.
-    bucket = Window.partitionBy("key")
-    middle = F.min(F.struct("at", "uid", "n")).over(bucket)
-    buckets = index.select("*", middle.alias("middle"), F.min("uid").over(bucket).alias("low"), F.max("uid").over(bucket).alias("high")).where("low <> high")
-    buckets = stored(buckets.drop("low", "high").distinct(), "buckets")
-    first = buckets.where((F.col("uid") != F.col("middle.uid")) & _can(F.col("n"), F.col("at"), F.col("middle.n"), F.col("middle.at")))
+    index = identified(docs).select("text").mapInArrow(_prefixes(_frequent(docs)), "key long, uid long, n int, at int")
+    # One shuffle for all rows of the index; most keys have one class and end here. Repeats of a class follow each other.
+    bucket = Window.partitionBy("key").orderBy("at", "uid")
+    buckets = index.select("*", F.first(F.struct("at", "uid", "n")).over(bucket).alias("middle"), F.lag("uid").over(bucket).alias("last"))
+    buckets = buckets.where((F.col("uid") != F.col("middle.uid")) & (F.col("uid") != F.col("last")))
+    buckets = stored(buckets.select("key", "uid", "n", "at", "middle", (F.col("last") == F.col("middle.uid")).alias("second")), "buckets")
+    first = buckets.where(_can(F.col("n"), F.col("at"), F.col("middle.n"), F.col("middle.at")))
     more, compared = _similar(_untested(first.select(F.col("uid").alias("a"), F.col("middle.uid").alias("b")), tested), classes, docs)
     links, tested = stored(links.union(more), "links"), tested.union(compared)
     labels = stored(min_labels(links), "labels")
     # What is left: all pairs of a bucket that are in different components and were not compared.
-    rest = _labelled(buckets.drop("middle"), labels)
+    rest = buckets.select("key", "uid", "n", "at").union(buckets.where("second").select("key", "middle.uid", "middle.n", "middle.at"))
+    rest = _labelled(rest, labels)
     mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rest = stored(rest.join(mixed, "key"), "mixed")
     p, q = (rest.select("key", F.col("uid").alias(u), F.struct("n", "at", "label").alias(c)) for u, c in (("a", "p"), ("b", "q")))

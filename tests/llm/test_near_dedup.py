@@ -65,3 +65,26 @@ def test_near_groups_compares_all_of_a_bucket(spark, monkeypatch):
     links = linked(texts)
     assert len(links) == 40
     assert same(groups(spark, texts), partition(len(texts), links))
+
+
+def test_near_groups_compares_few_of_a_family(spark, monkeypatch):
+    """Copies with edits that keep them apart share the rest of their text, which is counted over all texts and indexed last:
+    families that no sample shows bring no pairs of all their members."""
+    monkeypatch.setattr(simhash, "SAMPLE_DOCS", 10, raising=False)  # of a form that counted in a sample
+    compared, real = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *rest: compared.append((found := real(pairs, *rest))[1].count()) or found)
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(30000)}" for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        base = draw(200)
+        for _ in range(30):
+            own = list(base)
+            for at in range(9, 200, 20):
+                own[at] = draw(1)[0]
+            texts.append(" ".join(own))
+    texts += [f"{t} end" for t in texts[:20]]
+    links = linked(texts)
+    assert len(links) == 20
+    assert same(groups(spark, texts), partition(len(texts), links))
+    assert sum(compared) < 500
