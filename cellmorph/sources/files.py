@@ -1,9 +1,9 @@
 """Readers, writers and inventories of result files, labels and images."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, stem
@@ -53,10 +53,10 @@ def parse_yolo_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.dropna(subset=["cls", "cx", "cy", "w", "h"])
 
 
-def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(image_name, line_no, cls, cx, cy, w, h) of label files below a path; none without files."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(path)
-    rows = lines.select(stem(F.col("_metadata.file_path")).alias("image_name"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+def read_yolo_labels(spark: SparkSession, path: str, image: Callable[[Column], Column] = stem) -> DataFrame:
+    """(image_name, line_no, cls, cx, cy, w, h) of label files below a path; none without files. `image` makes the name of the file's path."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    rows = lines.select(image(F.col("_metadata.file_path")).alias("image_name"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     return parse_yolo_lines(rows).drop("line")
 
 
@@ -67,13 +67,12 @@ def yolo_lines(boxes: DataFrame, image: str = "image_name") -> DataFrame:
 
 
 def write_yolo_dataset(boxes: DataFrame, path: str, names: Sequence[str] = ("Microglia",), image: str = "image_name") -> DataFrame:
-    """Label texts in a folder per image, the manifest of images, the class names; returns the manifest."""
+    """Label texts in a folder per image, the manifest of images, the class names; returns the manifest, as it was written."""
     yolo_lines(boxes, image).repartition(image).write.mode("overwrite").partitionBy(image).text(f"{path}/labels")
-    manifest = boxes.select(F.concat(F.lit("images/"), F.col(image)).alias("value")).distinct().orderBy("value")
-    manifest.coalesce(1).write.mode("overwrite").text(f"{path}/train")
+    boxes.select(F.concat(F.lit("images/"), F.col(image)).alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(f"{path}/train")
     classes = boxes.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
     classes.coalesce(1).write.mode("overwrite").json(f"{path}/classes")
-    return manifest
+    return boxes.sparkSession.read.text(f"{path}/train")
 
 
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = IMAGES) -> DataFrame:

@@ -1,6 +1,9 @@
 """What queries write between their steps."""
 
+import shutil
+
 from cellmorph import queries
+from cellmorph.sources import files
 
 
 def test_coco_documents_are_compressed(spark, tmp_path, monkeypatch):
@@ -8,3 +11,13 @@ def test_coco_documents_are_compressed(spark, tmp_path, monkeypatch):
     assert queries.QUERIES["s5_read_coco"](spark, "/root/testdata/sf0.001").count() > 0
     written = list((tmp_path / "documents").glob("part-*"))
     assert written and all(f.name.endswith(".gz") for f in written)
+
+
+def test_yolo_manifest_is_the_written_one(spark, tmp_path):
+    path = str(tmp_path / "boxes")
+    spark.createDataFrame([("b", 0, 0.5, 0.5, 0.1, 0.1), ("a", 0, 0.2, 0.2, 0.1, 0.1), ("b", 1, 0.3, 0.3, 0.1, 0.1)], "image_name string, cls int, cx double, cy double, w double, h double").write.parquet(path)
+    manifest = files.write_yolo_dataset(spark.read.parquet(path), str(tmp_path / "set"))
+    shutil.rmtree(path)  # the boxes are not made again
+    assert [r[0] for r in manifest.collect()] == ["images/a", "images/b"]
+    named = files.read_yolo_labels(spark, str(tmp_path / "set" / "labels"), lambda file: files.F.regexp_extract(file, "image_name=([^/]*)/", 1))
+    assert sorted((r["image_name"], r["line_no"], r["cls"]) for r in named.collect()) == [("a", 0, 0), ("b", 0, 0), ("b", 1, 1)]
