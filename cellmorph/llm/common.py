@@ -18,6 +18,12 @@ def kept(key, make):
     return _kept[key]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a join's side that is shuffled, never broadcast. Spark's estimate goes by the bytes of a file, however packed, and takes a row
+    that is exploded for one row, so that gigabytes can look small; a broadcast holds all of them in the driver."""
+    return df.hint("merge")
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in slices, so that a task holds few rows as Python objects at once."""
     for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, kept, min_labels, slices, stored, texts
+from .common import dealt, discard, kept, min_labels, slices, stored, texts
 
 SEED = 42
 #: Buckets of up to this many fingerprints are joined pair by pair, larger ones by two-wildcard keys.
@@ -115,10 +115,10 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     keys = [_tagged(i, _without(_high(), i)) for i in range(32)] + [_tagged(32, _low())]
     index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(index.join(sizes, "key"), "buckets")
+    members = stored(index.join(dealt(sizes), "key"), "buckets")
     small = members.where(F.col("n") <= SMALL_BUCKET)
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
+    pairs = left.join(dealt(right), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
     tag = F.shiftright("key", 32)
     one, two = _masks(1), _masks(2)
     masks = F.when(tag == 32, two).when(tag == 0, F.concat(one, two)).otherwise(one)
@@ -129,7 +129,7 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     exact = F.when((tag == 0) & (F.bit_count("mask") == 2), _high()).otherwise(F.lit(-1))
     hot = hot.select("key", "fp", "mask", F.col("half").bitwiseAND(F.bitwise_not("mask")).alias("rest"), exact.alias("high"))
     stars = hot.groupBy("key", "mask", "rest", "high").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = hot.join(stars, ["key", "mask", "rest", "high"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    linked = hot.join(dealt(stars), ["key", "mask", "rest", "high"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     links = stored(pairs.union(linked).distinct(), "links")
     discard(distinct, members)
     return links
@@ -141,11 +141,11 @@ def hamming_components(docs: DataFrame, k: int = 3) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = hamming_links(distinct.select("fp"))
     labels = min_labels(links)
-    of_print = distinct.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    of_print = distinct.join(dealt(labels), F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_print = stored(of_print, "labels")
     discard(links)
     least = of_print.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(of_print.join(least, "label").select("fp", "component_id"), "fp")
+    return prints.join(dealt(of_print.join(dealt(least), "label").select("fp", "component_id")), "fp")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
