@@ -279,9 +279,9 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
     pairs that were compared; only their texts are read."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    chosen = classes.join(ids, "uid").select("uid", "doc_id", "copy")
+    chosen = classes.join(dealt(ids), "uid").select("uid", "doc_id", "copy")
     sets = stored(_texts_of(chosen, docs).mapInArrow(_shingle_sets, "uid long, hashes array<int>"), "shingles")
-    joined = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
+    joined = pairs.join(dealt(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x"))), "a").join(dealt(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = stored(joined.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
     discard(sets)
@@ -327,14 +327,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rest = stored(rest.join(mixed, "key"), "mixed")
     p, q = (rest.select("key", F.col("uid").alias(u), F.struct("n", "at", "label").alias(c)) for u, c in (("a", "p"), ("b", "q")))
     apart = (F.col("a") < F.col("b")) & (F.col("p.label") != F.col("q.label")) & _can(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at"))
-    more, compared = _similar(_untested(p.join(q, "key").where(apart).select("a", "b"), tested), classes, docs)
+    more, compared = _similar(_untested(p.join(dealt(q), "key").where(apart).select("a", "b"), tested), classes, docs)
     if not more.isEmpty():
         links, old = stored(links.union(more), "links"), labels
         labels = stored(min_labels(links), "labels")
         discard(old)
     discard(buckets, rest, compared)
-    of_class = stored(classes.select("uid").join(labels, F.col("uid") == F.col("id"), "left").select("uid", F.coalesce("label", "uid").alias("group")), "classes")
-    out = stored(profiles.join(of_class, "uid").select("doc_id", "copy", "uid", "group"), "groups")
+    of_class = stored(classes.select("uid").join(dealt(labels), F.col("uid") == F.col("id"), "left").select("uid", F.coalesce("label", "uid").alias("group")), "classes")
+    out = stored(profiles.join(dealt(of_class), "uid").select("doc_id", "copy", "uid", "group"), "groups")
     discard(classes, labels, links, profiles, of_class)
     return out
 
@@ -344,17 +344,17 @@ def _signature_pairs(classes: DataFrame) -> DataFrame:
     smallest of two fingerprints at two or fewer bits meet each other."""
     heads = stored(classes.groupBy("fp").agg(F.min("uid").alias("head")), "heads")
     near = hamming_links(heads.select("fp"))
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = classes.join(heads, "fp").where("uid <> head").select("uid", "head")
+    near = near.join(dealt(heads.select(F.col("fp").alias("a"), F.col("head").alias("x"))), "a").join(dealt(heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))), "b").select("x", "y")
+    same = classes.join(dealt(heads), "fp").where("uid <> head").select("uid", "head")
     return same.union(near).toDF("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.select(F.col("id").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    return members.join(dealt(labels.select(F.col("id").alias("uid"), "label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(dealt(tested), ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = groups.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.copy").alias("copy"))
     rows = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("m")).alias("r")
     kept = kept.withColumn("kept", F.lit(1)).alias("k")
-    marked = stored(rows.join(kept, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.copy") == F.col("k.copy")), "left").select(F.col("r.doc_id").alias("d"), F.col("r.copy").alias("c"), "m", "kept"), "kept")
+    marked = stored(rows.join(dealt(kept), F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.copy") == F.col("k.copy")), "left").select(F.col("r.doc_id").alias("d"), F.col("r.copy").alias("c"), "m", "kept"), "kept")
     repeats = marked.where("m > 1 and kept = 1").limit(1).count()
     dropped = _few(stored(marked.where("kept is null").select("d", "c"), "dropped"))
     rows = identified(docs).join(dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left_anti")

@@ -31,3 +31,10 @@ def test_components_meet_without_a_broadcast(spark):
     docs = spark.createDataFrame([(i, f"one two three four five six {i % 7} seven eight") for i in range(30)], "doc_id long, text string")
     found = simhash.hamming_components(docs)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 30
+
+
+def test_groups_meet_without_a_broadcast(spark, plans):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7} seven eight") for i in range(30)], "doc_id long, text string")
+    simhash.near_groups(docs)
+    # The names of texts to read again are counted before they are sent whole (`_few`); components shrink in rounds of their own.
+    assert not [tag for tag, plan in plans if "Broadcast" in plan and tag not in ("shingles", "edges", "mixed")]
