@@ -10,12 +10,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir, stored
+from ..tables import discard, shared_dir, stored
 from .joins import pairwise_distance
-from .kmeans import fit, labelled
+from .kmeans import _squares, fit, labelled
 from .sampling import draw
 from .stats import zscore
 
+#: Rows of a block of vectors, each of which meets every other.
+BLOCK = 1024
+
 
 def assembled(df: DataFrame, cols: Sequence[str], scale: bool = True) -> DataFrame:
     """df's complete rows with `features`, z-scored by the population deviation."""
@@ -45,15 +48,105 @@ def kmeans(rows: DataFrame, k: int = 4, seed: int = 0, n_init: int = 50) -> tupl
     return labelled(rows, centres), cost
 
 
-def best_k(rows: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4), seed: int = 0, limit: int = 1000, n_init: int = 50) -> DataFrame:
-    """(k, silhouette), best first; all k are fitted in the same passes, the silhouette is a sample's."""
-    found = []
+def best_k(rows: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4), seed: int = 0, n_init: int = 50) -> DataFrame:
+    """(k, silhouette), best first; all k are fitted in the same passes, the silhouettes are those of all rows, whatever their `key`."""
+    marked = rows
     for k, (centres, _) in fit(rows, ks, n_init, seed).items():
-        marked = labelled(rows, centres).select(key, "cluster", vector_to_array("features").alias("v"))
-        found.append((k, silhouette(marked, key, "v", "cluster", limit).first()["silhouette"]))
+        marked = labelled(marked, centres, f"_k{k}")
+    found = [(k, s) for k, (s, _) in whole_silhouettes(marked, "features", [f"_k{k}" for k in ks], ks).items()]
     return rows.sparkSession.createDataFrame(found, "k int, silhouette double").orderBy(F.desc_nulls_last("silhouette"), "k")
 
 
+def _vector_blocks(n_labels: int):
+    """Rows (v, labels) as blocks: the vectors of BLOCK rows at most in one value, and their labels in another."""
+
+    def task(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                v = part.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                marks = np.stack([part.column(1 + j).to_numpy() for j in range(n_labels)], 1).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([v.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())], ["n", "v", "marks"])
+
+    return task
+
+
+def _distance_sums(ks: Sequence[int]):
+    """Pairs of blocks, those of one `a` together, to the distances of a's rows summed over each cluster of each k."""
+    width, first = sum(ks), np.cumsum([0, *ks])[:-1]
+
+    def task(batches):
+        now, rows, sums, marks = None, None, None, None
+        for batch in batches:
+            for a, n, v, of, b, m, w, on in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a != now:
+                    if now is not None:
+                        yield _emitted(now, marks, sums)
+                    now, rows, sums, marks = a, np.frombuffer(v).reshape(n, -1), np.zeros((n, width)), of
+                d = np.sqrt(_squares(rows, np.frombuffer(w).reshape(m, -1)))
+                if a == b:
+                    np.fill_diagonal(d, 0)  # a row is no neighbour of its own
+                member = np.zeros((m, width))
+                member[np.arange(m)[:, None], np.frombuffer(on, "<i4").reshape(m, -1) + first] = 1
+                sums += d @ member
+        if now is not None:
+            yield _emitted(now, marks, sums)
+
+    return task
+
+
+def _emitted(block: int, marks: bytes, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([marks], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["a", "marks", "sums"])
+
+
+def _row_values(ks: Sequence[int], sizes: np.ndarray):
+    """Sums of a block's rows to (k, total of their silhouettes, how many have one)."""
+    ends = np.cumsum([0, *ks])
+
+    def task(batches):
+        for batch in batches:
+            for marks, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of, out = np.frombuffer(marks, "<i4").reshape(-1, len(ks)), []
+                sums = sum(np.frombuffer(p).reshape(len(of), -1) for p in parts)
+                for j, k in enumerate(ks):
+                    s, n, own = sums[:, ends[j] : ends[j + 1]], sizes[ends[j] : ends[j + 1]], of[:, j]
+                    at = np.arange(len(own))
+                    means = np.where(n > 0, s / np.maximum(n, 1), np.inf)
+                    means[at, own] = np.inf
+                    other, alone = means.min(1), n[own] == 1
+                    inner = s[at, own] / np.maximum(n[own] - 1, 1)
+                    most = np.maximum(inner, other)
+                    known = np.isfinite(other)
+                    value = np.where(alone | (most == 0) | ~known, 0.0, (np.where(known, other, 0) - inner) / np.where((most == 0) | ~known, 1, most))
+                    out.append((int(k), float(value[known].sum()), int(known.sum())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.int64()), strict=True)], ["k", "s", "n"])
+
+    return task
+
+
+def whole_silhouettes(marked: DataFrame, features: str, labels: Sequence[str], ks: Sequence[int]) -> dict[int, tuple[float | None, int]]:
+    """{k: (mean silhouette, rows that have one)}, Euclidean, over all rows; a column of labels (0 to k - 1) for each k.
+
+    Rows that are alone in a cluster have 0, rows without another cluster none. Each row meets every other, so work grows with the
+    square of the rows: blocks of them meet in a Cartesian product, whose sides Spark reads again for each pair of parts (no
+    shuffle), and a task holds two blocks and the sums of one. Only numbers per cluster reach the driver."""
+    spark = marked.sparkSession
+    vectors_ = marked.select(vector_to_array(features).alias("v"), *labels)
+    blocks = stored(vectors_.mapInArrow(_vector_blocks(len(ks)), "n int, v binary, marks binary").withColumn("a", F.monotonically_increasing_id()), "blocks")
+    counted = vectors_.select(F.posexplode(F.array(*labels)).alias("j", "label")).groupBy("j", "label").agg(F.count("*").alias("n")).collect()
+    sizes, first = np.zeros(sum(ks)), np.cumsum([0, *ks])
+    for j, label, n in counted:
+        sizes[first[j] + label] = n
+    parts = int(max(1, min(spark.sparkContext.defaultParallelism, sizes.sum() / max(len(ks), 1) // BLOCK)))
+    left, right = blocks.select("a", "n", "v", "marks").repartition(parts), blocks.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("v").alias("w"), F.col("marks").alias("on")).repartition(parts)
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    sums = pairs.mapInArrow(_distance_sums(ks), "a long, marks binary, sums binary").groupBy("a").agg(F.first("marks").alias("marks"), F.collect_list("sums").alias("sums"))  # a value for each part of the other side
+    found = sums.select("marks", "sums").mapInArrow(_row_values(ks, sizes), "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    discard(blocks)
+    of = {r["k"]: (r["s"] / r["n"] if r["n"] else None, r["n"]) for r in found}
+    return {k: of.get(k, (None, 0)) for k in ks}
+
+
 def silhouette(df: DataFrame, key: str, vector: str, label: str, limit: int = 1000) -> DataFrame:
     """One row (silhouette, n): Euclidean, over a sample of up to `limit` rows by a hash of key."""
     few = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).orderBy(draw([key], 0), key).limit(limit)

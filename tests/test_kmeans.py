@@ -44,3 +44,39 @@ def test_copies_few_points_and_none(spark):
     assert kmeans.fit(rows.limit(0), (2,), 3)[2][1] == 0.0
     best = ml.best_k(frame(spark, [(i % 3 * 100, j) for j in range(10) for i in range(3)]), "k", (2, 3, 4), n_init=6).first()
     assert best["k"] == 3
+
+
+def test_silhouettes_are_of_all_rows(spark, monkeypatch):
+    """Against every pair, over more rows than the sample of 1000 that was taken once, in blocks that differ in size."""
+    monkeypatch.setattr(ml, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    points = np.concatenate([[[0, 0]] * 3, [[60, 60]], rng.normal(size=(1200, 2)), rng.normal(size=(300, 2)) + 4])
+    rows = frame(spark, points).repartition(3)
+    three = np.array([0 if i < 3 else 1 if i == 3 else 2 for i in range(len(points))])
+    two = (points[:, 0] > 2).astype(int)
+    marked = rows.join(spark.createDataFrame([(i, int(a), int(b), 0) for i, (a, b) in enumerate(zip(two, three, strict=True))], "k long, two int, three int, one int"), "k")
+    d = np.sqrt(((points[:, None] - points) ** 2).sum(2))
+
+    def by_hand(label):
+        values = []
+        for i, own in enumerate(label):
+            inner = d[i][label == own].sum() / max((label == own).sum() - 1, 1)
+            other = min(d[i][label == x].mean() for x in set(label) - {own})
+            values.append(0.0 if (label == own).sum() == 1 else (other - inner) / max(inner, other))
+        return float(np.mean(values))
+
+    found = ml.whole_silhouettes(marked, "features", ["two", "three", "one"], [2, 3, 1])
+    assert found[1] == (None, 0)
+    for k, label in ((2, two), (3, three)):
+        assert found[k] == (pytest.approx(by_hand(label)), len(points))
+    assert ml.whole_silhouettes(marked.limit(0), "features", ["two"], [2]) == {2: (None, 0)}
+
+
+def test_best_k_counts_every_row(spark, monkeypatch):
+    """The last rows, which a sample by a hash would mostly miss, make a cluster of their own."""
+    seen = []
+    real = ml.whole_silhouettes
+    monkeypatch.setattr(ml, "whole_silhouettes", lambda *a: seen.append(real(*a)) or seen[-1])
+    rows = frame(spark, np.concatenate([np.random.default_rng(1).normal(size=(1500, 2)) + c for c in (0, 50)]))
+    best = ml.best_k(rows, "k", (2, 3), n_init=3).first()
+    assert best["k"] == 2 and {n for _, n in seen[0].values()} == {3000}
