@@ -13,7 +13,10 @@ from ..tables import stored, whole_groups
 #: Ranges of confidence that are counted first, so that no task holds a whole precision-recall curve.
 RANGES = 1000
 #: Pairs of boxes that are looked at together.
-PAIRS = 1 << 19
+PAIRS = 1 << 16
+#: Strips of the tallest box's height, and of all boxes at most.
+STRIPS, MOST_STRIPS = 4, 1000
+BOX = ["xmin", "ymin", "xmax", "ymax"]
 #: The overlaps that a mean average precision is the mean over.
 OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -21,9 +24,37 @@ OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: float = 0.0) -> DataFrame:
     """(image, pred_id, true_id, conf, iou) of boxes of one image that overlap more than `least`.
 
-    With a class among the columns `image`, only boxes of one class meet."""
-    p = pred.select(*image, "pred_id", "conf", *(F.col(c).alias(f"p_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
-    t = truth.select(*image, "true_id", *(F.col(c).alias(f"t_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
+    With a class among the columns `image`, only boxes of one class meet. Boxes of both kinds are dealt and sorted by image, each
+    row shuffled once; in a task a box meets only those that begin near it (`_meetings`), so that work follows the pairs that
+    overlap and not all pairs of an image. Boxes without a corner overlap none. Only where pairs that don't overlap are wanted
+    too (`least` below 0) is it a join."""
+    if least < 0:
+        return _every_pair(pred, truth, image, least)
+    kinds, ids = dict(pred.dtypes) | {"true_id": dict(truth.dtypes)["true_id"]}, ["pred_id", "true_id", "conf"]
+    side = lambda df, own, real: df.dropna(subset=[*image, *BOX]).select(*image, *((F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c) for c in ids), *(F.col(c).cast("double").alias(c) for c in BOX), F.lit(real).alias("_true"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, image):
+            real, group = table["_true"].to_numpy(), np.repeat(np.arange(len(starts)), np.diff([*starts, table.num_rows]))
+            corners = np.stack([table[c].to_numpy() for c in BOX], 1)
+            own, other = np.flatnonzero(~real), np.flatnonzero(real)
+            table = table.combine_chunks()
+            for i, j, iou in _meetings(corners[own], group[own], corners[other], group[other], least):
+                # A row for each box p, so that its names are sent once; pairs of a box follow each other.
+                at = np.flatnonzero(np.diff(i, prepend=-1))
+                true = table["true_id"].take(other[j]).combine_chunks()
+                hits = pa.ListArray.from_arrays(pa.array([*at, len(i)], pa.int32()), pa.StructArray.from_arrays([true, pa.array(iou)], ["true_id", "iou"]))
+                made = table.select([*image, "pred_id", "conf"]).take(own[i[at]]).append_column("hits", hits)
+                yield from made.to_batches()
+
+    dealt = side(pred, ("pred_id", "conf"), False).unionByName(side(truth, ("true_id",), True)).repartition(*image).sortWithinPartitions(*image)
+    found = dealt.mapInArrow(meet, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*image, "pred_id", "conf"]), f"hits array<struct<true_id: {kinds['true_id']}, iou: double>>"]))
+    return found.select(*image, "pred_id", "conf", F.inline("hits")).select(*image, *ids, "iou")
+
+
+def _every_pair(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: float) -> DataFrame:
+    p = pred.select(*image, "pred_id", "conf", *(F.col(c).alias(f"p_{c}") for c in BOX))
+    t = truth.select(*image, "true_id", *(F.col(c).alias(f"t_{c}") for c in BOX))
     both = p.join(t, list(image))
     side = lambda a: F.greatest(F.least(f"p_{a}max", f"t_{a}max") - F.greatest(f"p_{a}min", f"t_{a}min"), F.lit(0)).cast("double")
     size = lambda s: (F.col(f"{s}_xmax") - F.col(f"{s}_xmin")) * (F.col(f"{s}_ymax") - F.col(f"{s}_ymin"))
@@ -32,6 +63,65 @@ def box_iou(pred: DataFrame, truth: DataFrame, image: Sequence[str], least: floa
     return both.withColumn("iou", F.when(union > 0, inter / union).otherwise(0.0)).where(F.col("iou") > least).select(*image, "pred_id", "true_id", "conf", "iou")
 
 
+def _ious(p: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The overlaps of boxes i of p and j of t, both a row for each of BOX."""
+    low_x, low_y, high_x, high_y = p[:, i]
+    x0, y0, x1, y1 = t[:, j]
+    size = (high_x - low_x) * (high_y - low_y) + (x1 - x0) * (y1 - y0)
+    inter = np.maximum(np.minimum(high_x, x1) - np.maximum(low_x, x0), 0) * np.maximum(np.minimum(high_y, y1) - np.maximum(low_y, y0), 0)
+    union = size - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+
+
+def _meetings(p: np.ndarray, gp: np.ndarray, t: np.ndarray, gt: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, iou) of boxes p and t (xmin, ymin, xmax, ymax; a row each) of the same image (gp, gt) that overlap more than `least` >= 0.
+
+    Of two such boxes neither begins further before the other than 1 - `least` of its own side, and the sides' ratio is `least` at
+    worst. Boxes t are sorted by image, strip of their ymin and xmin; a box p looks at a stretch of each strip that it can reach.
+    PAIRS or one box's share of a strip are looked at together, whatever the image holds."""
+    if not len(p) or not len(t):
+        return
+    y0, x0 = t[:, 1].min(), t[:, 0].min()
+    tall, wide = (t[:, 3] - t[:, 1]).max(), (t[:, 2] - t[:, 0]).max()
+    if tall <= 0 or wide <= 0:
+        return
+    height = max(tall / STRIPS, np.ptp(t[:, 1]) / MOST_STRIPS)
+    strips, span = int(np.ptp(t[:, 1]) / height) + 1, np.ptp(t[:, 0]) + 1.0
+    strip = np.minimum(((t[:, 1] - y0) / height).astype(np.int64), strips - 1)
+    key = (gt * strips + strip) * span + (t[:, 0] - x0)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    slack = 1e-15 * (max(gp.max(), gt.max()) + 1) * strips * span + 1e-9 * (1 + span + np.abs(p).max())
+
+    def reach(lo: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+        own = p[:, lo + 2] - p[:, lo]
+        before = np.minimum(own / least, most) if least > 0 else np.full(len(p), most)
+        return p[:, lo] - (1 - least) * before - slack, p[:, lo] + (1 - least) * own + slack
+
+    (low_y, high_y), (low_x, high_x) = reach(1, tall), reach(0, wide)
+    first = np.clip(np.floor((low_y - y0) / height), 0, strips).astype(np.int64)
+    last = np.clip(np.floor((high_y - y0) / height), -1, strips - 1).astype(np.int64)
+    seen = np.where((low_x - x0 <= span) & (high_x - x0 >= 0), np.maximum(last - first + 1, 0), 0)
+    (wide_p, wide_t), looks, b = (np.ascontiguousarray(x.T) for x in (p, t)), np.cumsum(seen), 0
+    while b < len(p):
+        a, b = b, max(b + 1, int(np.searchsorted(looks, (looks[b - 1] if b else 0) + PAIRS, "right")))
+        m = seen[a:b]
+        box = np.repeat(np.arange(a, a + len(m)), m)
+        cell = gp[box] * strips + first[box] + np.arange(len(box)) - np.repeat(np.cumsum(m) - m, m)
+        low = np.searchsorted(key, cell * span + np.clip(low_x[box] - x0, 0, span), "left")
+        n = np.maximum(np.searchsorted(key, cell * span + np.clip(high_x[box] - x0, 0, span - 0.5), "right") - low, 0)
+        ends, at = np.cumsum(n), 0
+        while at < len(box):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            i = np.repeat(box[at:to], n[at:to])
+            j = order[np.arange(len(i)) + np.repeat(low[at:to] - (np.cumsum(n[at:to]) - n[at:to]), n[at:to])]
+            at = to
+            iou = _ious(wide_p, wide_t, i, j)
+            keep = (iou > least) & (gp[i] == gt[j])
+            if keep.any():
+                yield i[keep], j[keep], iou[keep]
+
+
 def _ids(column: pa.ChunkedArray, own: np.ndarray) -> np.ndarray:
     """A column of which only the rows `own` count."""
     if pa.types.is_integer(column.type) and column.null_count == len(own) - own.sum():
