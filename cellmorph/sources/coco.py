@@ -33,9 +33,11 @@ def to_coco(index: DataFrame, masks: DataFrame, exclude: Sequence[str] = ()) ->
     in the order of scan, class and file, categories by first appearance in it. Images without a mask or a
     name that parses go. Ranks over all images come from counts per class first, then ranks within: rows are made, shuffled and
     stored once with the latter (`discard` the result when it has been read), and names are parsed again after it."""
-    kept = index.where(~F.col("class").isin(*exclude)).join(masks, ["scan", "class", "file"]).where(parse_ann_name("file").isNotNull())
-    inner = Window.partitionBy("scan", "class").orderBy("file")
-    rows = stored(kept.withColumn("_place", F.row_number().over(inner)), "images")
+    both = index.where(~F.col("class").isin(*exclude)).join(masks, ["scan", "class", "file"])
+    # Names that don't parse go after the ranks, in which they don't count: a filter that Spark pushes into one table alone would
+    # keep two tables made of the same rows from sharing their shuffle.
+    named, inner = parse_ann_name("file").isNotNull(), Window.partitionBy("scan", "class").orderBy("file")
+    rows = stored(both.withColumn("_place", F.count(F.when(named, 1)).over(inner.rowsBetween(Window.unboundedPreceding, 0))).where(named), "images")
     sizes = rows.groupBy("scan", "class").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(F.lit(0)).orderBy("scan", "class")  # a row per scan and class, broadcast
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
